@@ -136,6 +136,219 @@ def q_missing_by_column(spark, sf):
     return missing_by_column(dirty(spark, sf))
 
 
+# =============================================================================
+# Schema and semantic layers
+# =============================================================================
+
+def _d_strip(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _d_numeric(x):
+    s = _d_strip(x)
+    s = f"regexp_replace({s}, '[$€£¥₹,]', '', 'g')"
+    s = f"regexp_replace({s}, '\\s', '', 'g')"
+    s = f"regexp_replace({s}, '[^0-9.\\-]', '', 'g')"
+    return f"(CASE WHEN {s} IN ('', '-', '.') THEN NULL ELSE TRY_CAST({s} AS DOUBLE) END)"
+
+
+MESSY_ORDERS = [("o_orderkey", " O OrderKey "), ("o_custkey", "o-custkey"), ("o_orderstatus", "O__OrderStatus!"),
+                ("o_totalprice", "O_TotalPrice"), ("o_orderdate", "o totalprice"), ("o_orderpriority", "%%")]
+CLEAN_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_totalprice_1", "col"]
+
+
+@_query("normalize_names", "SELECT " + ", ".join(
+        f"{src} AS {dst}" for (src, _), dst in zip(MESSY_ORDERS, CLEAN_ORDERS)) + " FROM orders")
+def q_normalize_names(spark, sf):
+    from scour.operators.schema import normalize_names
+    o = table(spark, sf, "orders")
+    messy = o.select(*[F.col(src).alias(m) for src, m in MESSY_ORDERS])
+    return normalize_names(messy)[0]
+
+
+def _schema_role_sql():
+    fmts = [("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
+            ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"), ("yyyy-MM-dd", "%Y-%m-%d"), ("yyyy/MM/dd", "%Y/%m/%d"),
+            ("MM/dd/yyyy", "%m/%d/%Y"), ("dd.MM.yyyy", "%d.%m.%Y")]
+    parts = []
+    for i, (c, t) in enumerate(DIRTY_COLS):
+        if t != "string":
+            fam = _kind(t)
+            if fam == "datetime":
+                role = "'datetime_feature'"
+            else:
+                role = ("CASE WHEN count(DISTINCT {c}) / count(*) > 0.85 THEN 'numeric_key' "
+                        "ELSE 'numeric_feature' END").format(c=c)
+            if any(k in c.lower() for k in ("description", "notes", "comment", "text", "summary", "review")):
+                role = "'text'"
+            parts.append(f"SELECT '{c}' AS \"column\", 'keep' AS conversion, {role} AS role FROM dirty "
+                         f"HAVING count(*) > 0")
+            continue
+        dt_counts = ", ".join(f"count(try_strptime({_d_strip(c)}, '{py}')) AS f{k}" for k, (_, py) in enumerate(fmts))
+        best = "greatest(" + ", ".join(f"f{k}" for k in range(len(fmts))) + ")"
+        fmt_pick = "CASE " + " ".join("WHEN f{} = {} THEN '{}'".format(k, best, sp.replace("'", "''"))
+                                      for k, (sp, _) in enumerate(fmts)) + " END"
+        texty = any(k in c.lower() for k in ("description", "notes", "comment", "text", "summary", "review"))
+        role_trim = ("'text'" if texty else
+                     "CASE WHEN mean_len > 40 THEN 'text' WHEN dist / n > 0.5 THEN 'categorical_high_cardinality' "
+                     "ELSE 'categorical_feature' END")
+        parts.append(f"""SELECT '{c}' AS "column",
+  CASE WHEN is_id THEN 'id' WHEN num / n >= 0.8 THEN 'numeric' WHEN {best} / n >= 0.6 THEN 'datetime:' || {fmt_pick}
+       WHEN bools / n >= 0.9 THEN 'boolean' ELSE 'trim' END AS conversion,
+  CASE WHEN is_id THEN 'id' WHEN num / n >= 0.8 THEN 'numeric_feature' WHEN {best} / n >= 0.6 THEN 'datetime_feature'
+       WHEN bools / n >= 0.9 THEN 'numeric_feature' ELSE {role_trim} END AS role
+FROM (SELECT count(*) AS n,
+  (count({c}) > 0 AND count(*) FILTER (WHERE regexp_full_match({c}, '[0-9]+')) / count({c}) >= 0.9
+   AND count(DISTINCT {c}) / count({c}) >= 0.9 AND coalesce(bool_or(starts_with({c}, '0')), false)) AS is_id,
+  count({_d_numeric(c)}) AS num,
+  count(*) FILTER (WHERE lower({_d_strip(c)}) IN ('true', 'yes', 'y', '1', 'false', 'no', 'n', '0')) AS bools,
+  count(DISTINCT {_d_strip(c)}) + CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END AS dist,
+  (coalesce(sum(length({_d_strip(c)})), 0) + 3 * (count(*) - count({c}))) / count(*) AS mean_len,
+  {dt_counts}
+  FROM dirty)""")
+    return dirty_cte() + "\n" + _union(parts)
+
+
+@_query("schema_roles", _schema_role_sql())
+def q_schema_roles(spark, sf):
+    from scour.operators.schema import fit_schema
+    d = dirty(spark, sf)
+    p = fit_schema(d)
+    rows = []
+    for c in d.columns:
+        conv = p["conversions"].get(c)
+        if conv is None:
+            name = "keep"
+        elif conv["to"] == "datetime":
+            name = "datetime:" + conv["format"]
+        else:
+            name = conv["to"]
+        rows.append((c, name, p["roles"][c]))
+    # decisions are per column; join them back to the data's own column list
+    meta = spark.createDataFrame(rows, "column string, conversion string, role string")
+    return meta
+
+
+_COERCED_SQL = dirty_cte() + f"""
+SELECT o_orderkey, {_d_numeric('order_amount')} AS order_amount,
+  CAST(try_strptime({_d_strip('placed_on')}, '%Y-%m-%d') AS TIMESTAMP) AS placed_on,
+  CASE WHEN is_urgent IS NULL THEN NULL WHEN lower({_d_strip('is_urgent')}) IN ('true', 'yes', 'y', '1') THEN 1 ELSE 0 END AS is_urgent,
+  {_d_strip('gift_flag')} AS gift_flag, {_d_strip('gender')} AS gender, {_d_strip('priority')} AS priority,
+  promo_value, visits, ticket, {_d_strip('order_notes')} AS order_notes, {_d_strip('channel')} AS channel,
+  ship_start, ship_end, margin_percent, buyer_age
+FROM dirty"""
+
+
+@_query("coerce_types", _COERCED_SQL)
+def q_coerce_types(spark, sf):
+    from scour.operators.schema import apply_schema, fit_schema
+    d = dirty(spark, sf)
+    return _round(apply_schema(d, fit_schema(d)))
+
+
+def _d_masked(x):
+    s = _d_strip(x)
+    return (f"(CASE WHEN lower({s}) IN ('na', 'n/a', 'none', 'null', '?', 'unknown', 'nan', '', 'not available') "
+            f"THEN NULL ELSE {s} END)")
+
+
+_SEMANTIC_SQL = dirty_cte() + f"""
+SELECT o_orderkey, {_d_numeric('order_amount')} AS order_amount,
+  CAST(try_strptime({_d_strip('placed_on')}, '%Y-%m-%d') AS TIMESTAMP) AS placed_on,
+  CASE WHEN is_urgent IS NULL THEN NULL WHEN lower({_d_strip('is_urgent')}) IN ('true', 'yes', 'y', '1') THEN 1 ELSE 0 END AS is_urgent,
+  CASE WHEN {_d_masked('gift_flag')} IS NULL THEN NULL
+       WHEN lower({_d_strip('gift_flag')}) IN ('true', 'yes', 'y', '1', 't') THEN 'yes'
+       WHEN lower({_d_strip('gift_flag')}) IN ('false', 'no', 'n', '0', 'f') THEN 'no'
+       ELSE lower({_d_strip('gift_flag')}) END AS gift_flag,
+  CASE lower({_d_masked('gender')}) WHEN 'm' THEN 'male' WHEN 'male' THEN 'male' WHEN 'f' THEN 'female'
+       WHEN 'female' THEN 'female' WHEN 'woman' THEN 'female' WHEN 'man' THEN 'male' WHEN 'other' THEN 'other'
+       WHEN 'non-binary' THEN 'non_binary' ELSE lower({_d_masked('gender')}) END AS gender,
+  regexp_replace({_d_masked('priority')}, '\\s+', ' ', 'g') AS priority,
+  promo_value, visits, {_d_masked('ticket')} AS ticket,
+  regexp_replace({_d_masked('order_notes')}, '\\s+', ' ', 'g') AS order_notes, {_d_masked('channel')} AS channel,
+  ship_start, ship_end, margin_percent, buyer_age
+FROM dirty"""
+
+
+@_query("semantic_clean", _SEMANTIC_SQL)
+def q_semantic_clean(spark, sf):
+    from scour.operators.schema import apply_schema, fit_schema
+    from scour.operators.semantic import apply_semantic, fit_semantic
+    d = dirty(spark, sf)
+    sp = fit_schema(d)
+    typed = apply_schema(d, sp)
+    return _round(apply_semantic(typed, fit_semantic(typed, sp["roles"])))
+
+
+@_query("null_tokens", dirty_cte() + f"\nSELECT o_orderkey, {_d_masked('gift_flag')} AS gift_flag, "
+        f"{_d_masked('gender')} AS gender, {_d_masked('order_amount')} AS order_amount FROM dirty")
+def q_null_tokens(spark, sf):
+    from scour.operators.semantic import null_tokens
+    return null_tokens(dirty(spark, sf).select("o_orderkey", "gift_flag", "gender", "order_amount"))
+
+
+@_query("collapse_whitespace", dirty_cte() + "\nSELECT o_orderkey, regexp_replace(priority, '\\s+', ' ', 'g') AS priority, "
+        "regexp_replace(order_notes, '\\s+', ' ', 'g') AS order_notes, gender FROM dirty")
+def q_collapse_whitespace(spark, sf):
+    from scour.operators.semantic import collapse_whitespace
+    return collapse_whitespace(dirty(spark, sf).select("o_orderkey", "priority", "order_notes", "gender"))
+
+
+@_query("trim_strings", dirty_cte() + f"\nSELECT o_orderkey, {_d_strip('priority')} AS priority, "
+        f"{_d_strip('gender')} AS gender, {_d_strip('is_urgent')} AS is_urgent FROM dirty")
+def q_trim_strings(spark, sf):
+    from scour.operators.schema import trim_strings
+    return trim_strings(dirty(spark, sf).select("o_orderkey", "priority", "gender", "is_urgent"))
+
+
+@_query("canonical_gender", dirty_cte() + f"""
+SELECT o_orderkey, CASE lower({_d_strip('gender')}) WHEN 'm' THEN 'male' WHEN 'male' THEN 'male' WHEN 'f' THEN 'female'
+       WHEN 'female' THEN 'female' WHEN 'woman' THEN 'female' WHEN 'man' THEN 'male' WHEN 'other' THEN 'other'
+       WHEN 'non-binary' THEN 'non_binary' ELSE lower({_d_strip('gender')}) END AS gender FROM dirty""")
+def q_canonical_gender(spark, sf):
+    from scour.operators.semantic import canonicalize
+    return canonicalize(dirty(spark, sf).select("o_orderkey", "gender"), "gender", "gender")
+
+
+@_query("canonical_boolean", dirty_cte() + f"""
+SELECT o_orderkey, CASE WHEN lower({_d_strip('gift_flag')}) IN ('true', 'yes', 'y', '1', 't') THEN 'yes'
+       WHEN lower({_d_strip('gift_flag')}) IN ('false', 'no', 'n', '0', 'f') THEN 'no'
+       ELSE lower({_d_strip('gift_flag')}) END AS gift_flag FROM dirty""")
+def q_canonical_boolean(spark, sf):
+    from scour.operators.semantic import canonicalize
+    return canonicalize(dirty(spark, sf).select("o_orderkey", "gift_flag"), "gift_flag", "boolean")
+
+
+@_query("drop_timezone", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
+def q_drop_timezone(spark, sf):
+    from scour.operators.semantic import wall_clock_text
+    e = table(spark, sf, "events")
+    zoned = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    return e.select("event_id", wall_clock_text(zoned).alias("ts"))
+
+
+@_query("detect_ids", dirty_cte() + """
+SELECT c AS "column" FROM (
+  SELECT 'ticket' AS c, count(*) FILTER (WHERE regexp_full_match(ticket, '[0-9]+')) / count(ticket) >= 0.9
+         AND count(DISTINCT ticket) / count(ticket) >= 0.9 AND bool_or(starts_with(ticket, '0')) AS hit FROM dirty
+  UNION ALL
+  SELECT 'o_custkey_text', count(*) FILTER (WHERE regexp_full_match(k, '[0-9]+')) / count(k) >= 0.9
+         AND count(DISTINCT k) / count(k) >= 0.9 AND bool_or(starts_with(k, '0'))
+  FROM (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS k FROM orders)
+  UNION ALL
+  SELECT 'order_key_text', count(*) FILTER (WHERE regexp_full_match(k, '[0-9]+')) / count(k) >= 0.9
+         AND count(DISTINCT k) / count(k) >= 0.9 AND bool_or(starts_with(k, '0'))
+  FROM (SELECT lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS k FROM orders)) WHERE hit""")
+def q_detect_ids(spark, sf):
+    from scour.operators.schema import detect_ids
+    d = dirty(spark, sf).select("ticket", "priority")
+    o = table(spark, sf, "orders")
+    ids = detect_ids(d)
+    ids += detect_ids(o.select(F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("o_custkey_text")))
+    ids += detect_ids(o.select(F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("order_key_text")))
+    return spark.createDataFrame([(c,) for c in ids], "column string")
+
+
 # =============================================================================
 # driver contract
 # =============================================================================
