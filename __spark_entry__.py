@@ -349,6 +349,247 @@ def q_detect_ids(spark, sf):
     return spark.createDataFrame([(c,) for c in ids], "column string")
 
 
+# =============================================================================
+# Missing data
+# =============================================================================
+
+DIRTY_ALL = ", ".join(c for c, _ in DIRTY_COLS)
+
+
+@_query("drop_sparse", dirty_cte() + "\nSELECT " + ", ".join(c for c, _ in DIRTY_COLS if c != "promo_value")
+        + " FROM dirty")
+def q_drop_sparse(spark, sf):
+    from scour.operators.missing import drop_sparse
+    return _round(drop_sparse(dirty(spark, sf)))
+
+
+@_query("missing_indicators", dirty_cte() + """
+SELECT o_orderkey, order_amount, promo_value, visits,
+  CAST(order_amount IS NULL AS INTEGER) AS order_amount_was_missing,
+  CAST(promo_value IS NULL AS INTEGER) AS promo_value_was_missing,
+  CAST(visits IS NULL AS INTEGER) AS visits_was_missing FROM dirty""")
+def q_missing_indicators(spark, sf):
+    from scour.operators.missing import missing_indicators
+    return _round(missing_indicators(dirty(spark, sf).select("o_orderkey", "order_amount", "promo_value", "visits")))
+
+
+def _mode_sql(col, src):
+    return f"(SELECT {col} FROM {src} WHERE {col} IS NOT NULL GROUP BY {col} ORDER BY count(*) DESC, {col} LIMIT 1)"
+
+
+_IMPUTE_SQL = _SEMANTIC_SQL.replace("FROM dirty\"\"\"", "FROM dirty") + """
+"""
+_IMPUTE_SQL = dirty_cte() + ", sem AS (" + _SEMANTIC_SQL[len(dirty_cte()):] + f""")
+SELECT o_orderkey,
+  coalesce(order_amount, (SELECT median(order_amount) FROM sem)) AS order_amount,
+  coalesce(placed_on, {_mode_sql('placed_on', 'sem')}) AS placed_on,
+  is_urgent,
+  coalesce(gift_flag, {_mode_sql('gift_flag', 'sem')}) AS gift_flag,
+  coalesce(gender, {_mode_sql('gender', 'sem')}) AS gender,
+  priority,
+  coalesce(visits, (SELECT median(visits) FROM sem)) AS visits,
+  ticket, order_notes, channel, ship_start, ship_end, margin_percent, buyer_age,
+  CAST(order_amount IS NULL AS INTEGER) AS order_amount_was_missing,
+  CAST(placed_on IS NULL AS INTEGER) AS placed_on_was_missing,
+  CAST(gift_flag IS NULL AS INTEGER) AS gift_flag_was_missing,
+  CAST(gender IS NULL AS INTEGER) AS gender_was_missing,
+  CAST(visits IS NULL AS INTEGER) AS visits_was_missing
+FROM sem"""
+
+
+def _semantic_frame(spark, sf):
+    from scour.operators.schema import apply_schema, fit_schema
+    from scour.operators.semantic import apply_semantic, fit_semantic
+    d = dirty(spark, sf)
+    sp = fit_schema(d)
+    typed = apply_schema(d, sp)
+    return apply_semantic(typed, fit_semantic(typed, sp["roles"])), sp["roles"]
+
+
+@_query("impute_missing", _IMPUTE_SQL)
+def q_impute_missing(spark, sf):
+    from scour.operators.missing import apply_missing, fit_missing
+    sem, roles = _semantic_frame(spark, sf)
+    return _round(apply_missing(sem, fit_missing(sem, roles)))
+
+
+@_query("ensure_complete", dirty_cte() + f"""
+SELECT o_orderkey, coalesce(promo_value, (SELECT median(promo_value) FROM dirty)) AS promo_value,
+  coalesce(visits, (SELECT median(visits) FROM dirty)) AS visits,
+  coalesce(order_amount, {_mode_sql('order_amount', 'dirty')}) AS order_amount, ship_start FROM dirty""")
+def q_ensure_complete(spark, sf):
+    from scour.operators.missing import ensure_complete
+    return _round(ensure_complete(dirty(spark, sf).select("o_orderkey", "promo_value", "visits", "order_amount",
+                                                          "ship_start")))
+
+
+@_query("basic_impute", dirty_cte() + f"""
+SELECT o_orderkey, coalesce(promo_value, (SELECT median(promo_value) FROM dirty)) AS promo_value,
+  coalesce(order_amount, {_mode_sql('order_amount', 'dirty')}) AS order_amount,
+  coalesce(CAST(NULL AS VARCHAR), 'unknown') AS nothing FROM dirty""")
+def q_basic_impute(spark, sf):
+    from scour.operators.missing import basic_impute
+    d = dirty(spark, sf).select("o_orderkey", "promo_value", "order_amount",
+                                F.lit(None).cast("string").alias("nothing"))
+    return _round(basic_impute(d))
+
+
+@_query("impute_step", dirty_cte() + """
+SELECT o_orderkey, coalesce(visits, (SELECT avg(visits) FROM dirty)) AS visits FROM dirty""")
+def q_impute_step(spark, sf):
+    from scour.operators.missing import impute
+    return _round(impute(dirty(spark, sf).select("o_orderkey", "visits"), "visits", "mean"))
+
+
+# =============================================================================
+# Outliers (O1-O6)
+# =============================================================================
+
+_Q_IQR = _union([f"""SELECT '{c}' AS "column", round(q1, 6) AS q1, round(q3, 6) AS q3,
+  round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper
+FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem) WHERE q3 > q1"""
+                  for c in LINEITEM_NUM])
+
+
+@_query("iqr_bounds", _Q_IQR)
+def q_iqr_bounds(spark, sf):
+    from scour.operators.outliers import iqr_bounds
+    return _round(iqr_bounds(table(spark, sf, "lineitem")))
+
+
+def _fences(col, src, lo_dom=None, hi_dom=None):
+    lo = f"q1 - 1.5 * (q3 - q1)"
+    hi = f"q3 + 1.5 * (q3 - q1)"
+    if lo_dom is not None:
+        lo = f"greatest({lo}, {lo_dom})"
+    if hi_dom is not None:
+        hi = f"least({hi}, {hi_dom})"
+    return (f"(SELECT {lo} AS lo, {hi} AS hi FROM (SELECT quantile_cont({col}, 0.25) AS q1, "
+            f"quantile_cont({col}, 0.75) AS q3 FROM {src}))")
+
+
+def _clip(col, f):
+    return (f"CASE WHEN {col} IS NULL THEN NULL WHEN {col} < least({f}.lo, {f}.hi) THEN least({f}.lo, {f}.hi) "
+            f"WHEN {col} > greatest({f}.lo, {f}.hi) THEN greatest({f}.lo, {f}.hi) ELSE {col} END")
+
+
+_OUT_COLS = [("visits", None, None), ("margin_percent", 0, 100), ("buyer_age", 0, 120)]
+
+_Q_HANDLE = dirty_cte() + ", " + ", ".join(f"f_{c} AS {_fences(c, 'dirty', lo, hi)}" for c, lo, hi in _OUT_COLS) + \
+    "\nSELECT o_orderkey, " + ", ".join(f"{_clip(c, 'f_' + c)} AS {c}" for c, _, _ in _OUT_COLS) + ", " + \
+    ", ".join(f"CAST(coalesce({c} < f_{c}.lo OR {c} > f_{c}.hi, false) AS INTEGER) AS {c}_outlier_flag"
+              for c in ("margin_percent", "buyer_age")) + \
+    " FROM dirty, " + ", ".join(f"f_{c}" for c, _, _ in _OUT_COLS)
+
+
+@_query("handle_outliers", _Q_HANDLE)
+def q_handle_outliers(spark, sf):
+    from scour.operators.outliers import handle_outliers
+    d = dirty(spark, sf).select("o_orderkey", "visits", "margin_percent", "buyer_age")
+    return _round(handle_outliers(d, {"o_orderkey": "id"}))
+
+
+_Q_FLAG = dirty_cte() + ", " + ", ".join(f"f_{c} AS {_fences(c, 'dirty', lo, hi)}" for c, lo, hi in _OUT_COLS) + \
+    "\nSELECT o_orderkey, visits, margin_percent, buyer_age, " + \
+    ", ".join(f"CAST(coalesce({c} < f_{c}.lo OR {c} > f_{c}.hi, false) AS INTEGER) AS {c}_outlier_flag"
+              for c in ("margin_percent", "buyer_age")) + \
+    " FROM dirty, " + ", ".join(f"f_{c}" for c, _, _ in _OUT_COLS)
+
+
+@_query("flag_outliers", _Q_FLAG)
+def q_flag_outliers(spark, sf):
+    from scour.operators.outliers import flag_outliers
+    d = dirty(spark, sf).select("o_orderkey", "visits", "margin_percent", "buyer_age")
+    return _round(flag_outliers(d, {"o_orderkey": "id"}))
+
+
+_Q_CLIP = dirty_cte() + ", " + ", ".join(f"f_{c} AS {_fences(c, 'dirty', lo, hi)}" for c, lo, hi in _OUT_COLS) + \
+    "\nSELECT o_orderkey, " + ", ".join(f"{_clip(c, 'f_' + c)} AS {c}" for c, _, _ in _OUT_COLS) + \
+    " FROM dirty, " + ", ".join(f"f_{c}" for c, _, _ in _OUT_COLS)
+
+
+@_query("clip_outliers", _Q_CLIP)
+def q_clip_outliers(spark, sf):
+    from scour.operators.outliers import clip_outliers
+    d = dirty(spark, sf).select("o_orderkey", "visits", "margin_percent", "buyer_age")
+    return _round(clip_outliers(d, {"o_orderkey": "id"}))
+
+
+_CLIPALL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+_Q_CLIPALL = "WITH " + ", ".join(f"f_{c} AS {_fences(c, 'lineitem')}" for c in _CLIPALL) + \
+    "\nSELECT " + ", ".join(f"round({_clip(c, 'f_' + c)}, 6) AS {c}" for c in _CLIPALL) + \
+    " FROM lineitem, " + ", ".join(f"f_{c}" for c in _CLIPALL)
+
+
+@_query("clip_all", _Q_CLIPALL)
+def q_clip_all(spark, sf):
+    from scour.operators.outliers import clip_all
+    return _round(clip_all(table(spark, sf, "lineitem").select(*_CLIPALL)))
+
+
+_Q_REMOVE = dirty_cte() + f""", s1 AS (
+  SELECT d.* FROM dirty d, {_fences('margin_percent', 'dirty')} f
+  WHERE d.margin_percent >= f.lo AND d.margin_percent <= f.hi),
+s2 AS (SELECT s.* FROM s1 s, {_fences('buyer_age', 's1')} f WHERE s.buyer_age >= f.lo AND s.buyer_age <= f.hi)
+SELECT o_orderkey, margin_percent, buyer_age FROM s2"""
+
+
+@_query("remove_outlier_rows", _Q_REMOVE)
+def q_remove_outlier_rows(spark, sf):
+    from scour.operators.outliers import remove_outlier_rows
+    d = dirty(spark, sf).select("o_orderkey", "margin_percent", "buyer_age")
+    return _round(remove_outlier_rows(d, ["margin_percent", "buyer_age"]))
+
+
+# =============================================================================
+# Consistency (K1-K5)
+# =============================================================================
+
+@_query("drop_duplicates", dirty_cte() + "\nSELECT DISTINCT * FROM dirty")
+def q_drop_duplicates(spark, sf):
+    from scour.operators.consistency import drop_exact_duplicates
+    return _round(drop_exact_duplicates(dirty(spark, sf)))
+
+
+@_query("drop_constant", dirty_cte() + "\nSELECT " + ", ".join(c for c, _ in DIRTY_COLS if c != "channel")
+        + " FROM dirty")
+def q_drop_constant(spark, sf):
+    from scour.operators.consistency import drop_constant
+    return _round(drop_constant(dirty(spark, sf)))
+
+
+@_query("non_negative", dirty_cte() + "\nSELECT o_orderkey, CASE WHEN buyer_age < 0 THEN 0 ELSE buyer_age END "
+        "AS buyer_age, visits FROM dirty")
+def q_non_negative(spark, sf):
+    from scour.operators.consistency import enforce_non_negative
+    return _round(enforce_non_negative(dirty(spark, sf).select("o_orderkey", "buyer_age", "visits")))
+
+
+@_query("percentage_range", dirty_cte() + "\nSELECT o_orderkey, CASE WHEN margin_percent < 0 THEN 0 "
+        "WHEN margin_percent > 100 THEN 100 ELSE margin_percent END AS margin_percent FROM dirty")
+def q_percentage_range(spark, sf):
+    from scour.operators.consistency import enforce_percentage
+    return _round(enforce_percentage(dirty(spark, sf).select("o_orderkey", "margin_percent")))
+
+
+@_query("date_order", dirty_cte() + "\nSELECT o_orderkey, ship_start, CASE WHEN ship_start > ship_end "
+        "THEN ship_start ELSE ship_end END AS ship_end FROM dirty")
+def q_date_order(spark, sf):
+    from scour.operators.consistency import repair_date_order
+    return repair_date_order(dirty(spark, sf).select("o_orderkey", "ship_start", "ship_end"))
+
+
+@_query("check_consistency", dirty_cte() + """
+SELECT o_orderkey, order_amount, placed_on, is_urgent, gift_flag, gender, priority, promo_value, visits, ticket,
+  order_notes, ship_start, CASE WHEN ship_start > ship_end THEN ship_start ELSE ship_end END AS ship_end,
+  CASE WHEN margin_percent < 0 THEN 0 WHEN margin_percent > 100 THEN 100 ELSE margin_percent END AS margin_percent,
+  CASE WHEN buyer_age < 0 THEN 0 ELSE buyer_age END AS buyer_age
+FROM (SELECT DISTINCT * FROM dirty)""")
+def q_check_consistency(spark, sf):
+    from scour.operators.consistency import check_consistency
+    return _round(check_consistency(dirty(spark, sf)))
+
+
 # =============================================================================
 # driver contract
 # =============================================================================
