@@ -590,6 +590,83 @@ def q_check_consistency(spark, sf):
     return _round(check_consistency(dirty(spark, sf)))
 
 
+# =============================================================================
+# Features (F1-F7) and encoders
+# =============================================================================
+
+@_query("date_parts", "SELECT o_orderkey, o_orderdate, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, "
+        "CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day "
+        "FROM orders")
+def q_date_parts(spark, sf):
+    from scour.operators.features import date_parts
+    return date_parts(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+
+
+@_query("log1p_skewed", """
+SELECT d.doc_id, d.n_chars, round(ln(1 + d.n_chars), 6) AS n_chars_log1p
+FROM documents d, (SELECT abs(skewness(n_chars)) > 1 AND min(n_chars) >= 0 AS hit FROM documents) s WHERE s.hit""")
+def q_log1p_skewed(spark, sf):
+    from scour.operators.features import log1p_skewed
+    return _round(log1p_skewed(table(spark, sf, "documents").select("doc_id", "n_chars"), {"doc_id": "id"}))
+
+
+@_query("text_features", """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS text_length,
+  CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS text_word_count
+FROM documents""")
+def q_text_features(spark, sf):
+    from scour.operators.features import text_features
+    return text_features(table(spark, sf, "documents").select("doc_id", "text"), ["text"]).drop("text")
+
+
+_P_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@_query("one_hot", "SELECT p_partkey, p_size, " + ", ".join(
+        f"coalesce(p_type = '{v}', false) AS \"p_type_{v}\"" for v in _P_TYPES) + " FROM part")
+def q_one_hot(spark, sf):
+    from scour.operators.features import one_hot
+    return one_hot(table(spark, sf, "part").select("p_partkey", "p_type", "p_size"), "p_type")
+
+
+@_query("factorize", "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS p_brand FROM part")
+def q_factorize(spark, sf):
+    from scour.operators.features import factorize
+    return factorize(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand")
+
+
+@_query("label_encode", "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) "
+        "AS c_mktsegment FROM customer")
+def q_label_encode(spark, sf):
+    from scour.operators.features import label_encode
+    return label_encode(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
+
+
+@_query("bools_to_int", "SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS is_final FROM orders")
+def q_bools_to_int(spark, sf):
+    from scour.operators.features import bools_to_int
+    o = table(spark, sf, "orders")
+    return bools_to_int(o.select("o_orderkey", (F.col("o_orderstatus") == "F").alias("is_final")))
+
+
+_O_STATUS = ["F", "O", "P"]
+_O_PRIO = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@_query("engineer_features", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, "
+        "CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, "
+        "CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day, "
+        + ", ".join(f"coalesce(o_orderstatus = '{v}', false) AS \"o_orderstatus_{v}\"" for v in _O_STATUS) + ", "
+        + ", ".join(f"coalesce(o_orderpriority = '{v}', false) AS \"o_orderpriority_{v}\"" for v in _O_PRIO)
+        + " FROM orders")
+def q_engineer_features(spark, sf):
+    from scour.operators.features import apply_features, fit_features
+    from scour.operators.schema import fit_schema
+    o = table(spark, sf, "orders")
+    roles = fit_schema(o)["roles"]
+    return _round(apply_features(o, fit_features(o, roles)))
+
+
 # =============================================================================
 # driver contract
 # =============================================================================
