@@ -667,6 +667,127 @@ def q_engineer_features(spark, sf):
     return _round(apply_features(o, fit_features(o, roles)))
 
 
+# =============================================================================
+# Steps (U1-U11, N1, X1)
+# =============================================================================
+
+@_query("scale_standard", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / "
+        "(SELECT CASE WHEN stddev_pop(c_acctbal) = 0 THEN 1 ELSE stddev_pop(c_acctbal) END FROM customer), 6) "
+        "AS c_acctbal FROM customer")
+def q_scale_standard(spark, sf):
+    from scour.operators.steps import scale_standard
+    return _round(scale_standard(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")[0])
+
+
+@_query("scale_minmax", "SELECT c_custkey, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / "
+        "(SELECT CASE WHEN max(c_acctbal) = min(c_acctbal) THEN 1 ELSE max(c_acctbal) - min(c_acctbal) END "
+        "FROM customer), 6) AS c_acctbal FROM customer")
+def q_scale_minmax(spark, sf):
+    from scour.operators.steps import scale_minmax
+    return _round(scale_minmax(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")[0])
+
+
+@_query("scale_robust", "SELECT c_custkey, round((c_acctbal - (SELECT median(c_acctbal) FROM customer)) / "
+        "(SELECT CASE WHEN q3 = q1 THEN 1 ELSE q3 - q1 END FROM (SELECT quantile_cont(c_acctbal, 0.25) AS q1, "
+        "quantile_cont(c_acctbal, 0.75) AS q3 FROM customer)), 6) AS c_acctbal FROM customer")
+def q_scale_robust(spark, sf):
+    from scour.operators.steps import scale_robust
+    return _round(scale_robust(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")[0])
+
+
+_NORM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@_query("normalize_all", "SELECT " + ", ".join(
+        f"round(CASE WHEN (SELECT max({c}) > min({c}) FROM lineitem) THEN ({c} - (SELECT min({c}) FROM lineitem)) / "
+        f"(SELECT max({c}) - min({c}) FROM lineitem) ELSE {c} END, 6) AS {c}" for c in _NORM) + " FROM lineitem")
+def q_normalize_all(spark, sf):
+    from scour.operators.steps import normalize_all
+    return _round(normalize_all(table(spark, sf, "lineitem").select(*_NORM))[0])
+
+
+@_query("impute_steps", dirty_cte() + f"""
+SELECT o_orderkey, coalesce(visits, (SELECT median(visits) FROM dirty)) AS visits,
+  coalesce(promo_value, (SELECT avg(promo_value) FROM dirty)) AS promo_value,
+  coalesce(gift_flag, {_mode_sql('gift_flag', 'dirty')}) AS gift_flag,
+  coalesce(order_amount, '0') AS order_amount
+FROM dirty""")
+def q_impute_steps(spark, sf):
+    from scour.operators.steps import Step, apply_steps
+    d = dirty(spark, sf).select("o_orderkey", "visits", "promo_value", "gift_flag", "order_amount")
+    steps = [Step("visits", "impute", "median"), Step("promo_value", "impute", "mean"),
+             Step("gift_flag", "impute", "mode"), Step("order_amount", "impute", "custom", {"value": "0"}),
+             Step("no_such_column", "impute", "mean")]
+    return _round(apply_steps(d, steps)[0])
+
+
+@_query("transform_steps", "SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / "
+        "(SELECT stddev_pop(o_totalprice) FROM orders), 6) AS o_totalprice, o_orderdate, "
+        "CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS o_orderpriority, "
+        + ", ".join(f"coalesce(o_orderstatus = '{v}', false) AS \"o_orderstatus_{v}\"" for v in _O_STATUS)
+        + " FROM orders")
+def q_transform_steps(spark, sf):
+    from scour.operators.steps import Step, apply_steps
+    o = table(spark, sf, "orders")
+    steps = [Step("o_custkey", "drop"), Step("o_totalprice", "scale", "standard"),
+             Step("o_orderstatus", "encode", "onehot"), Step("o_orderpriority", "encode", "label")]
+    return _round(apply_steps(o, steps)[0])
+
+
+# =============================================================================
+# Splits (D-1..D-4, X2)
+# =============================================================================
+
+_RN = "row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)))"
+
+
+@_query("train_test_split", f"SELECT o_orderkey, CASE WHEN {_RN} <= ceil(0.2 * count(*) OVER ()) THEN 'test' "
+        "ELSE 'train' END AS split FROM orders")
+def q_train_test_split(spark, sf):
+    from scour.operators.splits import train_test_split
+    return train_test_split(table(spark, sf, "orders").select("o_orderkey"), 0.2, key="o_orderkey")
+
+
+@_query("train_test_unshuffled", "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= "
+        "count(*) OVER () - ceil(0.25 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM orders")
+def q_train_test_unshuffled(spark, sf):
+    from scour.operators.splits import train_test_split
+    return train_test_split(table(spark, sf, "orders").select("o_orderkey"), 0.25, shuffle=False, key="o_orderkey")
+
+
+@_query("percent_split", f"SELECT o_orderkey, o_totalprice, CASE WHEN {_RN} <= count(*) OVER () - "
+        "floor(0.8 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM orders")
+def q_percent_split(spark, sf):
+    from scour.operators.splits import percent_split
+    return percent_split(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 80, key="o_orderkey")
+
+
+_KFOLD_SQL = f"""
+SELECT o_orderkey, CAST(CASE WHEN rn <= r * (q + 1) THEN (rn - 1) // (q + 1) + 1
+  ELSE r + (rn - 1 - r * (q + 1)) // q + 1 END AS INTEGER) AS fold
+FROM (SELECT o_orderkey, {_RN} AS rn, count(*) OVER () // 7 AS q, count(*) OVER () % 7 AS r FROM orders)"""
+
+
+@_query("kfold", _KFOLD_SQL)
+def q_kfold(spark, sf):
+    from scour.operators.splits import kfold
+    return kfold(table(spark, sf, "orders").select("o_orderkey"), 7, key="o_orderkey")
+
+
+@_query("split_counts", "SELECT fold, count(*) AS rows FROM (" + _KFOLD_SQL + ") GROUP BY fold")
+def q_split_counts(spark, sf):
+    from scour.operators.splits import kfold, split_counts
+    return split_counts(kfold(table(spark, sf, "orders").select("o_orderkey"), 7, key="o_orderkey"), "fold")
+
+
+@_query("stratified_split", "SELECT doc_id, quality, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY "
+        "md5('42:' || CAST(doc_id AS VARCHAR))) <= ceil(0.2 * count(*) OVER (PARTITION BY quality)) THEN 'test' "
+        "ELSE 'train' END AS split FROM labels")
+def q_stratified_split(spark, sf):
+    from scour.operators.splits import stratified_split
+    return stratified_split(table(spark, sf, "labels").select("doc_id", "quality"), "quality", 0.2, key="doc_id")
+
+
 # =============================================================================
 # driver contract
 # =============================================================================
