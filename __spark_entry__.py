@@ -788,6 +788,96 @@ def q_stratified_split(spark, sf):
     return stratified_split(table(spark, sf, "labels").select("doc_id", "quality"), "quality", 0.2, key="doc_id")
 
 
+# =============================================================================
+# Compositions and replay
+# =============================================================================
+
+@_query("auto_layers")
+def q_auto_layers(spark, sf):
+    from scour.plans.auto import auto_layers
+    return _round(auto_layers(dirty(spark, sf), metrics=False)[0])
+
+
+@_query("audit_log")
+def q_audit_log(spark, sf):
+    from scour.plans.auto import auto_layers
+    return auto_layers(dirty(spark, sf), metrics=False)[1].log_df(spark)
+
+
+@_query("replay_recipe")
+def q_replay_recipe(spark, sf):
+    from scour.plans.auto import auto_layers
+    from scour.plans.recipe import Recipe
+    _, r = auto_layers(dirty(spark, sf), metrics=False)
+    again = Recipe.from_json(r.to_json())
+    again.dictionaries = r.dictionaries
+    return _round(again.apply(dirty(spark, sf)))
+
+
+@_query("prepare_steps")
+def q_prepare_steps(spark, sf):
+    from scour.operators.steps import Step
+    from scour.plans.auto import prepare
+    steps = [Step("margin_percent", "scale", "standard"), Step("buyer_age", "scale", "minmax"),
+             Step("Visits", "impute", "median"), Step("ticket", "drop")]
+    return _round(prepare(dirty(spark, sf), steps, metrics=False)[0])
+
+
+@_query("auto_clean")
+def q_auto_clean(spark, sf):
+    from scour.plans.auto import auto_clean
+    return _round(auto_clean(dirty(spark, sf), split_percent=80, key="o_orderkey")[0])
+
+
+_RUN_STEPS = [{"column": "o_custkey", "action": "drop"}, {"column": "o_totalprice", "action": "scale",
+                                                          "method": "minmax"},
+              {"column": "o_orderpriority", "action": "encode", "method": "label"}]
+_RUN_CLEAN = ("SELECT o_orderkey, o_orderstatus, round((o_totalprice - (SELECT min(o_totalprice) FROM orders)) / "
+              "(SELECT max(o_totalprice) - min(o_totalprice) FROM orders), 6) AS o_totalprice, o_orderdate, "
+              "CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS o_orderpriority FROM orders")
+
+
+def _run(spark, sf, mode, **kw):
+    from scour.plans.auto import run_mode
+    o = table(spark, sf, "orders")
+    return _round(run_mode(o, mode, step_list=_RUN_STEPS, key="o_orderkey", **kw)[0])
+
+
+@_query("run_clean_only", _RUN_CLEAN)
+def q_run_clean_only(spark, sf):
+    return _run(spark, sf, "clean_only")
+
+
+@_query("run_split", f"SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, "
+        f"o_orderdate, o_orderpriority, CASE WHEN {_RN} <= ceil(0.3 * count(*) OVER ()) THEN 'test' ELSE 'train' "
+        "END AS split FROM orders")
+def q_run_split(spark, sf):
+    return _run(spark, sf, "split", test_size=0.3)
+
+
+@_query("run_clean_and_split", f"SELECT *, CASE WHEN {_RN} <= ceil(0.2 * count(*) OVER ()) THEN 'test' "
+        f"ELSE 'train' END AS split FROM ({_RUN_CLEAN})")
+def q_run_clean_and_split(spark, sf):
+    return _run(spark, sf, "clean_and_split", test_size=0.2)
+
+
+_KF3 = lambda src, cols: f"""
+SELECT {cols}, CAST(CASE WHEN rn <= r * (q + 1) THEN (rn - 1) // (q + 1) + 1
+  ELSE r + (rn - 1 - r * (q + 1)) // q + 1 END AS INTEGER) AS fold
+FROM (SELECT *, {_RN} AS rn, count(*) OVER () // 3 AS q, count(*) OVER () % 3 AS r FROM ({src}))"""
+
+
+@_query("run_cross_validation", _KF3("SELECT * FROM orders", "o_orderkey, o_custkey, o_orderstatus, "
+                                     "round(o_totalprice, 6) AS o_totalprice, o_orderdate, o_orderpriority"))
+def q_run_cross_validation(spark, sf):
+    return _run(spark, sf, "cross_validation", n_folds=3)
+
+
+@_query("run_clean_and_cv", _KF3(_RUN_CLEAN, "o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"))
+def q_run_clean_and_cv(spark, sf):
+    return _run(spark, sf, "clean_and_cv", n_folds=3)
+
+
 # =============================================================================
 # driver contract
 # =============================================================================
