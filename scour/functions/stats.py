@@ -99,18 +99,67 @@ class ColumnCounts:
     n_values: int
     top_cnt: int
     mode: object
+    samples: list | None = None
+    ranks: dict | None = None
 
 
-def column_counts(df: DataFrame, cols: list[str]) -> dict[str, ColumnCounts]:
-    """Exact distinct count, non-null count, top count and mode for each column (one shuffle)."""
+def column_counts(df: DataFrame, cols: list[str], *, samples: int = 0,
+                  ranks: dict[str, list[int]] | None = None) -> dict[str, ColumnCounts]:
+    """Exact distinct count, non-null count, top count and mode for each column (one shuffle).
+
+    With ``samples=k`` the k smallest values (with repeats) per column are
+    returned in ``ColumnCounts.samples``, taken from the same histogram by a
+    per-column group limit (each map task ships at most k rows per column).
+    """
     if not cols:
         return {}
-    rows = histogram_summary(value_histogram(df, cols)).collect()
-    out = {c: ColumnCounts(0, 0, 0, None) for c in cols}
+    hist = value_histogram(df, cols)
+    summ = histogram_summary(hist).select("cid", F.lit(0).alias("kind"), "n_distinct", "n_values", "top_cnt",
+                                          "mode", F.lit(None).cast("int").alias("rn"),
+                                          F.lit(None).cast("bigint").alias("cnt"))
+    rows = []
+    if samples > 0:
+        w = Window.partitionBy("cid").orderBy("v")
+        low = (hist.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= samples)
+               .select("cid", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("n_distinct"),
+                       F.lit(None).cast("bigint").alias("n_values"), F.lit(None).cast("bigint").alias("top_cnt"),
+                       F.col("v").alias("mode"), "rn", "cnt"))
+        summ = summ.unionByName(low)
+    if ranks:
+        # order statistics of low-cardinality columns from the same histogram: the
+        # caller only asks for columns whose distinct count is bounded
+        spark = df.sparkSession
+        want = [(cols.index(c), int(j)) for c, js in ranks.items() for j in js]
+        tdf = F.broadcast(spark.createDataFrame(want, "cid int, j long"))
+        cidset = sorted({w[0] for w in want})
+        wc = Window.partitionBy("cid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        cum = hist.where(F.col("cid").isin(cidset)).withColumn("cum", F.sum("cnt").over(wc))
+        hit = (cum.join(tdf, "cid").where((F.col("cum") - F.col("cnt") <= F.col("j")) & (F.col("j") < F.col("cum")))
+               .select("cid", F.lit(2).alias("kind"), F.lit(None).cast("bigint").alias("n_distinct"),
+                       F.lit(None).cast("bigint").alias("n_values"), F.lit(None).cast("bigint").alias("top_cnt"),
+                       F.col("v").alias("mode"), F.col("j").cast("int").alias("rn"),
+                       F.lit(None).cast("bigint").alias("cnt")))
+        summ = summ.unionByName(hit)
+    rows = summ.collect()
+    out = {c: ColumnCounts(0, 0, 0, None, [], {}) for c in cols}
+    low_rows = {}
+    ostat = {}
     for r in rows:
         c = cols[r["cid"]]
-        out[c] = ColumnCounts(int(r["n_distinct"]), int(r["n_values"]), int(r["top_cnt"]),
-                              slot_value(r["mode"], KT.dtype_of(df, c)))
+        if r["kind"] == 2:
+            ostat.setdefault(c, {})[r["rn"]] = slot_value(r["mode"], KT.dtype_of(df, c))
+        elif r["kind"] == 0:
+            out[c] = ColumnCounts(int(r["n_distinct"]), int(r["n_values"]), int(r["top_cnt"]),
+                                  slot_value(r["mode"], KT.dtype_of(df, c)), [], {})
+        else:
+            low_rows.setdefault(c, []).append((r["rn"], slot_value(r["mode"], KT.dtype_of(df, c)), r["cnt"]))
+    for c, items in low_rows.items():
+        vals = []
+        for _, v, cnt in sorted(items, key=lambda x: x[0]):
+            vals += [v] * int(min(cnt, samples))
+        out[c].samples = vals[:samples]
+    for c, m in ostat.items():
+        out[c].ranks = m
     return out
 
 
@@ -160,7 +209,7 @@ def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tupl
     known = dict(known or {})
     missing = [n for n in {t[0] for t in targets} if n not in known]
     if missing:
-        row = base.agg(*[F.struct(F.count(vcol[n]), F.approx_count_distinct(vcol[n], 0.02)).alias(f"k{i}")
+        row = base.agg(*[F.struct(F.count(vcol[n]), F.approx_count_distinct(vcol[n])).alias(f"k{i}")
                          for i, n in enumerate(missing)]).collect()[0]
         known.update({n: tuple(row[f"k{i}"]) for i, n in enumerate(missing)})
 
@@ -190,7 +239,7 @@ def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tupl
             inb = _in_band(v, b)
             aggs += [
                 F.count_if(inb).alias(f"m{k}"),
-                F.approx_count_distinct(F.when(inb, v), 0.02).alias(f"d{k}"),
+                F.approx_count_distinct(F.when(inb, v)).alias(f"d{k}"),
                 F.percentile_approx(F.when(inb, v), fracs, accuracy).alias(f"g{k}"),
                 (F.count_if(v < F.lit(b.lo)) if b.lo is not None else F.lit(0)).alias(f"b{k}"),
             ]
@@ -281,11 +330,29 @@ def _num_exprs(df: DataFrame, cols: list[str]) -> dict[str, Column]:
 def count_and_distinct(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, int]]:
     """(non-null count, approximate distinct count) per column in one pass."""
     ex = _num_exprs(df, cols)
-    row = df.agg(*[F.struct(F.count(e), F.approx_count_distinct(e, 0.02)).alias(f"k{i}")
+    row = df.agg(*[F.struct(F.count(e), F.approx_count_distinct(e)).alias(f"k{i}")
                    for i, e in enumerate(ex.values())]).collect()[0]
     return {c: tuple(row[f"k{i}"]) for i, c in enumerate(cols)}
 
 
+def quantile_plan(n: int, probs: list[float]) -> list[tuple[int, int, float]]:
+    """(low rank, high rank, fraction) per probability for n values (linear interpolation)."""
+    out = []
+    for p in probs:
+        h = (n - 1) * p
+        lo, hi = math.floor(h), math.ceil(h)
+        out.append((lo, hi, h - lo))
+    return out
+
+
+def finish_quantiles(plan, values: dict[int, object]) -> list[float]:
+    out = []
+    for lo, hi, t in plan:
+        a, b = float(values[lo]), float(values[hi])
+        out.append(a if lo == hi else _lerp(a, b, t))
+    return out
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], *, method: str = "exact",
               known: dict[str, tuple[int, int]] | None = None,
               accuracy: int = ACCURACY) -> dict[str, list]:

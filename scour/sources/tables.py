@@ -10,8 +10,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a small input over the cluster's cores.
+
+    A file with a single row group is read by one task, so every pass before
+    the first shuffle would run on one core.  When the input has fewer
+    partitions than the default parallelism it is round-robin repartitioned;
+    a large input (many files or row groups) is returned untouched, so this
+    never adds a shuffle at scale.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    from scour.session import cut_lineage
+    return cut_lineage(df.repartition(target))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *, balanced: bool = False) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return balance(df) if balanced else df
 
 
 def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
