@@ -878,6 +878,73 @@ def q_run_clean_and_cv(spark, sf):
     return _run(spark, sf, "clean_and_cv", n_folds=3)
 
 
+# =============================================================================
+# Sources, sinks and streaming (S1-S7, R6 on a stream)
+# =============================================================================
+
+def _scratch(spark, name):
+    """A fresh folder under the session's reliable checkpoint folder (shared storage on a cluster)."""
+    import uuid
+
+    from scour.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/scour-{name}-{uuid.uuid4().hex[:8]}"
+
+
+@_query("read_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, "
+        "o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'F' THEN 'x' ELSE 'y' END "
+        "AS flag, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS maybe_key FROM orders")
+def q_read_csv(spark, sf):
+    from scour.sources.io import read_table, write_table
+    o = table(spark, sf, "orders")
+    src = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
+                   F.when(F.col("o_orderstatus") == "P", "NA").when(F.col("o_orderstatus") == "F", "x")
+                    .otherwise("y").alias("flag"),
+                   F.when(F.col("o_orderkey") % 9 == 0, "n/a").otherwise(F.col("o_custkey").cast("string"))
+                    .alias("maybe_key"))
+    path = _scratch(spark, "csv")
+    write_table(src, path, "csv")
+    return _round(read_table(spark, path, "csv"))
+
+
+@_query("narrow_types", "SELECT CAST(l_orderkey AS SMALLINT) AS l_orderkey, CAST(l_partkey AS SMALLINT) AS l_partkey, "
+        "CAST(l_suppkey AS TINYINT) AS l_suppkey, CAST(l_linenumber AS TINYINT) AS l_linenumber, "
+        "CAST(l_quantity AS FLOAT) AS l_quantity, l_extendedprice FROM lineitem")
+def q_narrow_types(spark, sf):
+    from scour.sources.io import narrow_types
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                             "l_extendedprice")
+    return narrow_types(li, floats=True)
+
+
+@_query("preview", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20")
+def q_preview(spark, sf):
+    from scour.sources.io import preview
+    return preview(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), 20, "o_orderkey")
+
+
+@_query("write_splits", "SELECT fold, count(*) AS rows FROM (" + _KFOLD_SQL + ") GROUP BY fold")
+def q_write_splits(spark, sf):
+    from scour.operators.splits import kfold, split_counts
+    from scour.sources.io import write_splits
+    path = _scratch(spark, "folds")
+    write_splits(kfold(table(spark, sf, "orders"), 7, key="o_orderkey"), path)
+    return split_counts(spark.read.parquet(path), "fold")
+
+
+@_query("stream_replay")
+def q_stream_replay(spark, sf):
+    import os
+
+    from scour.plans.auto import auto_layers
+    from scour.streaming.replay import replay_stream, run_to_table
+    o = table(spark, sf, "orders")
+    _, recipe = auto_layers(o, metrics=False, materialize=False)
+    stream = spark.readStream.schema(o.schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    out = replay_stream(recipe, stream)
+    name = "scour_stream_" + os.urandom(4).hex()
+    return _round(run_to_table(out, name, _scratch(spark, "stream")))
+
+
 # =============================================================================
 # driver contract
 # =============================================================================
