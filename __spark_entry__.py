@@ -610,7 +610,7 @@ def q_log1p_skewed(spark, sf):
     return _round(log1p_skewed(table(spark, sf, "documents").select("doc_id", "n_chars"), {"doc_id": "id"}))
 
 
-@_query("text_features", """
+@_query("text_features", r"""
 SELECT doc_id, CAST(length(text) AS BIGINT) AS text_length,
   CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS text_word_count
 FROM documents""")
