@@ -24,9 +24,13 @@ def qcol(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+# Every character Python's str.strip() removes (derived from str.isspace, not listed by hand).
+UNICODE_WS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(c) -> Column:
-    """Trim Unicode white space at both ends (Spark's trim only removes spaces)."""
-    return F.regexp_replace(col(c), _LEAD_TRAIL_WS, "")
+    """Trim Unicode white space at both ends (Spark's trim only removes spaces); no regex."""
+    return F.btrim(col(c), F.lit(UNICODE_WS))
 
 
 def lower_strip(c) -> Column:
@@ -50,12 +54,10 @@ def nan_to_null(c, dt: T.DataType) -> Column:
 
 
 def numeric_text(c) -> Column:
-    """Greedy numeric parse of text: drop currency, commas, white space and every char
-    outside ``0-9 . -``, then parse; unparsable text is NULL."""
-    s = strip(c)
-    s = F.regexp_replace(s, "[" + vocab.CURRENCY_CHARS.replace("$", r"\$") + "]", "")
-    s = F.regexp_replace(s, _ANY_WS, "")
-    s = F.regexp_replace(s, r"[^0-9.\-]", "")
+    """Greedy numeric parse of text: drop currency, commas, white space and every other char
+    outside ``0-9 . -`` (one regex: the first removals are subsumed by the last), then parse;
+    unparsable text is NULL."""
+    s = F.regexp_replace(col(c), r"[^0-9.\-]", "")
     return F.when(s.isin("", "-", "."), F.lit(None).cast("double")).otherwise(s.try_cast("double"))
 
 

@@ -86,6 +86,15 @@ def categories(df: DataFrame, column: str, limit: int) -> list | None:
     return sorted(r["v"] for r in rows)
 
 
+def small_categories(df: DataFrame, cols: list[str]) -> dict[str, list]:
+    """Sorted distinct values of columns already proven to hold at most ``ONE_HOT_MAX`` of them
+    (so each set is bounded), in one aggregate."""
+    if not cols:
+        return {}
+    row = df.agg(*[F.array_sort(F.collect_set(qcol(c))).alias(f"c{i}") for i, c in enumerate(cols)]).collect()[0]
+    return {c: list(row[f"c{i}"]) for i, c in enumerate(cols)}
+
+
 def one_hot_exprs(name: str, values: list) -> list[Column]:
     """``<col>_<value>`` booleans in sorted value order; a missing value gives all false."""
     return [F.coalesce(qcol(name) == F.lit(v), F.lit(False)).alias(f"{name}_{v}") for v in values]
@@ -146,12 +155,14 @@ def fit_features(df: DataFrame, roles: dict[str, str]) -> dict:
     encoded = []
     if cat_cols:
         counts = stats.column_counts(df, cat_cols)
+        small = [c for c in cat_cols if 1 < counts[c].n_distinct <= vocab.ONE_HOT_MAX]
+        cats = small_categories(df, small)
         for c in cat_cols:
             k = counts[c].n_distinct
             if k <= 1:
                 continue
             if k <= vocab.ONE_HOT_MAX:
-                vals = categories(df, c, vocab.ONE_HOT_MAX)
+                vals = cats[c]
                 encoded.append({"column": c, "method": "onehot", "categories": vals,
                                 "new_columns": [f"{c}_{v}" for v in vals]})
                 for v in vals:

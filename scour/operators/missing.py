@@ -21,22 +21,32 @@ from scour.functions.exprs import nan_to_null, qcol
 KEEP_ROLES = {"id", "datetime_feature", "text"}
 
 
-def _null_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+def _null_counts(df: DataFrame, known: dict | None = None) -> tuple[int, dict[str, int]]:
+    """Row count and missing count per column; with ``known`` (a dict) also fills
+    (non-null count, approximate distinct count) of numeric columns for the median passes."""
     cols = df.columns
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_if(nan_to_null(qcol(c), KT.dtype_of(df, c)).isNull()).alias(f"m{i}")
-                   for i, c in enumerate(cols)]).collect()[0]
-    return row["_n"], {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count_if(nan_to_null(qcol(c), KT.dtype_of(df, c)).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]
+    num = [c for c in cols if KT.is_number(KT.dtype_of(df, c))] if known is not None else []
+    aggs += [F.approx_count_distinct(nan_to_null(qcol(c), KT.dtype_of(df, c))).alias(f"d{i}")
+             for i, c in enumerate(cols) if c in num]
+    row = df.agg(*aggs).collect()[0]
+    n = row["_n"]
+    if known is not None:
+        for i, c in enumerate(cols):
+            if c in num:
+                known[c] = (n - row[f"m{i}"], row[f"d{i}"])
+    return n, {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
 def _fill_values(df: DataFrame, cols: list[str], *, method: str = "exact",
-                 unknown_for_all_missing: bool = True) -> dict[str, dict]:
+                 unknown_for_all_missing: bool = True, known: dict | None = None) -> dict[str, dict]:
     """Fill rule per column: numeric -> median, datetime -> most frequent (earliest on ties),
     other -> mode (smallest on ties) or 'unknown' when nothing is present."""
     dts = {c: KT.dtype_of(df, c) for c in cols}
     num = [c for c in cols if KT.is_number(dts[c])]
     other = [c for c in cols if c not in num]
-    med = stats.medians(df, num, method=method) if num else {}
+    med = stats.medians(df, num, method=method, known=known) if num else {}
     md = stats.modes(df, other) if other else {}
     out = {}
     for c in cols:
@@ -76,7 +86,8 @@ def fit_missing(df: DataFrame, roles: dict[str, str] | None = None, *,
                 sparse_ratio: float = vocab.SPARSE_COLUMN_RATIO, method: str = "exact") -> dict:
     """Which columns to drop, which get an indicator, and each fill value."""
     roles = roles or {}
-    n, miss = _null_counts(df)
+    known: dict = {}
+    n, miss = _null_counts(df, known)
     dropped, kept = [], []
     for c in df.columns:
         if not miss[c]:
@@ -86,7 +97,7 @@ def fit_missing(df: DataFrame, roles: dict[str, str] | None = None, *,
             dropped.append({"column": c, "missing_ratio": ratio})
         else:
             kept.append(c)
-    fills = _fill_values(df, kept, method=method)
+    fills = _fill_values(df, kept, method=method, known=known)
     return {
         "dropped_columns": dropped,
         "indicator_columns": [f"{c}_was_missing" for c in kept],
@@ -155,9 +166,10 @@ def impute(df: DataFrame, column: str, strategy: str = "auto", value=None, *, me
 
 def fit_residual(df: DataFrame, *, method: str = "exact") -> dict:
     """Fill values for every column that still has a missing value (no indicators)."""
-    _, miss = _null_counts(df)
+    known: dict = {}
+    _, miss = _null_counts(df, known)
     cols = [c for c in df.columns if miss[c]]
-    fills = _fill_values(df, cols, method=method)
+    fills = _fill_values(df, cols, method=method, known=known)
     return {"dropped_columns": [], "indicator_columns": [],
             "imputations": [{"column": c, **fills[c]} for c in cols]}
 

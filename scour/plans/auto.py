@@ -32,6 +32,7 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     before/after quality metrics).
     """
     r = Recipe()
+    clock = _Clock(r)
     rows, ncols = _shape(df)
     r.stats["raw_data"] = {"rows": rows, "columns": list(df.columns)}
     if metrics:
@@ -51,6 +52,7 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
         r.note("schema", f"Schema Cleaning: coerced types {sp['type_conversions']}")
     df = schema.apply_schema(df, sp)
 
+    clock("schema")
     # semantic
     sem = semantic.fit_semantic(df, roles)
     r.add("semantic", sem)
@@ -62,6 +64,7 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     if materialize:
         df = cut_lineage(df)
 
+    clock("semantic")
     # missing data
     mp = missing.fit_missing(df, roles, method=method)
     r.add("missing", mp)
@@ -72,6 +75,7 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
         r.note("missing", f"Missing Data Handling: imputations={mp['imputations']}, "
                           f"dropped={mp['dropped_columns']}, indicators={mp['indicator_columns']}")
 
+    clock("missing")
     # outliers
     op = outliers.fit_outliers(df, roles, method=method)
     r.add("outliers", op)
@@ -82,8 +86,9 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     if op["actions"]:
         r.note("outliers", f"Outlier Handling: {op['actions']}")
 
+    clock("outliers")
     # consistency
-    cp = consistency.fit_consistency(df, roles)
+    cp = consistency.fit_consistency(df, roles, rows_before=rows)
     r.add("consistency", cp)
     df = consistency.apply_consistency(df, cp)
     if materialize:
@@ -93,6 +98,7 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
                               f"{cp['constant_columns_dropped']}, numeric adjustments={cp['numeric_adjustments']}, "
                               f"date corrections={cp['date_corrections']}")
 
+    clock("consistency")
     # features
     fp = features.fit_features(df, roles)
     roles = fp.pop("roles")
@@ -104,6 +110,7 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     df = features.apply_features(df, fp, dict(r.dictionaries))
     r.note("features", f"Feature Engineering: created features {fp}")
 
+    clock("features")
     # ML-ready
     rp = missing.fit_residual(df, method=method)
     r.add("residual", rp)
@@ -113,15 +120,32 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     df = features.bools_to_int(df)
     if rp["imputations"]:
         r.note("ml_ready", f"ML Ready: resolved residual missing values {rp['imputations']}")
-    rows2, ncols2 = _shape(df)
+    rows2, ncols2 = cp["rows"], len(df.columns)
     r.stats["ml_ready"] = {"total_features": ncols2, "rows": rows2, "bool_columns_encoded": bool_cols}
     r.note("ml_ready", f"ML Ready: dataset shape ({rows2}, {ncols2})")
     if metrics:
         r.stats["post_quality_metrics"] = _metrics(df)
+    clock("ml_ready")
     r.roles = roles
     return df, r
 
 
+class _Clock:
+    """Wall time of each layer's fit (P8 run statistics)."""
+
+    def __init__(self, r: Recipe):
+        import time
+        self._time = time.time
+        self._t = time.time()
+        self._r = r
+        r.stats["fit_seconds"] = {}
+
+    def __call__(self, layer: str) -> None:
+        now = self._time()
+        self._r.stats["fit_seconds"][layer] = round(now - self._t, 3)
+        self._t = now
+
+
 def _metrics(df: DataFrame) -> dict:
     q = profile.quality_metrics(df).collect()
     return {r["column"]: {"dtype": r["dtype"], "completeness": r["completeness"], "uniqueness": r["uniqueness"]}

@@ -26,7 +26,7 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return cut_lineage(df.repartition(target))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *, balanced: bool = False) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *, balanced: bool = True) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return balance(df) if balanced else df
 
