@@ -792,7 +792,76 @@ def q_stratified_split(spark, sf):
 # Compositions and replay
 # =============================================================================
 
-@_query("auto_layers")
+def _auto_layers_sql():
+    """The seven layers on DIRTY as one CTE chain (decisions that depend on the data - which
+    flags exist, which columns are skewed - are the ones this data leads to)."""
+    imp = _IMPUTE_SQL[len(dirty_cte()):]
+    # imp is ", sem AS (...)\nSELECT ... FROM sem": make it a named CTE
+    sem_part, sel = imp.split(")\nSELECT ", 1)
+    chain = dirty_cte() + sem_part + "), imp AS (SELECT " + sel + ")"
+
+    def fence(col, lo=None, hi=None):
+        a, b = f"q1 - 1.5 * (q3 - q1)", f"q3 + 1.5 * (q3 - q1)"
+        if lo is not None:
+            a = f"greatest({a}, {lo})"
+        if hi is not None:
+            b = f"least({b}, {hi})"
+        return (f"f_{col} AS (SELECT {a} AS lo, {b} AS hi FROM (SELECT quantile_cont({col}, 0.25) AS q1, "
+                f"quantile_cont({col}, 0.75) AS q3 FROM imp))")
+
+    fcols = [("o_orderkey", None, None), ("order_amount", 0, None), ("is_urgent", None, None),
+             ("visits", None, None), ("margin_percent", 0, 100), ("buyer_age", 0, 120)]
+    chain += ", " + ", ".join(fence(c, lo, hi) for c, lo, hi in fcols)
+
+    def clip(c):
+        return (f"CASE WHEN {c} IS NULL THEN NULL ELSE greatest(least(CAST({c} AS DOUBLE), greatest(f_{c}.lo, f_{c}.hi)), "
+                f"least(f_{c}.lo, f_{c}.hi)) END AS {c}")
+
+    out_cols = ", ".join(clip(c) for c, _, _ in fcols)
+    flags = ", ".join(f"CAST(coalesce({c} < f_{c}.lo OR {c} > f_{c}.hi, false) AS INTEGER) AS {c}_outlier_flag"
+                      for c in ("margin_percent", "buyer_age"))
+    chain += (f", outl AS (SELECT {out_cols}, placed_on, gift_flag, gender, priority, ticket, order_notes, channel, "
+              f"ship_start, ship_end, order_amount_was_missing, placed_on_was_missing, gift_flag_was_missing, "
+              f"gender_was_missing, visits_was_missing, {flags} FROM imp, "
+              + ", ".join(f"f_{c}" for c, _, _ in fcols) + ")")
+    chain += (", con AS (SELECT o_orderkey, CASE WHEN order_amount < 0 THEN 0 ELSE order_amount END AS order_amount, "
+              "placed_on, is_urgent, visits, gift_flag, gender, priority, ticket, order_notes, ship_start, "
+              "CASE WHEN ship_start > ship_end THEN ship_start ELSE ship_end END AS ship_end, "
+              "CASE WHEN margin_percent < 0 THEN 0 WHEN margin_percent > 100 THEN 100 ELSE margin_percent END AS margin_percent, "
+              "CASE WHEN buyer_age < 0 THEN 0 ELSE buyer_age END AS buyer_age, order_amount_was_missing, "
+              "placed_on_was_missing, gift_flag_was_missing, gender_was_missing, visits_was_missing, "
+              "margin_percent_outlier_flag, buyer_age_outlier_flag FROM (SELECT DISTINCT * FROM outl))")
+    parts = []
+    for c in ("placed_on", "ship_start", "ship_end"):
+        parts += [f"CAST(year({c}) AS INTEGER) AS {c}_year", f"CAST(month({c}) AS INTEGER) AS {c}_month",
+                  f"CAST(day({c}) AS INTEGER) AS {c}_day"]
+    logs = [f"ln(1 + {p}({'ship_end'})) AS ship_end_{n}_log1p" for p, n in (("year", "year"), ("month", "month"),
+                                                                            ("day", "day"))]
+    onehot = []
+    for c, vals in (("gift_flag", ["maybe", "no", "yes"]), ("gender", ["female", "male", "other"]),
+                    ("priority", ["HIGH", "LOW", "MEDIUM", "NOT SPECIFIED", "URGENT"])):
+        onehot += [f"CAST(coalesce({c} = '{v}', false) AS INTEGER) AS \"{c}_{v}\"" for v in vals]
+    text = ["CAST(length(order_notes) AS BIGINT) AS order_notes_length",
+            "CAST(len(list_filter(regexp_split_to_array(order_notes, '\\s+'), lambda x: x <> '')) AS BIGINT) "
+            "AS order_notes_word_count"]
+    final = ("SELECT o_orderkey, order_amount, placed_on, is_urgent, visits, "
+             "CAST(dense_rank() OVER (ORDER BY ticket) - 1 AS BIGINT) AS ticket, order_notes, ship_start, ship_end, "
+             "margin_percent, buyer_age, order_amount_was_missing, placed_on_was_missing, gift_flag_was_missing, "
+             "gender_was_missing, visits_was_missing, margin_percent_outlier_flag, buyer_age_outlier_flag, "
+             + ", ".join(parts + logs + text + onehot) + " FROM con")
+    cols_sql = "SELECT * FROM (" + final + ")"
+    return chain + "\n" + "SELECT " + ", ".join(
+        [f"round({c}, 6) AS {c}" for c in ("o_orderkey", "order_amount", "is_urgent", "visits", "margin_percent",
+                                            "buyer_age", "ship_end_year_log1p", "ship_end_month_log1p",
+                                            "ship_end_day_log1p")]) + \
+        ", * EXCLUDE (o_orderkey, order_amount, is_urgent, visits, margin_percent, buyer_age, ship_end_year_log1p, " \
+        "ship_end_month_log1p, ship_end_day_log1p) FROM (" + cols_sql + ")"
+
+
+_AUTO_SQL = _auto_layers_sql()
+
+
+@_query("auto_layers", _AUTO_SQL)
 def q_auto_layers(spark, sf):
     from scour.plans.auto import auto_layers
     return _round(auto_layers(dirty(spark, sf), metrics=False)[0])
@@ -804,7 +873,7 @@ def q_audit_log(spark, sf):
     return auto_layers(dirty(spark, sf), metrics=False)[1].log_df(spark)
 
 
-@_query("replay_recipe")
+@_query("replay_recipe", _AUTO_SQL)
 def q_replay_recipe(spark, sf):
     from scour.plans.auto import auto_layers
     from scour.plans.recipe import Recipe
