@@ -849,16 +849,27 @@ def _auto_layers_sql():
              "margin_percent, buyer_age, order_amount_was_missing, placed_on_was_missing, gift_flag_was_missing, "
              "gender_was_missing, visits_was_missing, margin_percent_outlier_flag, buyer_age_outlier_flag, "
              + ", ".join(parts + logs + text + onehot) + " FROM con")
-    cols_sql = "SELECT * FROM (" + final + ")"
-    return chain + "\n" + "SELECT " + ", ".join(
-        [f"round({c}, 6) AS {c}" for c in ("o_orderkey", "order_amount", "is_urgent", "visits", "margin_percent",
-                                            "buyer_age", "ship_end_year_log1p", "ship_end_month_log1p",
-                                            "ship_end_day_log1p")]) + \
-        ", * EXCLUDE (o_orderkey, order_amount, is_urgent, visits, margin_percent, buyer_age, ship_end_year_log1p, " \
-        "ship_end_month_log1p, ship_end_day_log1p) FROM (" + cols_sql + ")"
+    return chain + ", auto AS (" + final + ")\n"
 
 
-_AUTO_SQL = _auto_layers_sql()
+_ROUNDED = ("o_orderkey", "order_amount", "is_urgent", "visits", "margin_percent", "buyer_age",
+            "ship_end_year_log1p", "ship_end_month_log1p", "ship_end_day_log1p")
+
+
+def _rounded_select(src: str, cols=_ROUNDED) -> str:
+    return ("SELECT " + ", ".join(f"round({c}, 6) AS {c}" for c in cols) + ", * EXCLUDE (" + ", ".join(cols)
+            + f") FROM {src}")
+
+
+_AUTO_BASE = _auto_layers_sql()
+_AUTO_SQL = _AUTO_BASE + _rounded_select("auto")
+_PREPARE_SQL = _AUTO_BASE.rstrip() + """, st AS (SELECT * EXCLUDE (ticket, margin_percent, buyer_age),
+  (margin_percent - (SELECT avg(margin_percent) FROM auto)) /
+    (SELECT CASE WHEN stddev_pop(margin_percent) = 0 THEN 1 ELSE stddev_pop(margin_percent) END FROM auto) AS margin_percent,
+  (buyer_age - (SELECT min(buyer_age) FROM auto)) /
+    (SELECT CASE WHEN max(buyer_age) = min(buyer_age) THEN 1 ELSE max(buyer_age) - min(buyer_age) END FROM auto) AS buyer_age
+FROM auto)
+""" + _rounded_select("st", tuple(c for c in _ROUNDED))
 
 
 @_query("auto_layers", _AUTO_SQL)
@@ -883,7 +894,7 @@ def q_replay_recipe(spark, sf):
     return _round(again.apply(dirty(spark, sf)))
 
 
-@_query("prepare_steps")
+@_query("prepare_steps", _PREPARE_SQL)
 def q_prepare_steps(spark, sf):
     from scour.operators.steps import Step
     from scour.plans.auto import prepare
@@ -1000,7 +1011,26 @@ def q_write_splits(spark, sf):
     return split_counts(spark.read.parquet(path), "fold")
 
 
-@_query("stream_replay")
+def _orders_layers_sql():
+    def fence(col, lo=None):
+        a = "q1 - 1.5 * (q3 - q1)" if lo is None else f"greatest(q1 - 1.5 * (q3 - q1), {lo})"
+        return (f"f_{col} AS (SELECT {a} AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT quantile_cont({col}, 0.25) AS q1, "
+                f"quantile_cont({col}, 0.75) AS q3 FROM orders))")
+
+    def clip(c):
+        return (f"round(greatest(least(CAST({c} AS DOUBLE), greatest(f_{c}.lo, f_{c}.hi)), least(f_{c}.lo, f_{c}.hi)), 6) "
+                f"AS {c}")
+    onehot = [f"CAST(o_orderstatus = '{v}' AS INTEGER) AS \"o_orderstatus_{v}\"" for v in _O_STATUS]
+    onehot += [f"CAST(o_orderpriority = '{v}' AS INTEGER) AS \"o_orderpriority_{v}\"" for v in _O_PRIO]
+    return ("WITH " + ", ".join([fence("o_orderkey"), fence("o_custkey"), fence("o_totalprice", 0)]) +
+            "\nSELECT DISTINCT " + ", ".join([clip("o_orderkey"), clip("o_custkey"), clip("o_totalprice"), "o_orderdate",
+                                              "CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year",
+                                              "CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month",
+                                              "CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day"] + onehot) +
+            " FROM orders, f_o_orderkey, f_o_custkey, f_o_totalprice")
+
+
+@_query("stream_replay", _orders_layers_sql())
 def q_stream_replay(spark, sf):
     import os
 
