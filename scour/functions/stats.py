@@ -193,7 +193,7 @@ def _in_band(v: Column, b: _Band) -> Column:
 
 def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tuple[str, int]], *,
                      known: dict[str, tuple[int, int]] | None = None, band_limit: int = BAND_LIMIT,
-                     grid: int = GRID, accuracy: int = ACCURACY) -> dict[tuple[str, int], object]:
+                     grid: int = GRID, accuracy: int = ACCURACY, with_counts: bool = False) -> dict:
     """Exact value at 0-based ascending rank ``r`` of each named expression (NULLs excluded).
 
     ``exprs`` maps a name to a numeric expression over ``df``; ``targets`` lists
@@ -274,7 +274,9 @@ def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tupl
 
     if to_count:
         result.update(_count_bands(base, vcol, to_count))
-    return {t: result.get(t) for t in targets}
+    if with_counts:
+        return {t: result.get(t) for t in targets}
+    return {t: (result[t].value if isinstance(result.get(t), _Stat) else result.get(t)) for t in targets}
 
 
 def _count_bands(base: DataFrame, vcol, to_count) -> dict:
@@ -299,12 +301,27 @@ def _count_bands(base: DataFrame, vcol, to_count) -> dict:
     tdf = spark.createDataFrame(want, "bid int, j long, tkey string")
     hit = (cum.join(F.broadcast(tdf), "bid")
               .where((F.col("cum") - F.col("cnt") <= F.col("j")) & (F.col("j") < F.col("cum")))
-              .select("tkey", "v", "lv").collect())
+              .select("tkey", "v", "lv", (F.col("cum") - F.col("cnt") - F.col("j")).alias("lt_off"), "cnt").collect())
     out = {}
     for r in hit:
         name, rank = r["tkey"].split("\u0000")
-        out[(name, int(rank))] = (r["v"], r["lv"])
-    return {t: _pick(out.get(t)) for t in to_count}
+        out[(name, int(rank))] = (r["v"], r["lv"], r["lt_off"], r["cnt"])
+    res = {}
+    for t in to_count:
+        v = out.get(t)
+        if v is None:
+            res[t] = None
+        else:
+            # rows strictly below the value = rank + (band rows before it - position in band)
+            res[t] = _Stat(_pick(v[:2]), t[1] + v[2], v[3])
+    return res
+
+
+@dataclass
+class _Stat:
+    value: object
+    lt: int  # rows with a smaller value
+    eq: int  # rows with this value
 
 
 def _pick(v):

@@ -40,12 +40,19 @@ def _tiebreak(df: DataFrame) -> Column:
     return F.xxhash64(*[qcol(c) for c in df.columns])
 
 
-def _thresholds(df: DataFrame, order: Column, counts: list[int], n: int) -> list[tuple]:
+def count_rows(df: DataFrame, order: Column) -> tuple[int, int]:
+    """(rows, approximate distinct order values) in one pass."""
+    n, d = df.agg(F.count(F.lit(1)), F.approx_count_distinct(order)).collect()[0]
+    return n, d
+
+
+def _thresholds(df: DataFrame, order: Column, counts: list[int], n: int, distinct: int | None = None) -> list[tuple]:
     """For each c in ``counts`` (rows that must fall at or below the split), a rule
     (value, tie_value) such that row <= split  <=>  order < value or
     (order == value and (tie_value is None or tiebreak <= tie_value))."""
-    ranks = [c - 1 for c in counts if 0 < c <= n]
-    st = stats.order_statistics(df, {"o": order}, [("o", r) for r in ranks])
+    ranks = [c - 1 for c in counts if 0 < c < n]
+    known = {"o": (n, distinct)} if distinct is not None else None
+    st = stats.order_statistics(df, {"o": order}, [("o", r) for r in ranks], known=known, with_counts=True)
     rules = {}
     checks = []
     for c in counts:
@@ -56,12 +63,8 @@ def _thresholds(df: DataFrame, order: Column, counts: list[int], n: int) -> list
         else:
             checks.append((c, st[("o", c - 1)]))
     if checks:
-        aggs = []
-        for i, (c, v) in enumerate(checks):
-            aggs += [F.count_if(order < F.lit(v)).alias(f"lt{i}"), F.count_if(order == F.lit(v)).alias(f"eq{i}")]
-        row = df.agg(*aggs).collect()[0]
-        for i, (c, v) in enumerate(checks):
-            lt, eq = row[f"lt{i}"], row[f"eq{i}"]
+        for c, stat in checks:
+            v, lt, eq = stat.value, stat.lt, stat.eq
             need = c - lt
             if need == eq:
                 rules[c] = ("le", v, None)
@@ -104,15 +107,15 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, *, shuffle: bool = T
     """
     if test_size < 0.1 or test_size > 0.4:
         raise ValueError("test_size must be between 0.1 and 0.4")
-    n = df.count()
+    order = _order(df, shuffle, seed, key)
+    n, d = count_rows(df, order)
     if n < min_rows:
         raise ValueError(f"Dataset too small for splitting (minimum {min_rows} rows required)")
     n_test = math.ceil(test_size * n)
-    order = _order(df, shuffle, seed, key)
     if shuffle:
-        (rule,) = _thresholds(df, order, [n_test], n)
+        (rule,) = _thresholds(df, order, [n_test], n, d)
         return df.withColumn("split", F.when(_below(df, order, rule), "test").otherwise("train"))
-    (rule,) = _thresholds(df, order, [n - n_test], n)
+    (rule,) = _thresholds(df, order, [n - n_test], n, d)
     return df.withColumn("split", F.when(_below(df, order, rule), "train").otherwise("test"))
 
 
@@ -121,13 +124,13 @@ def percent_split(df: DataFrame, percent: float, *, seed: int = 42, key=None) ->
     if not (0 < percent <= 100):
         raise ValueError("percent must be in (0, 100]")
     share = max(0.1, min(0.95, percent / 100.0))
-    n = df.count()
+    order = shuffle_rank(df, key, seed)
+    n, d = count_rows(df, order)
     if n < 2:
         raise ValueError("Dataset has too few rows after processing")
     n_train = math.floor(share * n)
     n_test = n - n_train
-    order = shuffle_rank(df, key, seed)
-    (rule,) = _thresholds(df, order, [n_test], n)
+    (rule,) = _thresholds(df, order, [n_test], n, d)
     return df.withColumn("split", F.when(_below(df, order, rule), "test").otherwise("train"))
 
 
@@ -139,15 +142,15 @@ def kfold(df: DataFrame, k: int = 5, *, shuffle: bool = True, seed: int = 42, ke
     """D-3: adds ``fold`` (1..k); the first n % k folds hold one extra row."""
     if k < 2 or k > 10:
         raise ValueError("n_folds must be between 2 and 10")
-    n = df.count()
+    order = _order(df, shuffle, seed, key)
+    n, d = count_rows(df, order)
     if n < 2 * k:
         raise ValueError(f"Dataset too small for {k}-fold CV (minimum {2 * k} rows required)")
     cum, run = [], 0
     for s in fold_sizes(n, k)[:-1]:
         run += s
         cum.append(run)
-    order = _order(df, shuffle, seed, key)
-    rules = _thresholds(df, order, cum, n)
+    rules = _thresholds(df, order, cum, n, d)
     fold = F.lit(1)
     for r in rules:
         fold = fold + F.when(_below(df, order, r), 0).otherwise(1)
