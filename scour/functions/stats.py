@@ -199,6 +199,8 @@ def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tupl
     ``exprs`` maps a name to a numeric expression over ``df``; ``targets`` lists
     (name, rank) pairs; ``known`` may give (non-null count, approximate distinct
     count) per name to save the first pass.  Ranks outside [0, n) give None.
+    With ``with_counts`` each result also carries how many values are smaller
+    than and equal to it.
     """
     if not targets:
         return {}
@@ -213,24 +215,23 @@ def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tupl
                          for i, n in enumerate(missing)]).collect()[0]
         known.update({n: tuple(row[f"k{i}"]) for i, n in enumerate(missing)})
 
-    result: dict[tuple[str, int], object] = {}
-    to_count: dict[tuple[str, int], tuple[_Band, int]] = {}
-    # (band, count in band, approx distinct in band, rows below band) per target
-    cur = {}
+    result: dict = {}
+    to_count: dict[tuple[str, int], _Band] = {}
+    cur: dict[tuple[str, int], _Band] = {}
     for t in set(targets):
         n, d = known[t[0]]
         if not n or t[1] < 0 or t[1] >= n:
             result[t] = None
         elif d <= band_limit or n <= band_limit:
-            to_count[t] = (_Band(t[0], None, None), t[1])
+            to_count[t] = _Band(t[0], None, None)
         else:
-            cur[t] = (_Band(t[0], None, None), n, 0)
+            cur[t] = _Band(t[0], None, None)
 
     for _ in range(MAX_PASSES):
         if not cur:
             break
         bands = {}
-        for t, (b, m, below) in cur.items():
+        for t, b in cur.items():
             bands.setdefault(b.key(), b)
         band_list = list(bands.values())
         aggs = []
@@ -239,35 +240,34 @@ def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tupl
             inb = _in_band(v, b)
             aggs += [
                 F.count_if(inb).alias(f"m{k}"),
-                F.approx_count_distinct(F.when(inb, v)).alias(f"d{k}"),
                 F.percentile_approx(F.when(inb, v), fracs, accuracy).alias(f"g{k}"),
                 (F.count_if(v < F.lit(b.lo)) if b.lo is not None else F.lit(0)).alias(f"b{k}"),
             ]
         row = base.agg(*aggs).collect()[0]
-        stats = {b.key(): (row[f"m{k}"], row[f"d{k}"], row[f"g{k}"], row[f"b{k}"])
-                 for k, b in enumerate(band_list)}
+        st = {b.key(): (row[f"m{k}"], row[f"g{k}"], row[f"b{k}"]) for k, b in enumerate(band_list)}
         nxt = {}
-        for t, (b, _, _) in cur.items():
-            m, d, g, below = stats[b.key()]
+        for t, b in cur.items():
+            m, g, below = st[b.key()]
             j = t[1] - below
             if m == 0 or j < 0 or j >= m:
                 raise RuntimeError(f"order statistic bracket lost for {t}")
-            if d <= band_limit or m <= band_limit:
-                to_count[t] = (b, j)
+            if m <= band_limit:
+                to_count[t] = b
                 continue
             eps = 2.0 * m / accuracy + 1.0
-            lo, hi = b.lo, b.hi
+            lo, hi, i_lo, i_hi = b.lo, b.hi, 0, grid
             for i, f in enumerate(fracs):
                 if f * m + eps <= j:
-                    lo = g[i]
+                    lo, i_lo = g[i], i
             for i in range(len(fracs) - 1, -1, -1):
                 if fracs[i] * m - eps >= j:
-                    hi = g[i]
+                    hi, i_hi = g[i], i
             nb = _Band(b.name, lo, hi)
-            if nb.key() == b.key():
-                to_count[t] = (b, j)  # cannot narrow further: count what is there
+            est = (i_hi - i_lo) / grid * m + 2 * eps
+            if nb.key() == b.key() or est <= band_limit / 2:
+                to_count[t] = nb  # small enough (or cannot narrow): count it exactly
             else:
-                nxt[t] = (nb, m, below)
+                nxt[t] = nb
         cur = nxt
     for t in cur:
         raise RuntimeError(f"order statistic did not converge for {t}")
@@ -279,42 +279,43 @@ def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tupl
     return {t: (result[t].value if isinstance(result.get(t), _Stat) else result.get(t)) for t in targets}
 
 
-def _count_bands(base: DataFrame, vcol, to_count) -> dict:
-    """Resolve targets whose band holds few distinct values: count values per band and
-    walk the cumulative counts (each window group is one bounded band)."""
+def _count_bands(base: DataFrame, vcol, to_count: dict) -> dict:
+    """Resolve targets by counting the values of their band exactly.
+
+    Each row contributes (band, value) when inside a band and (band, NULL) when
+    below it; map-side combining turns all rows below a band into one count,
+    and NULL sorts first, so the running count is the global rank.  Each window
+    group is one band: a bounded number of distinct values.
+    """
     bands = {}
-    for t, (b, _) in to_count.items():
+    for t, b in to_count.items():
         bands.setdefault(b.key(), (len(bands), b))
-    arr = F.array(*[F.when(_in_band(vcol[b.name], b),
-                           F.struct(F.lit(bid).alias("bid"), vcol[b.name].cast("double").alias("v"),
-                                    vcol[b.name].try_cast("bigint").alias("lv")))
-                    for bid, b in bands.values()])
-    pairs = base.select(F.inline(F.filter(arr, lambda s: s.isNotNull())))
+    items = []
+    for bid, b in bands.values():
+        v = vcol[b.name]
+        items.append(F.when(_in_band(v, b), F.struct(F.lit(bid).alias("bid"), v.cast("double").alias("v"),
+                                                     v.try_cast("bigint").alias("lv"))))
+        if b.lo is not None:
+            items.append(F.when(v < F.lit(b.lo), F.struct(F.lit(bid).alias("bid"), F.lit(None).cast("double").alias("v"),
+                                                          F.lit(None).cast("bigint").alias("lv"))))
+    pairs = base.select(F.inline(F.filter(F.array(*items), lambda s: s.isNotNull())))
     hist = pairs.groupBy("bid", "v", "lv").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("bid").orderBy("v", "lv").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("bid").orderBy(F.col("v").asc_nulls_first(), F.col("lv").asc_nulls_first()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
     cum = hist.withColumn("cum", F.sum("cnt").over(w))
     spark = base.sparkSession
-    want = []
-    for t, (b, j) in to_count.items():
-        bid = bands[b.key()][0]
-        want.append((bid, int(j), f"{t[0]}\u0000{t[1]}"))
+    want = [(bands[b.key()][0], int(t[1]), f"{t[0]}\u0000{t[1]}") for t, b in to_count.items()]
     tdf = spark.createDataFrame(want, "bid int, j long, tkey string")
     hit = (cum.join(F.broadcast(tdf), "bid")
               .where((F.col("cum") - F.col("cnt") <= F.col("j")) & (F.col("j") < F.col("cum")))
-              .select("tkey", "v", "lv", (F.col("cum") - F.col("cnt") - F.col("j")).alias("lt_off"), "cnt").collect())
+              .select("tkey", "v", "lv", (F.col("cum") - F.col("cnt")).alias("lt"), "cnt").collect())
     out = {}
     for r in hit:
         name, rank = r["tkey"].split("\u0000")
-        out[(name, int(rank))] = (r["v"], r["lv"], r["lt_off"], r["cnt"])
-    res = {}
-    for t in to_count:
-        v = out.get(t)
-        if v is None:
-            res[t] = None
-        else:
-            # rows strictly below the value = rank + (band rows before it - position in band)
-            res[t] = _Stat(_pick(v[:2]), t[1] + v[2], v[3])
-    return res
+        if r["v"] is None and r["lv"] is None:
+            raise RuntimeError(f"order statistic bracket lost for {(name, rank)}")
+        out[(name, int(rank))] = _Stat(_pick((r["v"], r["lv"])), r["lt"], r["cnt"])
+    return {t: out.get(t) for t in to_count}
 
 
 @dataclass
