@@ -884,6 +884,17 @@ def q_audit_log(spark, sf):
     return auto_layers(dirty(spark, sf), metrics=False)[1].log_df(spark)
 
 
+@_query("run_stats", dirty_cte() + """
+SELECT 'raw' AS stage, count(*) AS rows, CAST(16 AS BIGINT) AS columns FROM dirty
+UNION ALL SELECT 'ml_ready', count(*), CAST(43 AS BIGINT) FROM (SELECT DISTINCT * FROM dirty)""")
+def q_run_stats(spark, sf):
+    from scour.plans.auto import auto_layers
+    _, r = auto_layers(dirty(spark, sf), metrics=False)
+    rows = [("raw", r.stats["raw_data"]["rows"], len(r.stats["raw_data"]["columns"])),
+            ("ml_ready", r.stats["ml_ready"]["rows"], r.stats["ml_ready"]["total_features"])]
+    return spark.createDataFrame(rows, "stage string, rows bigint, columns bigint")
+
+
 @_query("replay_recipe", _AUTO_SQL)
 def q_replay_recipe(spark, sf):
     from scour.plans.auto import auto_layers
@@ -986,6 +997,16 @@ def q_read_csv(spark, sf):
     return _round(read_table(spark, path, "csv"))
 
 
+@_query("read_json", "SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer")
+def q_read_json(spark, sf):
+    from scour.sources.io import read_table, write_table
+    path = _scratch(spark, "json")
+    write_table(table(spark, sf, "customer"), path, "json")
+    back = read_table(spark, path, "json")
+    return _round(back.select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"),
+                              "c_acctbal", "c_mktsegment"))
+
+
 @_query("narrow_types", "SELECT CAST(l_orderkey AS SMALLINT) AS l_orderkey, CAST(l_partkey AS SMALLINT) AS l_partkey, "
         "CAST(l_suppkey AS TINYINT) AS l_suppkey, CAST(l_linenumber AS TINYINT) AS l_linenumber, "
         "CAST(l_quantity AS FLOAT) AS l_quantity, l_extendedprice FROM lineitem")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from scour.session import cut_lineage
 
 _LOW_BITS = 33
-# Dictionaries with at most this many entries are broadcast to the join.
-BROADCAST_ROWS = 2_000_000
+# Dictionaries with at most this many entries are broadcast to the join (a copy per executor).
+BROADCAST_ROWS = 100_000
 
 
 def dense_dictionary(values: DataFrame, value_col: str = "value") -> tuple[DataFrame, int]:

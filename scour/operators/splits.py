@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from scour.functions import stats
 from scour.functions.exprs import qcol
 
-MAX_STRATA = 10_000
+# Each stratum carries its own sketch in one aggregate: stratify by a label, not by a key.
+MAX_STRATA = 256
 
 
 def key_text(df: DataFrame, key=None) -> Column:

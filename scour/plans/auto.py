@@ -20,10 +20,6 @@ from scour.plans.recipe import Recipe
 from scour.session import cut_lineage
 
 
-def _shape(df: DataFrame) -> tuple[int, int]:
-    return df.count(), len(df.columns)
-
-
 def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = True,
                 metrics: bool = True) -> tuple[DataFrame, Recipe]:
     """Schema -> semantic -> missing -> outliers -> consistency -> features -> ML-ready.
@@ -33,19 +29,22 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     """
     r = Recipe()
     clock = _Clock(r)
-    rows, ncols = _shape(df)
-    r.stats["raw_data"] = {"rows": rows, "columns": list(df.columns)}
-    if metrics:
-        r.stats["quality_metrics"] = _metrics(df)
-    r.note("raw", f"Raw Data: loaded dataset with {rows} rows and {ncols} columns")
+    raw_cols = list(df.columns)
 
-    # schema
+    # schema (its two jobs also give the row count and the raw quality metrics)
     renames = schema.fit_names(df.columns)
     r.add("names", {"renamed": renames})
     df = schema.apply_names(df, renames)
+    sp = schema.fit_schema(df, quality=True)
+    rows, ncols = sp.pop("rows"), len(raw_cols)
+    quality = sp.pop("quality")
+    r.stats["raw_data"] = {"rows": rows, "columns": raw_cols}
+    if metrics:
+        inv = {v: k for k, v in renames.items()}
+        r.stats["quality_metrics"] = {inv.get(c, c): m for c, m in quality.items()}
+    r.note("raw", f"Raw Data: loaded dataset with {rows} rows and {ncols} columns")
     if renames:
         r.note("schema", f"Schema Cleaning: renamed columns {json.dumps(renames)}")
-    sp = schema.fit_schema(df)
     r.add("schema", sp)
     roles = dict(sp["roles"])
     if sp["type_conversions"]:
@@ -207,7 +206,10 @@ def auto_clean(df: DataFrame, *, split_percent: float | None = 80.0, impute_miss
             df = _apply_minmax(df, {"columns": sc})
             for c in sc:
                 r.note("auto_clean", f"Normalized {c} using MinMax scaling")
-    n = df.count()
+    # imputing, clipping and scaling keep every row: the count is the one the layers measured
+    n = r.stats.get("ml_ready", {}).get("rows")
+    if n is None:
+        n = df.count()
     r.note("auto_clean", f"Final dataset: {n} rows, {len(df.columns)} columns")
     if split_percent:
         df = splits.percent_split(df, split_percent, seed=seed, key=key)

@@ -42,3 +42,31 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() == 11
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_auto_clean_and_run_modes(spark):
+    from scour.plans.auto import auto_clean, run_mode
+    d = dirty(spark, SF)
+    out, r = auto_clean(d, split_percent=80, key="o_orderkey")
+    n = out.count()
+    assert out.where(F.col("split") == "train").count() == int(0.8 * n)
+    assert any("Final dataset" in m for _, m in r.log)
+    o = table(spark, SF, "orders")
+    folds, meta = run_mode(o, "clean_and_cv", step_list=[{"column": "o_custkey", "action": "drop"}], n_folds=3,
+                           key="o_orderkey")
+    assert "o_custkey" not in folds.columns and sum(v["val"] for v in meta["rows_per_fold"].values()) == o.count()
+    import pytest
+    with pytest.raises(ValueError):
+        run_mode(o, "bogus")
+
+
+def test_recipe_save_and_load(spark):
+    from scour.plans.recipe import Recipe
+    from scour.session import checkpoint_dir
+    import uuid
+    d = dirty(spark, SF)
+    out, r = auto.auto_layers(d, metrics=False)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/recipe-test-{uuid.uuid4().hex[:6]}"
+    r.save(path)
+    back = Recipe.load(spark, path)
+    assert sorted(map(tuple, back.apply(dirty(spark, SF)).collect())) == sorted(map(tuple, out.collect()))
