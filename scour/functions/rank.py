@@ -20,10 +20,21 @@ _LOW_BITS = 33
 BROADCAST_ROWS = 100_000
 
 
-def dense_dictionary(values: DataFrame, value_col: str = "value") -> tuple[DataFrame, int]:
-    """(value, code) with code = 0-based rank among the distinct non-null values; plus the count."""
-    d = values.select(F.col(value_col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    ordered = d.orderBy("value").withColumn("_mid", F.monotonically_increasing_id())
+def dense_dictionary(values: DataFrame, value_col: str = "value",
+                     order_col: str | None = None) -> tuple[DataFrame, int]:
+    """(value, code) with code = 0-based rank among the distinct non-null values; plus the count.
+
+    With ``order_col`` values are ranked by their first appearance (smallest
+    ``order_col`` of the value; ties by value) instead of by value.
+    """
+    d = values.where(F.col(value_col).isNotNull())
+    if order_col is None:
+        d = d.select(F.col(value_col).alias("value")).distinct()
+        keys = ["value"]
+    else:
+        d = d.groupBy(F.col(value_col).alias("value")).agg(F.min(order_col).alias("_first"))
+        keys = ["_first", "value"]
+    ordered = d.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
     ck = cut_lineage(ordered)
     per_part = (ck.groupBy(F.shiftright("_mid", _LOW_BITS).alias("pid"))
                   .agg(F.count(F.lit(1)).alias("n")).collect())

@@ -69,7 +69,15 @@ DATETIME_FORMATS = (
 )
 
 
-def name_has(name: str, keywords) -> bool:
-    """Case-insensitive substring test of a column name against keywords."""
+# "substring" (source behaviour: 'age' matches 'percentage') or "token" (whole name parts only).
+KEYWORD_MATCH = "substring"
+
+
+def name_has(name: str, keywords, match: str | None = None) -> bool:
+    """Case-insensitive test of a column name against keywords (see ``KEYWORD_MATCH``)."""
     lowered = name.lower()
+    if (match or KEYWORD_MATCH) == "token":
+        import re
+        parts = set(re.split(r"[^0-9a-z]+", lowered))
+        return any(k in parts for k in keywords)
     return any(k in lowered for k in keywords)

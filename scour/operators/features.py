@@ -113,9 +113,14 @@ def one_hot(df: DataFrame, column: str, max_categories: int | None = vocab.ONE_H
     return df.select(*[qcol(c) for c in df.columns if c != column], *ex)
 
 
-def factorize(df: DataFrame, column: str, missing_code: int = -1) -> DataFrame:
-    """codes 0..k-1 in value order (missing -> -1), computed by an exact distributed dictionary."""
-    d, size = rank.dense_dictionary(df.select(qcol(column).alias("value")))
+def factorize(df: DataFrame, column: str, missing_code: int = -1, order_by: str | None = None) -> DataFrame:
+    """codes 0..k-1 in value order - or in order of first appearance along ``order_by`` -
+    with missing -> -1, computed by an exact distributed dictionary."""
+    if order_by is None:
+        d, size = rank.dense_dictionary(df.select(qcol(column).alias("value")))
+    else:
+        d, size = rank.dense_dictionary(df.select(qcol(column).alias("value"), qcol(order_by).alias("_ord")),
+                                        order_col="_ord")
     return rank.join_codes(df, column, d, size, missing_code=missing_code)
 
 

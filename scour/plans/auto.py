@@ -2,9 +2,10 @@
 the five run modes (R4).
 
 Each layer fits on the frame left by the previous one (a few aggregate jobs)
-and applies lazily.  Two points materialise to the reliable checkpoint
+and applies lazily.  Three points materialise to the reliable checkpoint
 folder: after the semantic layer (so the text parsing is not redone by every
-later fit) and after deduplication (the one shuffle of whole rows).
+later fit), after deduplication (the one shuffle of whole rows) and the
+ML-ready result (read again by the metrics and any later stage).
 """
 
 from __future__ import annotations
@@ -117,6 +118,9 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     bool_cols = KT.columns_where(df, KT.is_bool)
     r.add("bools", {"columns": bool_cols})
     df = features.bools_to_int(df)
+    if materialize:
+        # the result is read again by the quality metrics and by every later stage
+        df = cut_lineage(df)
     if rp["imputations"]:
         r.note("ml_ready", f"ML Ready: resolved residual missing values {rp['imputations']}")
     rows2, ncols2 = cp["rows"], len(df.columns)

@@ -70,3 +70,16 @@ def test_unknown_step_column_is_logged(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     out, log, acts = steps.apply_steps(df, [{"column": "nope", "action": "impute", "method": "mean"}])
     assert log == ["Manual: skipped impute for missing column nope"] and acts == []
+
+
+def test_factorize_first_appearance(spark):
+    df = spark.createDataFrame([(1, "z"), (2, "a"), (3, "z"), (4, None), (5, "m")], "t int, s string")
+    out = {r["t"]: r["s"] for r in features.factorize(df, "s", order_by="t").collect()}
+    assert out == {1: 0, 2: 1, 3: 0, 4: -1, 5: 2}
+
+
+def test_token_keyword_match():
+    from scour.functions import vocab
+    assert vocab.name_has("percentage", vocab.POSITIVE_KEYWORDS)  # substring: 'age'
+    assert not vocab.name_has("percentage", vocab.POSITIVE_KEYWORDS, match="token")
+    assert vocab.name_has("buyer_age", vocab.POSITIVE_KEYWORDS, match="token")
