@@ -49,8 +49,8 @@ def count_rows(df: DataFrame, order: Column) -> tuple[int, int]:
 
 def _thresholds(df: DataFrame, order: Column, counts: list[int], n: int, distinct: int | None = None) -> list[tuple]:
     """For each c in ``counts`` (rows that must fall at or below the split), a rule
-    (value, tie_value) such that row <= split  <=>  order < value or
-    (order == value and (tie_value is None or tiebreak <= tie_value))."""
+    ("le", value, tie_value, position) read by ``_below``: order < value, then within equal
+    order values a content hash <= tie_value, then within identical rows a row position."""
     ranks = [c - 1 for c in counts if 0 < c < n]
     known = {"o": (n, distinct)} if distinct is not None else None
     st = stats.order_statistics(df, {"o": order}, [("o", r) for r in ranks], known=known, with_counts=True)
@@ -63,20 +63,26 @@ def _thresholds(df: DataFrame, order: Column, counts: list[int], n: int, distinc
             rules[c] = ("all",)
         else:
             checks.append((c, st[("o", c - 1)]))
-    if checks:
-        for c, stat in checks:
-            v, lt, eq = stat.value, stat.lt, stat.eq
-            need = c - lt
-            if need == eq:
-                rules[c] = ("le", v, None)
-            else:  # the split falls inside a group of equal keys: order that group by content hash
-                tie = _tiebreak(df)
-                inner = df.where(order == F.lit(v))
-                tv = stats.order_statistics(inner, {"t": tie}, [("t", need - 1)])[("t", need - 1)]
-                got = inner.agg(F.count_if(tie <= F.lit(tv))).collect()[0][0]
-                if got != need:
-                    raise ValueError("identical rows straddle a split point; pass a key that identifies rows")
-                rules[c] = ("le", v, tv)
+    for c, stat in checks:
+        v, lt, eq = stat.value, stat.lt, stat.eq
+        need = c - lt
+        if need == eq:
+            rules[c] = ("le", v, None, None)
+            continue
+        # the split point falls inside a group of equal order values: order it by content hash
+        tie = _tiebreak(df)
+        inner = df.where(order == F.lit(v))
+        t2 = stats.order_statistics(inner, {"t": tie}, [("t", need - 1)], with_counts=True)[("t", need - 1)]
+        need2 = need - t2.lt
+        if need2 == t2.eq:
+            rules[c] = ("le", v, t2.value, None)
+            continue
+        # identical rows straddle the split point: they are interchangeable, so the first
+        # need2 of them by row position (stable for a deterministic input) go below
+        pos = df.withColumn(_POS, F.monotonically_increasing_id()) \
+                .where((order == F.lit(v)) & (tie == F.lit(t2.value)))
+        t3 = stats.order_statistics(pos, {"p": F.col(_POS)}, [("p", need2 - 1)])[("p", need2 - 1)]
+        rules[c] = ("le", v, t2.value, t3)
     return [rules[c] for c in counts]
 
 
@@ -85,10 +91,28 @@ def _below(df: DataFrame, order: Column, rule: tuple) -> Column:
         return F.lit(False)
     if rule[0] == "all":
         return F.lit(True)
-    _, v, tv = rule
+    _, v, tv, pv = rule
     if tv is None:
         return order <= F.lit(v)
-    return (order < F.lit(v)) | ((order == F.lit(v)) & (_tiebreak(df) <= F.lit(tv)))
+    tie = _tiebreak(df)
+    if pv is None:
+        return (order < F.lit(v)) | ((order == F.lit(v)) & (tie <= F.lit(tv)))
+    # the row position must be evaluated for every row (a projection of its own, as when the
+    # split point was found), not inside a short-circuited condition
+    return ((order < F.lit(v)) | ((order == F.lit(v)) & (tie < F.lit(tv))) |
+            ((order == F.lit(v)) & (tie == F.lit(tv)) & (F.col(_POS) <= F.lit(pv))))
+
+
+_POS = "__scour_pos"
+
+
+def _label(df: DataFrame, order: Column, name: str, rules: list[tuple], build) -> DataFrame:
+    """Add column ``name`` = build(list of below-conditions); a row-position column is
+    projected first (and dropped after) when a rule splits a group of identical rows."""
+    if any(r[0] == "le" and r[3] is not None for r in rules):
+        base = df.withColumn(_POS, F.monotonically_increasing_id())
+        return base.withColumn(name, build([_below(df, order, r) for r in rules])).drop(_POS)
+    return df.withColumn(name, build([_below(df, order, r) for r in rules]))
 
 
 def _order(df: DataFrame, shuffle: bool, seed: int, key) -> Column:
@@ -114,10 +138,10 @@ def train_test_split(df: DataFrame, test_size: float = 0.2, *, shuffle: bool = T
         raise ValueError(f"Dataset too small for splitting (minimum {min_rows} rows required)")
     n_test = math.ceil(test_size * n)
     if shuffle:
-        (rule,) = _thresholds(df, order, [n_test], n, d)
-        return df.withColumn("split", F.when(_below(df, order, rule), "test").otherwise("train"))
-    (rule,) = _thresholds(df, order, [n - n_test], n, d)
-    return df.withColumn("split", F.when(_below(df, order, rule), "train").otherwise("test"))
+        rules = _thresholds(df, order, [n_test], n, d)
+        return _label(df, order, "split", rules, lambda b: F.when(b[0], "test").otherwise("train"))
+    rules = _thresholds(df, order, [n - n_test], n, d)
+    return _label(df, order, "split", rules, lambda b: F.when(b[0], "train").otherwise("test"))
 
 
 def percent_split(df: DataFrame, percent: float, *, seed: int = 42, key=None) -> DataFrame:
@@ -131,8 +155,8 @@ def percent_split(df: DataFrame, percent: float, *, seed: int = 42, key=None) ->
         raise ValueError("Dataset has too few rows after processing")
     n_train = math.floor(share * n)
     n_test = n - n_train
-    (rule,) = _thresholds(df, order, [n_test], n, d)
-    return df.withColumn("split", F.when(_below(df, order, rule), "test").otherwise("train"))
+    rules = _thresholds(df, order, [n_test], n, d)
+    return _label(df, order, "split", rules, lambda b: F.when(b[0], "test").otherwise("train"))
 
 
 def fold_sizes(n: int, k: int) -> list[int]:
@@ -152,10 +176,13 @@ def kfold(df: DataFrame, k: int = 5, *, shuffle: bool = True, seed: int = 42, ke
         run += s
         cum.append(run)
     rules = _thresholds(df, order, cum, n, d)
-    fold = F.lit(1)
-    for r in rules:
-        fold = fold + F.when(_below(df, order, r), 0).otherwise(1)
-    return df.withColumn("fold", fold.cast("int"))
+
+    def build(below):
+        fold = F.lit(1)
+        for b in below:
+            fold = fold + F.when(b, 0).otherwise(1)
+        return fold.cast("int")
+    return _label(df, order, "fold", rules, build)
 
 
 def fold_views(df: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
