@@ -64,28 +64,32 @@ def _thresholds(df: DataFrame, order: Column, counts: list[int], n: int, distinc
         else:
             checks.append((c, st[("o", c - 1)]))
     for c, stat in checks:
-        v, lt, eq = stat.value, stat.lt, stat.eq
-        need = c - lt
-        if need == eq:
-            rules[c] = ("le", v, None, None)
-            continue
-        # the split point falls inside a group of equal order values: order it by content hash
-        tie = _tiebreak(df)
-        inner = df.where(order == F.lit(v))
-        t2 = stats.order_statistics(inner, {"t": tie}, [("t", need - 1)], with_counts=True)[("t", need - 1)]
-        need2 = need - t2.lt
-        if need2 == t2.eq:
-            rules[c] = ("le", v, t2.value, None)
-            continue
-        # identical rows straddle the split point: they are interchangeable, so the first
-        # need2 of them by row position (stable for a deterministic input) go below
-        pos = df.withColumn(_POS, F.monotonically_increasing_id()) \
-                .where((order == F.lit(v)) & (tie == F.lit(t2.value)))
-        t3 = stats.order_statistics(pos, {"p": F.col(_POS)}, [("p", need2 - 1)])[("p", need2 - 1)]
-        rules[c] = ("le", v, t2.value, t3)
+        rules[c] = _resolve(df, order, c, stat)
     return [rules[c] for c in counts]
 
 
+def _resolve(df: DataFrame, order: Column, c: int, stat) -> tuple:
+    """Rule putting exactly ``c`` rows (by ``order``) at or below the split, given the order
+    statistic at rank c-1 with its smaller / equal counts."""
+    v, lt, eq = stat.value, stat.lt, stat.eq
+    need = c - lt
+    if need == eq:
+        return ("le", v, None, None)
+    # the split point falls inside a group of equal order values: order it by content hash
+    tie = _tiebreak(df)
+    inner = df.where(order == F.lit(v))
+    t2 = stats.order_statistics(inner, {"t": tie}, [("t", need - 1)], with_counts=True)[("t", need - 1)]
+    need2 = need - t2.lt
+    if need2 == t2.eq:
+        return ("le", v, t2.value, None)
+    # identical rows straddle the split point: they are interchangeable, so the first
+    # need2 of them by row position (stable for a deterministic input) go below
+    pos = df.withColumn(_POS, F.monotonically_increasing_id()) \
+            .where((order == F.lit(v)) & (tie == F.lit(t2.value)))
+    t3 = stats.order_statistics(pos, {"p": F.col(_POS)}, [("p", need2 - 1)])[("p", need2 - 1)]
+    return ("le", v, t2.value, t3)
+
+
 def _below(df: DataFrame, order: Column, rule: tuple) -> Column:
     if rule[0] == "none":
         return F.lit(False)
@@ -204,21 +208,29 @@ def stratified_split(df: DataFrame, stratify: str, test_size: float = 0.2, *, se
     if len(counts) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
     order = shuffle_rank(df, key, seed)
-    s = qcol(stratify)
-    exprs, targets, need = {}, [], {}
+    col = qcol(stratify)
+    exprs, targets, plan = {}, [], []
     for i, r in enumerate(counts):
         n_test = math.ceil(test_size * r["n"])
-        need[i] = (r["s"], n_test, r["n"])
-        cond = s.isNull() if r["s"] is None else (s == F.lit(r["s"]))
-        exprs[f"s{i}"] = F.when(cond, order)
+        cond = col.isNull() if r["s"] is None else (col == F.lit(r["s"]))
+        scoped = F.when(cond, order)
+        exprs[f"s{i}"] = scoped
+        plan.append((i, cond, scoped, n_test, r["n"]))
         if 0 < n_test < r["n"]:
             targets.append((f"s{i}", n_test - 1))
-    st = stats.order_statistics(df, exprs, targets)
-    is_test = F.lit(False)
-    for i, (val, n_test, n_s) in need.items():
-        cond = s.isNull() if val is None else (s == F.lit(val))
+    st = stats.order_statistics(df, exprs, targets, with_counts=True)
+    parts, rules = [], []
+    for i, cond, scoped, n_test, n_s in plan:
         if n_test >= n_s:
-            is_test = is_test | cond
+            parts.append(cond)
         elif n_test > 0:
-            is_test = is_test | (cond & (order <= F.lit(st[(f"s{i}", n_test - 1)])))
+            rule = _resolve(df, scoped, n_test, st[(f"s{i}", n_test - 1)])
+            rules.append(rule)
+            parts.append(cond & _below(df, scoped, rule))
+    is_test = F.lit(False)
+    for p in parts:
+        is_test = is_test | p
+    if any(r[3] is not None for r in rules):
+        return df.withColumn(_POS, F.monotonically_increasing_id()) \
+                 .withColumn("split", F.when(is_test, "test").otherwise("train")).drop(_POS)
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))

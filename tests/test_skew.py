@@ -42,3 +42,12 @@ def test_hot_value_fill(spark):
     df = _hot(spark).select(F.when(F.col("k") == 7, None).otherwise(F.col("s")).alias("s"))
     out = missing.ensure_complete(df)
     assert out.where(F.col("s").isNull()).count() == 0 and out.count() == 3000
+
+
+def test_hot_key_stratified_split(spark):
+    df = _hot(spark).withColumn("y", (F.col("k") % 2).cast("int"))
+    out = splits.stratified_split(df, "y", 0.2, key="k")
+    got = {r["y"]: r["n"] for r in out.where(F.col("split") == "test").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    import math
+    assert got == {y: math.ceil(0.2 * n) for y, n in sizes.items()}
