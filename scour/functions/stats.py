@@ -193,14 +193,17 @@ def _in_band(v: Column, b: _Band) -> Column:
 
 def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tuple[str, int]], *,
                      known: dict[str, tuple[int, int]] | None = None, band_limit: int = BAND_LIMIT,
-                     grid: int = GRID, accuracy: int = ACCURACY, with_counts: bool = False) -> dict:
+                     grid: int = GRID, accuracy: int = ACCURACY, with_counts: bool = False,
+                     first_grid: dict[str, list] | None = None) -> dict:
     """Exact value at 0-based ascending rank ``r`` of each named expression (NULLs excluded).
 
     ``exprs`` maps a name to a numeric expression over ``df``; ``targets`` lists
     (name, rank) pairs; ``known`` may give (non-null count, approximate distinct
     count) per name to save the first pass.  Ranks outside [0, n) give None.
     With ``with_counts`` each result also carries how many values are smaller
-    than and equal to it.
+    than and equal to it.  ``first_grid`` may give, per name, the grid sketch of
+    the whole column (``grid_fractions(grid)`` at ``accuracy``) computed by the
+    caller's own aggregate, which saves the first bracketing pass.
     """
     if not targets:
         return {}
@@ -227,24 +230,31 @@ def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tupl
         else:
             cur[t] = _Band(t[0], None, None)
 
+    first_grid = first_grid or {}
     for _ in range(MAX_PASSES):
         if not cur:
             break
         bands = {}
         for t, b in cur.items():
             bands.setdefault(b.key(), b)
+        st = {}
+        for key, b in list(bands.items()):
+            if b.lo is None and b.hi is None and first_grid.get(b.name) is not None:
+                st[key] = (known[b.name][0], first_grid[b.name], 0)
+                del bands[key]
         band_list = list(bands.values())
-        aggs = []
-        for k, b in enumerate(band_list):
-            v = vcol[b.name]
-            inb = _in_band(v, b)
-            aggs += [
-                F.count_if(inb).alias(f"m{k}"),
-                F.percentile_approx(F.when(inb, v), fracs, accuracy).alias(f"g{k}"),
-                (F.count_if(v < F.lit(b.lo)) if b.lo is not None else F.lit(0)).alias(f"b{k}"),
-            ]
-        row = base.agg(*aggs).collect()[0]
-        st = {b.key(): (row[f"m{k}"], row[f"g{k}"], row[f"b{k}"]) for k, b in enumerate(band_list)}
+        if band_list:
+            aggs = []
+            for k, b in enumerate(band_list):
+                v = vcol[b.name]
+                inb = _in_band(v, b)
+                aggs += [
+                    F.count_if(inb).alias(f"m{k}"),
+                    F.percentile_approx(F.when(inb, v), fracs, accuracy).alias(f"g{k}"),
+                    (F.count_if(v < F.lit(b.lo)) if b.lo is not None else F.lit(0)).alias(f"b{k}"),
+                ]
+            row = base.agg(*aggs).collect()[0]
+            st.update({b.key(): (row[f"m{k}"], row[f"g{k}"], row[f"b{k}"]) for k, b in enumerate(band_list)})
         nxt = {}
         for t, b in cur.items():
             m, g, below = st[b.key()]
@@ -371,9 +381,13 @@ def finish_quantiles(plan, values: dict[int, object]) -> list[float]:
     return out
 
 
+def grid_fractions(grid: int = GRID) -> list[float]:
+    return [i / grid for i in range(grid + 1)]
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], *, method: str = "exact",
               known: dict[str, tuple[int, int]] | None = None,
-              accuracy: int = ACCURACY) -> dict[str, list]:
+              accuracy: int = ACCURACY, first_grid: dict[str, list] | None = None) -> dict[str, list]:
     """Linear-interpolated quantiles of each numeric column (NaN/NULL ignored).
 
     ``method="exact"`` uses ``order_statistics``; ``"approx"`` uses one
@@ -405,7 +419,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], *, method: str
             items.append((lo, hi, h - lo))
             targets += [(c, lo), (c, hi)]
         plan[c] = items
-    st = order_statistics(df, exprs, sorted(set(targets)), known=known)
+    st = order_statistics(df, exprs, sorted(set(targets)), known=known, first_grid=first_grid)
     out = {}
     for c in cols:
         if plan[c] is None:

@@ -139,6 +139,9 @@ def profile(df: DataFrame, *, method: str = "exact", sample_size: int = 5,
         aggs.append(F.count(v).alias(f"c{i}"))
         if c in numeric:
             d = v.cast("double")
+            if method == "exact":
+                # first bracketing pass of the exact quantiles, fused into this scan
+                aggs.append(F.percentile_approx(d, stats.grid_fractions(), stats.ACCURACY).alias(f"gr{i}"))
             aggs += [F.approx_count_distinct(d).alias(f"ad{i}"), F.min(d).alias(f"mn{i}"), F.max(d).alias(f"mx{i}"), F.avg(d).alias(f"av{i}"),
                      F.stddev_samp(d).alias(f"sd{i}"),
                      skew_adjusted(F.count(d), F.skewness(d)).alias(f"sk{i}")]
@@ -151,8 +154,9 @@ def profile(df: DataFrame, *, method: str = "exact", sample_size: int = 5,
     plans = {c: stats.quantile_plan(nonnull[c], probs) for c in numeric if nonnull[c]}
     small = [c for c in plans if method == "exact" and adist[c] <= stats.BAND_LIMIT]
     large = [c for c in numeric if c not in small]
-    qs = stats.quantiles(df, large, probs, method=method,
-                         known={c: (nonnull[c], adist[c]) for c in large}) if large else {}
+    grids = {c: base[f"gr{i}"] for i, c in enumerate(cols) if c in large and method == "exact"}
+    qs = stats.quantiles(df, large, probs, method=method, known={c: (nonnull[c], adist[c]) for c in large},
+                         first_grid=grids) if large else {}
     rank_req = {c: sorted({r for lo, hi, _ in plans[c] for r in (lo, hi)}) for c in small}
     if order_by is None and method == "exact":
         counts = _counts(df, method, samples=sample_size, ranks=rank_req)
