@@ -179,14 +179,16 @@ def ensure_complete(df: DataFrame, **kw) -> DataFrame:
     return apply_missing(df, fit_residual(df, **kw), indicators=False)
 
 
-def fit_basic(df: DataFrame, *, method: str = "exact") -> dict:
-    """Numeric -> median (skipped when undefined); anything else -> mode or 'unknown'."""
-    _, miss = _null_counts(df)
+def fit_basic(df: DataFrame, *, method: str = "exact", known: dict | None = None) -> dict:
+    """Numeric -> median (skipped when undefined); anything else -> mode or 'unknown'.
+    ``known`` (a dict) receives (non-null count, approximate distinct) of numeric columns."""
+    known = known if known is not None else {}
+    _, miss = _null_counts(df, known)
     cols = [c for c in df.columns if miss[c]]
     dts = {c: KT.dtype_of(df, c) for c in cols}
     num = [c for c in cols if KT.is_number(dts[c])]
     other = [c for c in cols if c not in num]
-    med = stats.medians(df, num, method=method) if num else {}
+    med = stats.medians(df, num, method=method, known=known) if num else {}
     md = stats.modes(df, other) if other else {}
     imps = []
     for c in cols:

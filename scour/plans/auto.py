@@ -36,9 +36,9 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     renames = schema.fit_names(df.columns)
     r.add("names", {"renamed": renames})
     df = schema.apply_names(df, renames)
-    sp = schema.fit_schema(df, quality=True)
+    sp = schema.fit_schema(df, quality=metrics)
     rows, ncols = sp.pop("rows"), len(raw_cols)
-    quality = sp.pop("quality")
+    quality = sp.pop("quality", {})
     r.stats["raw_data"] = {"rows": rows, "columns": raw_cols}
     if metrics:
         inv = {v: k for k, v in renames.items()}
@@ -186,14 +186,19 @@ def auto_clean(df: DataFrame, *, split_percent: float | None = 80.0, impute_miss
             raise
         df, r = raw, Recipe()
         r.note("auto_clean", f"Note: Advanced pipeline skipped due to error ({type(e).__name__}). Using basic cleaning.")
+    known: dict = {}
     if impute_missing:
-        bp = missing.fit_basic(df, method=method)
+        bp = missing.fit_basic(df, method=method, known=known)
         r.add("basic_impute", bp)
         df = missing.apply_missing(df, bp, indicators=False)
         for d in bp["imputations"]:
             r.note("auto_clean", f"Imputed {d['column']} with {d['strategy']}: {d['value']}")
+    extremes = None
     if remove_outliers:
-        cp = outliers.fit_clip_all(df, method=method)
+        # counts and sketches from the fill pass serve the quartiles when nothing was filled
+        reuse = known if impute_missing and not bp["imputations"] else None
+        cp = outliers.fit_clip_all(df, method=method, known=reuse)
+        extremes = cp.pop("extremes")
         r.add("clip_all", cp)
         df = outliers.apply_outliers(df, cp, flags=False)
         if cp["clipped"]:
@@ -201,10 +206,12 @@ def auto_clean(df: DataFrame, *, split_percent: float | None = 80.0, impute_miss
     if normalize_features:
         cols = KT.columns_where(df, KT.is_number)
         if cols:
-            row = df.agg(*[F.struct(F.min(F.col(f"`{c}`").cast("double")), F.max(F.col(f"`{c}`").cast("double")))
-                           .alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
-            sc = {c: tuple(row[f"m{i}"]) for i, c in enumerate(cols)
-                  if row[f"m{i}"][0] is not None and row[f"m{i}"][1] > row[f"m{i}"][0]}
+            if extremes is None:
+                row = df.agg(*[F.struct(F.min(F.col(f"`{c}`").cast("double")), F.max(F.col(f"`{c}`").cast("double")))
+                               .alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
+                extremes = {c: tuple(row[f"m{i}"]) for i, c in enumerate(cols)}
+            sc = {c: extremes[c] for c in cols
+                  if extremes.get(c) and extremes[c][0] is not None and extremes[c][1] > extremes[c][0]}
             r.add("normalize_all", {"columns": sc})
             from scour.plans.recipe import _apply_minmax
             df = _apply_minmax(df, {"columns": sc})
