@@ -18,13 +18,39 @@ from scour.session import get_session  # noqa: E402
 from scour.sources.tables import table  # noqa: E402
 
 
-def plan(df) -> str:
+def plan(df, execute: bool = False) -> str:
+    """The physical plan; for small aggregate results, the final adaptive plan after running
+    (it shows the code-generation stages, marked ``*(n)``)."""
+    if execute:
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().strip()
     buf = io.StringIO()
     with redirect_stdout(buf):
         df.explain("simple")
     return buf.getvalue().strip()
 
 
+def _schema_fit_group(spark, sf):
+    """One group aggregate of the schema fit over the DIRTY view (as fit_schema builds it)."""
+    from scour.functions import vocab
+    from scour.functions.exprs import qcol, strip
+    from scour.operators import schema
+    from scour.sources.fixtures import dirty
+    d = dirty(spark, sf)
+    cols = d.columns
+    strings = [c for c, t in d.dtypes if t == "string"]
+    pdf = d.select(*[qcol(c).alias(f"r{i}") for i, c in enumerate(cols)],
+                   *[strip(qcol(c)).alias(f"s{i}") for i, c in enumerate(cols) if c in strings])
+    g = [i for i, c in enumerate(cols) if c in strings][:5]
+    fdf = pdf.select(*[F.col(f"r{i}") for i in g], *[F.col(f"s{i}") for i in g],
+                     *[f for i in g for f in schema._raw_str_flags(i, vocab.DATETIME_FORMATS)])
+    aggs = [F.count(F.lit(1))]
+    for i in g:
+        aggs += schema._raw_str_stats(i, vocab.DATETIME_FORMATS)
+        aggs.append(F.approx_count_distinct(F.col(f"s{i}"), schema.APPROX_RSD))
+    return fdf.agg(*aggs)
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session()
@@ -34,25 +60,31 @@ def main():
     band = stats._Band("x", 1000.0, 2000.0)
     sections = [
         ("Value histogram (distinct counts, modes, top shares): map-side combine, then a fixed-size min_by per column",
-         stats.histogram_summary(stats.value_histogram(li, ["l_returnflag", "l_quantity", "l_shipdate"]))),
+         stats.histogram_summary(stats.value_histogram(li, ["l_returnflag", "l_quantity", "l_shipdate"])), True),
         ("One bracketing pass of an exact order statistic: a global aggregate of fixed-size sketches",
          li.agg(F.count_if(v.between(1000.0, 2000.0)),
                 F.percentile_approx(F.when(v.between(1000.0, 2000.0), v), [i / 256 for i in range(257)], 10000),
-                F.count_if(v < 1000.0))),
+                F.count_if(v < 1000.0)), True),
+        ("Schema fit, one column group: per-row regex / parse tests packed into bitmasks in a code-generated "
+         "projection, then plain counts and sketches", _schema_fit_group(spark, sf), True),
         ("K-fold assignment: a projection against literal split points (no exchange)",
-         splits.kfold(li.select("l_orderkey", "l_linenumber", "l_quantity"), 5, key=["l_orderkey", "l_linenumber"])),
+         splits.kfold(li.select("l_orderkey", "l_linenumber", "l_quantity"), 5, key=["l_orderkey", "l_linenumber"]),
+         False),
         ("Outlier row removal: range filters pushed to the parquet scan",
-         outliers.remove_outlier_rows(li.select("l_orderkey", "l_quantity"), ["l_quantity"])),
+         outliers.remove_outlier_rows(li.select("l_orderkey", "l_quantity"), ["l_quantity"]), False),
         ("Factorize: checkpointed dictionary joined back (broadcast only under the checked size)",
-         features.factorize(li.select("l_orderkey", "l_returnflag"), "l_returnflag")),
+         features.factorize(li.select("l_orderkey", "l_returnflag"), "l_returnflag"), False),
         ("Exact duplicates: one hash aggregate over the full row with partial aggregation",
-         consistency.drop_exact_duplicates(o)),
+         consistency.drop_exact_duplicates(o), False),
     ]
     del band
     out = ["# Physical plans of the scale-deciding operators", "",
            f"Generated by `scripts/show_plans.py` on `{os.path.basename(sf)}` (local mode).", ""]
-    for title, df in sections:
-        out += [f"## {title}", "", "```", plan(df), "```", ""]
+    for title, df, execute in sections:
+        raw = "".join(ch if ch == "\n" or ch.isprintable() and not ch.isspace() or ch == " " else f"\\u{ord(ch):04x}"
+                      for ch in plan(df, execute))
+        text = "\n".join(line if len(line) <= 300 else line[:300] + " ..." for line in raw.split("\n"))
+        out += [f"## {title}", "", "```", text, "```", ""]
     with open(os.path.join(ROOT, "PLANS.md"), "w") as f:
         f.write("\n".join(out))
 
