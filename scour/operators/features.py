@@ -124,13 +124,20 @@ def factorize(df: DataFrame, column: str, missing_code: int = -1, order_by: str
     return rank.join_codes(df, column, d, size, missing_code=missing_code)
 
 
-def label_encode(df: DataFrame, column: str) -> DataFrame:
-    """Values as text (missing is the class 'nan'), codes in sorted text order."""
+def label_encode(df: DataFrame, column: str, dictionary: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Values as text (missing is the class 'nan'), codes in sorted text order.
+    A fitted ``dictionary`` (from ``label_dictionary``) is reused instead of refitting."""
     as_text = F.coalesce(qcol(column).cast("string"), F.lit("nan"))
-    d, size = rank.dense_dictionary(df.select(as_text.alias("value")))
+    d, size = dictionary if dictionary is not None else label_dictionary(df, column)
     return rank.join_codes(df, column, d, size, value_expr=as_text)
 
 
+def label_dictionary(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The (value, code) dictionary of U9 for ``column`` (exact, distributed)."""
+    as_text = F.coalesce(qcol(column).cast("string"), F.lit("nan"))
+    return rank.dense_dictionary(df.select(as_text.alias("value")))
+
+
 def bools_to_int(df: DataFrame) -> DataFrame:
     """boolean columns to 0/1 int."""
     return df.select(*[qcol(c).cast("int").alias(c) if KT.is_bool(KT.dtype_of(df, c)) else qcol(c)

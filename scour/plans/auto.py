@@ -164,6 +164,9 @@ def prepare(df: DataFrame, step_list, **kw) -> tuple[DataFrame, Recipe]:
     for line in log:
         r.note("manual", line)
     if actions:
+        for a in actions:
+            if "_dictionary" in a:
+                r.dictionaries[f"step:{a['column']}"] = a.pop("_dictionary")
         r.add("steps", {"actions": actions})
         rp = missing.fit_residual(out)
         r.add("residual", rp)

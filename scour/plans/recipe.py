@@ -84,7 +84,7 @@ class Recipe:
             elif name == "normalize_all":
                 df = _apply_minmax(df, p)
             elif name == "steps":
-                df = _replay_steps(df, p)
+                df = _replay_steps(df, p, self.dictionaries)
             else:
                 raise ValueError(f"unknown layer {name}")
         return df
@@ -109,7 +109,7 @@ class Recipe:
         spark = None
         for col, (d, _) in self.dictionaries.items():
             spark = d.sparkSession
-            d.write.mode("overwrite").parquet(os.path.join(path, "dictionaries", col))
+            d.write.mode("overwrite").parquet(os.path.join(path, "dictionaries", col.replace(":", "_")))
         if spark is None:
             spark = SparkSession.getActiveSession()
         spark.createDataFrame([(self.to_json(),)], "recipe string").coalesce(1) \
@@ -122,7 +122,7 @@ class Recipe:
                    d.get("stats", {}))
         if path is not None and spark is not None:
             for col in d.get("dictionaries", []):
-                t = spark.read.parquet(os.path.join(path, "dictionaries", col))
+                t = spark.read.parquet(os.path.join(path, "dictionaries", col.replace(":", "_")))
                 r.dictionaries[col] = (t, t.count())
         return r
 
@@ -149,8 +149,8 @@ def _apply_minmax(df: DataFrame, p: dict) -> DataFrame:
     return df.select(*out)
 
 
-def _replay_steps(df: DataFrame, p: dict) -> DataFrame:
-    """Replay manual steps with their fitted values (no refit)."""
+def _replay_steps(df: DataFrame, p: dict, dictionaries: dict | None = None) -> DataFrame:
+    """Replay manual steps with their fitted values and dictionaries (no refit)."""
     from pyspark.sql import functions as F
 
     from scour.functions import types as KT
@@ -178,7 +178,7 @@ def _replay_steps(df: DataFrame, p: dict) -> DataFrame:
             vals = [n[len(col) + 1:] for n in a["new_columns"]]
             df = df.select(*[qcol(c) for c in df.columns if c != col], *features.one_hot_exprs(col, vals))
         elif act == "encode" and m == "label":
-            df = features.label_encode(df, col)
+            df = features.label_encode(df, col, (dictionaries or {}).get(f"step:{col}"))
     return df
 
 

@@ -70,3 +70,17 @@ def test_recipe_save_and_load(spark):
     r.save(path)
     back = Recipe.load(spark, path)
     assert sorted(map(tuple, back.apply(dirty(spark, SF)).collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_prepare_label_step_replays_with_frozen_dictionary(spark):
+    from scour.operators.steps import Step
+    from scour.plans.auto import prepare
+    o = table(spark, SF, "orders")
+    out, r = prepare(o, [Step("o_orderdate", "encode", "label")], metrics=False)
+    assert "step:o_orderdate" in r.dictionaries
+    # replay on later rows keeps the codes of the fit (a refit would renumber them from 0)
+    first = o.agg(F.min("o_orderdate")).collect()[0][0]
+    sub = o.where(F.col("o_orderdate") > F.lit(first))
+    got = {row["o_orderkey"]: row["o_orderdate"] for row in r.apply(sub).select("o_orderkey", "o_orderdate").collect()}
+    want = {row["o_orderkey"]: row["o_orderdate"] for row in out.select("o_orderkey", "o_orderdate").collect()}
+    assert got and all(want[k] == v for k, v in got.items()) and min(got.values()) >= 1
