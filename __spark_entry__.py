@@ -1075,9 +1075,24 @@ def entry(spark: SparkSession) -> DataFrame:
     return profile(table(spark, "/root/testdata/sf0.001", "lineitem"))
 
 
+def _dealt() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data subpackage and its pipeline, where these are installed."""
+    from importlib.util import find_spec
+    found, sql = {}, {}
+    if find_spec("scour.llm") is not None:
+        from scour.llm.queries import ORACLE_SQL, QUERIES
+        found, sql = dict(QUERIES), dict(ORACLE_SQL)
+        if find_spec("corpus_pipeline") is not None:
+            import corpus_pipeline
+            found["pipeline"] = corpus_pipeline.run
+            if corpus_pipeline.ORACLE_SQL is not None:
+                sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | _dealt()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | _dealt()[1]
