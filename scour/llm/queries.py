@@ -12,6 +12,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def op2_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm.op02_langid import identify
+    return identify(_read(spark, sf_dir, "documents"))
+
+
+def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm.op04_toxicity import score
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm.op05_secret_ledger import secrets
     return secrets(_read(spark, sf_dir, "documents"))
@@ -61,6 +71,6 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_secret_ledger, op7_bpe_perfect_hash, op9_extendible_dedup)
+    f.__name__: f for f in (op2_ecoc_langid, op4_ftrl_toxicity, op5_secret_ledger, op7_bpe_perfect_hash, op9_extendible_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op5_secret_ledger": _SQL_OP5, "op9_extendible_dedup": _SQL_OP9}

@@ -9,6 +9,8 @@ import numpy as np
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII bytes other than letters and digits.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -59,12 +61,12 @@ class Rolling:
         return mix((self.sums[ends] - self.sums[starts]) * powers(n, self.inverse)[starts] + (ends - starts).astype(U))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every maximal run of bytes other than white space; runs never cross rows."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every maximal run of bytes outside ``gaps`` (white space); runs never cross rows."""
     if not len(data):
         e = np.zeros(0, np.int64)
         return e, e, e
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = solid.copy()
@@ -75,10 +77,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, and its row."""
-    starts, ends, rows = words(data, offsets)
-    return Rolling(data, fold_case).of(starts, ends), rows
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word with A-Z in lower case, and its row."""
+    starts, ends, rows = words(data, offsets, gaps)
+    return Rolling(data, True).of(starts, ends), rows
 
 
 def word_offsets(rows: np.ndarray, n: int) -> np.ndarray:
