@@ -37,6 +37,11 @@ def op9_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op10_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm.op10_minhash import near_dedup
+    return near_dedup(_read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 _SQL_OP9 = """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents),
@@ -71,6 +76,6 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ecoc_langid, op4_ftrl_toxicity, op5_secret_ledger, op7_bpe_perfect_hash, op9_extendible_dedup)
+    f.__name__: f for f in (op2_ecoc_langid, op4_ftrl_toxicity, op5_secret_ledger, op7_bpe_perfect_hash, op9_extendible_dedup, op10_tensor_minhash)
 }
 ORACLE_SQL: dict[str, str] = {"op5_secret_ledger": _SQL_OP5, "op9_extendible_dedup": _SQL_OP9}
