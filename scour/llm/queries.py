@@ -32,6 +32,11 @@ def op7_bpe_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm.op08_decontam import decontaminate
+    return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm.op09_exact_dedup import exact_dedup
     return exact_dedup(_read(spark, sf_dir, "documents"))
@@ -76,6 +81,6 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ecoc_langid, op4_ftrl_toxicity, op5_secret_ledger, op7_bpe_perfect_hash, op9_extendible_dedup, op10_tensor_minhash)
+    f.__name__: f for f in (op2_ecoc_langid, op4_ftrl_toxicity, op5_secret_ledger, op7_bpe_perfect_hash, op8_simhash_decontam, op9_extendible_dedup, op10_tensor_minhash)
 }
 ORACLE_SQL: dict[str, str] = {"op5_secret_ledger": _SQL_OP5, "op9_extendible_dedup": _SQL_OP9}
