@@ -115,6 +115,50 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.size("ha") + F.size("hb") - common) * percent).select("a", "b")
 
 
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can still be similar enough, without loss.
+
+    With every set sorted by one order, two sets that reach the threshold share an element among the first
+    n - ceil(n * percent / 100) + 1 of each.  The order puts rare shingles first, by counts in 2^20 hash cells.
+    Under one shingle, members of its largest component aren't compared with each other.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 20, np.int64)
+        for batch in batches:
+            total += np.bincount((batch.column(0).flatten().to_numpy().view(U) >> U(44)).astype(np.int64), minlength=1 << 20)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+    table = sets.select("hs").mapInArrow(counts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(1 << 20, np.int64)
+    often[table["cell"].to_numpy()] = table["n"].to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(2).flatten().to_numpy()
+            at = batch.column(2).value_lengths().to_numpy().cumsum()
+            n = np.diff(at, prepend=0)
+            rows = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, often[(h.view(U) >> U(44)).astype(np.int64)], rows))
+            place = np.arange(len(h)) - np.repeat(at - n, n)
+            short = place < np.repeat(n + (-percent * n // 100) + 1, n)  # -(-x) rounds up
+            keep = order[short]
+            take = pa.array(rows[short])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), batch.column(0).take(take), batch.column(1).take(take), pa.array(n[rows[short]])],
+                                             ["s", "cid", "comp", "n"])
+
+    near = sets.join(labels, "cid").select("cid", "comp", "hs").mapInArrow(first, "s bigint, cid binary, comp binary, n bigint")
+    near = written(near, "prefixes")
+    per = near.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(
+        F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("most"))
+    few = near.join(per.where("comps > 1").select("s", F.col("most.comp").alias("main")), "s").where("comp != main").drop("main")
+    few = written(few, "minor")
+    other = near.select("s", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    pairs = few.join(other, "s").where((F.col("comp") != F.col("cb")) & close_enough(F.col("n"), F.col("nb"), percent))
+    return pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
+
+
 def contract(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): connected components by random hooking.
 
@@ -157,7 +201,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
 
     Candidates share a table key.  In each of ``rounds`` every table compares its members with one pivot,
     members that are already connected aside, so a large group costs a few comparisons a member; after that
-    all remaining pairs of one table that lie in different components are compared.  So no link is lost.
+    all remaining pairs of candidates that lie in different components and can reach the threshold are
+    compared.  So no link is lost.
     """
     half = halves_for(percent)
     sig = written(signatures(docs, size, half), "signatures")
@@ -176,25 +221,21 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
     labels = written(tables.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "labels")
     tried = None
     for turn in range(rounds + 1):
-        now = tables.join(labels, "cid")
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                           F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp", "n")).alias("p"))
-        open_keys = open_keys.where("lo != hi")
         if turn < rounds:
-            pairs = now.join(open_keys.select("key", F.col("p.cid").alias("b"), F.col("p.comp").alias("cb"), F.col("p.n").alias("nb")), "key")
-            pairs = pairs.where((F.col("comp") != F.col("cb")) & close_enough(F.col("n"), F.col("nb"), percent))
+            now = tables.join(labels, "cid")
+            pivots = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                            F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "comp", "n")).alias("p"))
+            pivots = pivots.where("lo != hi").select("key", F.col("p.cid").alias("b"), F.col("p.comp").alias("cb"), F.col("p.n").alias("nb"))
+            pairs = now.join(pivots, "key").where((F.col("comp") != F.col("cb")) & close_enough(F.col("n"), F.col("nb"), percent))
             pairs = pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
         else:
-            left = now.join(open_keys.select("key"), "key")
-            right = left.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            pairs = left.join(right, "key").where((F.col("comp") < F.col("cb")) & close_enough(F.col("n"), F.col("nb"), percent))
-            pairs = pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
+            pairs = prefix_pairs(sets, labels, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, f"pairs{turn}")
         if pairs.limit(1).count() == 0:
             continue
-        labels = merge(labels, verify(pairs, sets, percent), turn)
+        labels = merge(labels, written(verify(pairs, sets, percent), f"links{turn}"), turn)
         tried = pairs if tried is None else tried.union(pairs)
 
     rows = sig.select("doc_id", "n", "cid").where("cid is not null").join(labels, "cid", "left").select(
