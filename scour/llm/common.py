@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,14 @@ from scour.session import checkpoint_dir
 STEP_BYTES = 2 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, where it isn't installed for them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")) if x)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the session's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"

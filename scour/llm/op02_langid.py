@@ -153,14 +153,14 @@ def train(docs: DataFrame, per_language: int = 1500) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model | None = None, lead: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, lead: float = 0.5, carry: bool = False) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous) for every row; ``model`` defaults to one trained on ``docs``.
 
     Null text, or text without a letter, is ``und`` with score 0.  A text with letters always gets a learned
     language; one whose best two codewords differ by less than ``lead`` in loss is ``ambiguous``.  Without any
     learned language every row is ``und``.  Predictions read the text only; ties go to the language with more
     training rows.  Repeated rows are scored alike, an empty table gives an empty result, other columns are
-    ignored.
+    ignored, or with ``carry`` returned as the struct ``row``.
     """
     model = model or train(docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -178,7 +178,9 @@ def identify(docs: DataFrame, model: Model | None = None, lead: float = 0.5) ->
                     best, score, gap = np.zeros(j - i, int), np.zeros(j - i), np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names[np.where(ok, best, -1)], pa.string()),
-                    pa.array(np.where(ok, score, 0.0)), pa.array(ok & (gap < lead))], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
+                    pa.array(np.where(ok, score, 0.0)), pa.array(ok & (gap < lead)), *(batch.column(4).slice(i, j - i) for _ in range(carry))],
+                    ["doc_id", "held_out", "lang_pred", "score", "ambiguous", *["row"] * carry])
 
-    given = docs.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), plain_text().alias("text"), plain_text().rlike("\\p{L}").alias("letter"))
-    return given.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    given = docs.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), plain_text().alias("text"), plain_text().rlike("\\p{L}").alias("letter"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry)
+    row = f", row {given.schema['row'].dataType.simpleString()}" if carry else ""
+    return given.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, ambiguous boolean{row}")

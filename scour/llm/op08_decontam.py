@@ -162,7 +162,7 @@ class Index:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 80, block: int = 20_000,
-                  block_bytes: int = 32 << 20) -> DataFrame:
+                  block_bytes: int = 32 << 20, carry: bool = False) -> DataFrame:
     """(doc_id, contaminated, items, similarity) for every row of ``docs`` against ``benchmark`` (item_id, text).
 
     ``items`` are the sorted item_ids that some window matches with a weighted ``size``-word shingle similarity
@@ -170,7 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
     is one shingle as a whole; a document shorter than an item is one window.  Null, empty and blank texts
     match nothing, nor do such items; items with a null id take part but aren't listed.  Repeated rows are
     judged alike; an empty documents table gives an empty result, an empty benchmark leaves all clean; other
-    columns are ignored.
+    columns are ignored, or with ``carry`` returned as the struct ``row``.
 
     Documents are never shuffled.  The benchmark is the stated query set: blocks of at most about ``block``
     items and ``block_bytes`` of text go to all tasks one after another, as many as it takes.
@@ -179,8 +179,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     blocks = max(1, math.ceil(stats["n"] / block), math.ceil((stats["bytes"] or 0) / block_bytes))
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    out = docs.select("doc_id", plain_text().alias("text"), F.array().cast(f"array<{item_type}>").alias("items"), F.lit(0.0).alias("similarity"))
+    out = docs.select("doc_id", plain_text().alias("text"), F.array().cast(f"array<{item_type}>").alias("items"), F.lit(0.0).alias("similarity"),
+                      *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry)
     schema = f"doc_id {id_type}, text string, items array<{item_type}>, similarity double"
+    if carry:
+        schema += f", row {out.schema['row'].dataType.simpleString()}"
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
         index = Index(part["item_id"].to_pylist(), part["text"], size, percent)
@@ -193,8 +196,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
                     for r, got in index.search(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]).items():
                         lists[i + r] = sorted({*lists[i + r], *(index.ids[x] for x in got if index.ids[x] is not None)})
                         best[i + r] = max(best[i + r], *got.values())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, batch.schema.field(2).type), pa.array(best, pa.float64())],
-                                                 ["doc_id", "text", "items", "similarity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, batch.schema.field(2).type), pa.array(best, pa.float64()),
+                                                  *([batch.column(4)] if carry else [])], ["doc_id", "text", "items", "similarity", *["row"] * carry])
 
         out = out.mapInArrow(run, schema)
-    return out.select("doc_id", (F.col("similarity") > 0).alias("contaminated"), "items", "similarity")
+    return out.select("doc_id", (F.col("similarity") > 0).alias("contaminated"), "items", "similarity", *["row"] * carry)

@@ -7,16 +7,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scour.llm.common import ship
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm.op01_cotraining import score
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm.op02_langid import identify
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm.op03_suffix_dedup import suffix_dedup
+    return suffix_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op4_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm.op04_toxicity import score
     return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -27,6 +40,11 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(_read(spark, sf_dir, "documents"))
 
 
+def op6_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scour.llm.op06_lm_difference import score
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_bpe_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scour.llm.op07_bpe import encode_documents
     return encode_documents(_read(spark, sf_dir, "documents"), keep_ids=False)
@@ -81,6 +99,6 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ecoc_langid, op4_ftrl_toxicity, op5_secret_ledger, op7_bpe_perfect_hash, op8_simhash_decontam, op9_extendible_dedup, op10_tensor_minhash)
+    f.__name__: f for f in (op1_cotraining, op2_ecoc_langid, op3_suffix_array, op4_ftrl_toxicity, op5_secret_ledger, op6_lm_difference, op7_bpe_perfect_hash, op8_simhash_decontam, op9_extendible_dedup, op10_tensor_minhash)
 }
 ORACLE_SQL: dict[str, str] = {"op5_secret_ledger": _SQL_OP5, "op9_extendible_dedup": _SQL_OP9}
