@@ -3,9 +3,10 @@
 Sorting every suffix of the corpus would move each byte ``span`` times.  Here the suffixes that can't matter are
 left out first, without loss.  Every string of ``span`` bytes holds an anchor: a place whose half-span block has
 the least hash of its neighbourhood.  Equal strings have their anchors at equal places, so a string repeats only
-if the block at its anchor does.  An anchor whose whole surrounding repeats settles all strings around it.  What
-is left are the suffixes near the ends of repeated passages: these are range-partitioned at sampled splitters by
-their leading bytes, sorted in each bucket by multikey quicksort, and compared across bucket boundaries.
+if the block at its anchor does.  An anchor whose whole surrounding repeats settles all strings around it; the
+others are narrowed once more, in groups of ``PIECE`` neighbouring starts.  What is left are the suffixes near the
+ends of repeated passages: these are range-partitioned at sampled splitters by their leading bytes, sorted in each
+bucket by multikey quicksort, and compared across bucket boundaries.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scour.llm.common import plain_text, steps, text_buffers, written
+from scour.llm.common import plain_text, scratch, steps, text_buffers, written
 from scour.llm.textkit import U, Rolling, mix
 
+#: Neighbouring starts that are settled together after the anchors.
+PIECE = 13
 _MAX = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,7 +89,7 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
     the place of the suffix.  A bucket settles its inner runs alone; only its first and last run, two rows a
     bucket, are compared with those of other buckets.
     """
-    schema = "lead bigint, fp bigint, n bigint, edge boolean, rep string, start array<int>"
+    schema = "lead bigint, fp bigint, n bigint, edge boolean, rep binary, start array<int>"
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -120,6 +123,51 @@ def repeated_suffixes(suffixes: DataFrame) -> DataFrame:
     return inner.union(across)
 
 
+PLACES = "rep binary, at int, kh bigint, eh bigint"
+
+
+def pieces(data: np.ndarray, ats: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start of each piece around the anchors (may be below 0), hash of what all its strings share, and hash
+    of all that they read.  Pieces lie alike around equal anchors; their ends may be cut off by the text's."""
+    back, n = span - span // 2, len(data)
+    u = np.unique((ats[:, None] - back + np.arange(0, back + 1, PIECE)).ravel())
+    u = u[(u + PIECE > 0) & (u + span <= n)]
+    v = u + PIECE - 1
+    roll = Rolling(data, seed=17)
+    begin, stop = np.maximum(u, 0), np.minimum(v + span, n)
+    with np.errstate(over="ignore"):
+        around = mix(roll.of(begin, stop) * U(3) + (begin - u).astype(U) * U(5) + U(1))
+    return u, roll.of(v, u + span), around
+
+
+def settle(near: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of places (rep, at, kh, eh) that share ``kh`` with another: those whose ``eh`` repeats too, and, one for each
+    ``eh``, the members of the groups where some ``eh`` does not."""
+    groups = written(near.groupBy("kh", "eh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "at")).alias("one")), f"{name}-groups")
+    sure = near.join(groups.where("n > 1").select("kh", "eh"), ["kh", "eh"]).select("rep", "at")
+    mixed = groups.groupBy("kh").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("c")).where("least = 1 and c > 1").select("kh")
+    return sure, groups.join(mixed, "kh").select("one.rep", "one.at")
+
+
+def repeated_keys(places: DataFrame, name: str) -> DataFrame:
+    """The places whose ``kh`` occurs again."""
+    twice = places.groupBy("kh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("kh")
+    return written(places.join(twice, "kh"), name)
+
+
+def by_text(places: DataFrame) -> DataFrame:
+    return places.groupBy("rep").agg(F.sort_array(F.collect_list("at")).alias("ats"))  # at most one for each byte of the text
+
+
+def bucketed(texts: DataFrame) -> DataFrame:
+    """``texts`` written once, bucketed by ``rep`` as the shuffle has dealt it, so that later joins don't move texts."""
+    spark = texts.sparkSession
+    path = scratch(spark, "texts")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    texts.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; with ``keep_text`` also ``kept`` (binary).
 
@@ -131,8 +179,8 @@ def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> D
     block = span // 2
     back = span - block
     given = docs.select("doc_id", plain_text().alias("text"))
-    whole = given.select("doc_id", F.sha2("text", 256).alias("rep"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
-    texts = written(whole.where(F.col("n_bytes") >= span).groupBy("rep").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
+    whole = given.select("doc_id", F.substring(F.unhex(F.sha2("text", 256)), 1, 12).alias("rep"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
+    texts = bucketed(whole.where(F.col("n_bytes") >= span).groupBy("rep").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,14 +191,21 @@ def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> D
                                                   pa.array(h.view(np.int64)), pa.array(around.view(np.int64))], ["rep", "at", "kh", "eh"])
 
     # Copies are folded, so an anchor counts once for a text and again only where other places have it.
-    every = texts.select("rep", "text").mapInArrow(find, "rep string, at int, kh bigint, eh bigint")
-    twice = every.groupBy("kh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("kh")
-    near = written(every.join(twice, "kh"), "anchors")
-    groups = written(near.groupBy("kh", "eh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "at")).alias("one")), "groups")
-    sure = near.join(groups.where("n > 1").select("kh", "eh"), ["kh", "eh"]).select("rep", "at")
-    open_ = groups.groupBy("kh").agg(F.min("n").alias("least")).where("least = 1").select("kh")
+    near = repeated_keys(texts.select("rep", "text").mapInArrow(find, PLACES), "anchors")
+    sure, members = settle(near, "anchors")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for i in range(batch.num_rows):
+                u, core, around = pieces(data[offsets[i]:offsets[i + 1]], batch.column(2).slice(i, 1).flatten().to_numpy(), span)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(u), pa.binary()), pa.array(u.astype(np.int32)),
+                                                  pa.array(core.view(np.int64)), pa.array(around.view(np.int64))], ["rep", "at", "kh", "eh"])
+
     # One member stands for each settled surrounding, so that strings near an end find their partners there.
-    members = groups.join(open_, "kh").select("one.rep", "one.at").groupBy("rep").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    small = repeated_keys(texts.select("rep", "text").join(by_text(members), "rep").mapInArrow(split, PLACES), "pieces")
+    sure_small, members = settle(small, "pieces")
+    members = by_text(members)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,25 +213,25 @@ def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> D
             for i in range(batch.num_rows):
                 own = data[offsets[i]:offsets[i + 1]]
                 p = batch.column(2).slice(i, 1).flatten().to_numpy()
-                on = np.zeros(len(own) + 2, np.int64)
-                np.add.at(on, np.maximum(p - back, 0), 1)
-                np.add.at(on, p + 1, -1)
-                s = np.flatnonzero(np.cumsum(on)[:len(own) - span + 1] > 0)
+                s = np.unique((p[:, None] + np.arange(PIECE)).ravel())
+                s = s[(s >= 0) & (s + span <= len(own))]
                 fp = Rolling(own, seed=31).of(s, s + span).view(np.int64)
                 lead = np.zeros(len(s), np.int64)
                 for k in range(8):
                     lead = (lead << 8) | own[s + k]
                 for a in range(0, len(s), 50_000):
                     b = min(len(s), a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(lead[a:b]), pa.array(fp[a:b]), pa.array([batch.column(0)[i].as_py()] * (b - a), pa.string()),
+                    yield pa.RecordBatch.from_arrays([pa.array(lead[a:b]), pa.array(fp[a:b]), pa.array([batch.column(0)[i].as_py()] * (b - a), pa.binary()),
                                                       pa.array(s[a:b].astype(np.int32))], ["lead", "fp", "rep", "start"])
 
-    suffixes = texts.select("rep", "text").join(members, "rep").mapInArrow(cut, "lead bigint, fp bigint, rep string, start int")
+    suffixes = texts.select("rep", "text").join(members, "rep").mapInArrow(cut, "lead bigint, fp bigint, rep binary, start int")
     again = repeated_suffixes(suffixes)
-    hits = sure.select("rep", F.greatest(F.col("at") - back, F.lit(0)).alias("a"), F.col("at").alias("b")).union(again.select("rep", F.col("start").alias("a"), F.col("start").alias("b")))
-    hits = hits.groupBy("rep").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # at most two for each byte of the text
+    at = F.col("at")
+    hits = sure.select("rep", (at - back).alias("a"), at.alias("b")).union(sure_small.select("rep", at.alias("a"), (at + PIECE - 1).alias("b")))
+    hits = hits.select("rep", F.greatest("a", F.lit(0)).alias("a"), "b").union(again.select("rep", F.col("start").alias("a"), F.col("start").alias("b")))
+    hits = hits.groupBy("rep").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # a few for each byte of the text at most
 
-    schema = "rep string, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
+    schema = "rep binary, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +260,6 @@ def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> D
     ids = whole.select("doc_id", "rep", "n_bytes")
     short = F.sha2("text", 256)
     long_ = ids.where(F.col("n_bytes") >= span).join(judged, "rep").drop("rep")
-    small = whole.where(F.col("n_bytes") < span).select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
+    brief = whole.where(F.col("n_bytes") < span).select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
                                                         short.alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] if keep_text else []))
-    return long_.unionByName(small)
+    return long_.unionByName(brief)
