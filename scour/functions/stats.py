@@ -137,7 +137,7 @@ def column_counts(df: DataFrame, cols: list[str], *, samples: int = 0,
         hit = (cum.join(tdf, "cid").where((F.col("cum") - F.col("cnt") <= F.col("j")) & (F.col("j") < F.col("cum")))
                .select("cid", F.lit(2).alias("kind"), F.lit(None).cast("bigint").alias("n_distinct"),
                        F.lit(None).cast("bigint").alias("n_values"), F.lit(None).cast("bigint").alias("top_cnt"),
-                       F.col("v").alias("mode"), F.col("j").cast("int").alias("rn"),
+                       F.col("v").alias("mode"), F.col("j").alias("rn"),
                        F.lit(None).cast("bigint").alias("cnt")))
         summ = summ.unionByName(hit)
     rows = summ.collect()

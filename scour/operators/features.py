@@ -18,8 +18,6 @@ from scour.functions import vocab
 from scour.functions.exprs import nan_to_null, qcol, skew_adjusted, word_count
 
 SKIP_ROLES = {"id", "missing_indicator", "outlier_indicator"}
-# Hard guard on one-hot width for explicit encodes (columns are collected to build the schema).
-MAX_ONE_HOT_COLUMNS = 1024
 
 
 def date_parts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -77,11 +75,11 @@ def text_features(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[qcol(c) for c in df.columns], *extra)
 
 
-def categories(df: DataFrame, column: str, limit: int) -> list | None:
+def categories(df: DataFrame, column: str, limit: int | None = None) -> list | None:
     """Sorted distinct non-null values, or None when there are more than ``limit``."""
-    rows = (df.select(qcol(column).alias("v")).where(F.col("v").isNotNull()).distinct()
-              .limit(limit + 1).collect())
-    if len(rows) > limit:
+    found = df.select(qcol(column).alias("v")).where(F.col("v").isNotNull()).distinct()
+    rows = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         return None
     return sorted(r["v"] for r in rows)
 
@@ -103,10 +101,9 @@ def one_hot_exprs(name: str, values: list) -> list[Column]:
 def one_hot(df: DataFrame, column: str, max_categories: int | None = vocab.ONE_HOT_MAX,
             as_int: bool = False) -> DataFrame:
     """Replace ``column`` by one boolean column per category, appended at the end."""
-    cap = max_categories if max_categories is not None else MAX_ONE_HOT_COLUMNS
-    vals = categories(df, column, cap)
+    vals = categories(df, column, max_categories)
     if vals is None:
-        raise ValueError(f"{column} has more than {cap} categories")
+        raise ValueError(f"{column} has more than {max_categories} categories")
     ex = one_hot_exprs(column, vals)
     if as_int:
         ex = [e.cast("int").alias(f"{column}_{v}") for e, v in zip(ex, vals)]

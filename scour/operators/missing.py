@@ -77,8 +77,8 @@ def fill_expr(name: str, dt, spec: dict) -> Column:
             except ValueError:  # e.g. 'unknown' for an all-missing column: the column becomes text
                 return F.coalesce(c.cast("string"), F.lit(v))
         return F.coalesce(c, F.lit(v).cast(dt))
-    if KT.is_string(dt):
-        return F.coalesce(c, F.lit(str(v)))
+    if KT.is_string(dt) or isinstance(v, str):  # an all-missing boolean becomes text, as a date does
+        return F.coalesce(c.cast("string"), F.lit(str(v)))
     return F.coalesce(c, F.lit(v).cast(dt))
 
 

@@ -107,9 +107,10 @@ class Recipe:
         """Write ``recipe.json`` and one parquet folder per factorize dictionary under ``path``
         (any Hadoop-compatible path; the JSON is written through Spark too)."""
         spark = None
-        for col, (d, _) in self.dictionaries.items():
+        for i, col in enumerate(sorted(self.dictionaries)):
+            d = self.dictionaries[col][0]
             spark = d.sparkSession
-            d.write.mode("overwrite").parquet(os.path.join(path, "dictionaries", col.replace(":", "_")))
+            d.write.mode("overwrite").parquet(os.path.join(path, "dictionaries", str(i)))
         if spark is None:
             spark = SparkSession.getActiveSession()
         spark.createDataFrame([(self.to_json(),)], "recipe string").coalesce(1) \
@@ -121,8 +122,8 @@ class Recipe:
         r = Recipe([tuple(x) for x in d["layers"]], d.get("roles", {}), [tuple(x) for x in d.get("log", [])],
                    d.get("stats", {}))
         if path is not None and spark is not None:
-            for col in d.get("dictionaries", []):
-                t = spark.read.parquet(os.path.join(path, "dictionaries", col.replace(":", "_")))
+            for i, col in enumerate(d.get("dictionaries", [])):
+                t = spark.read.parquet(os.path.join(path, "dictionaries", str(i)))
                 r.dictionaries[col] = (t, t.count())
         return r
 

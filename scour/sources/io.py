@@ -54,6 +54,10 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return next(csv.reader(_io.StringIO(first[0][0]), delimiter=sep))
 
 
+#: What counts as a number: a cast alone would also take "1d" and "2f".
+_NUM_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Per text column, one aggregate decides: all present values integers -> bigint,
     numbers -> double, True/False -> boolean, otherwise text."""
@@ -61,7 +65,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     aggs = [F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)]
     aggs += [F.count_if(qcol(c).rlike(_INT_RE) & qcol(c).try_cast("bigint").isNotNull()).alias(f"i{i}")
              for i, c in enumerate(cols)]
-    aggs += [F.count(qcol(c).try_cast("double")).alias(f"d{i}") for i, c in enumerate(cols)]
+    aggs += [F.count_if(qcol(c).rlike(_NUM_RE) & qcol(c).try_cast("double").isNotNull()).alias(f"d{i}") for i, c in enumerate(cols)]
     aggs += [F.count_if(qcol(c).isin(list(_BOOL_TOKENS))).alias(f"b{i}") for i, c in enumerate(cols)]
     row = df.agg(*aggs).collect()[0]
     out = []
@@ -79,9 +83,12 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, *, sep: str = ",",
-               infer: bool = True, na_tokens=CSV_NA_TOKENS) -> DataFrame:
+               infer: bool = True, na_tokens=CSV_NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """Read CSV (header, NA tokens to NULL, de-duplicated names, own type inference that
-    keeps text columns as text), JSON or parquet; other formats are an error."""
+    keeps text columns as text), JSON or parquet; other formats are an error.
+
+    Quoted newlines need ``multi_line``, which reads each file in one task; turn it off for large
+    files whose fields hold no newline, so that they are split."""
     if fmt is None:
         ext = os.path.splitext(path.rstrip("/"))[1].lower()
         fmt = _FORMATS.get(ext)
@@ -92,6 +99,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, *, sep: s
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
         raw = (spark.read.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", False)
                .option("ignoreTrailingWhiteSpace", False).option("nullValue", "\u0000").option("emptyValue", "")
+               .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
                .option("mode", "PERMISSIVE").schema(schema).csv(path))
         tokens = list(na_tokens)
         df = raw.select(*[F.when(F.col(f"_c{i}").isin(tokens) | F.col(f"_c{i}").isNull(), None)
@@ -108,7 +116,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Write the cleaned table (CSV with a header, no index)."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+        w.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
          .option("ignoreTrailingWhiteSpace", False).csv(path)
     elif fmt == "json":
         w.json(path)

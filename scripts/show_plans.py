@@ -54,8 +54,8 @@ def _schema_fit_group(spark, sf):
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session()
-    li = table(spark, sf, "lineitem", balanced=False)
-    o = table(spark, sf, "orders", balanced=False)
+    li = table(spark, sf, "lineitem")
+    o = table(spark, sf, "orders")
     v = F.col("l_extendedprice")
     band = stats._Band("x", 1000.0, 2000.0)
     sections = [

@@ -37,3 +37,50 @@ def test_unsupported_format(spark):
     import pytest
     with pytest.raises(ValueError):
         io.read_table(spark, "/tmp/whatever.xlsx")
+
+
+def test_csv_keeps_quotes_and_newlines(spark, tmp_path):
+    from scour.sources.io import read_table, write_table
+    rows = [("a", 'say "hi", ok'), ("b", "line one\nline two"), ("c", "plain")]
+    write_table(spark.createDataFrame(rows, "k string, t string"), str(tmp_path / "t.csv"), "csv")
+    assert sorted(tuple(r) for r in read_table(spark, str(tmp_path / "t.csv")).collect()) == rows
+
+
+def test_table_prunes_and_pushes_down(spark):
+    from pyspark.sql import functions as F
+    from scour.sources.tables import table
+    plan = table(spark, "/root/testdata/sf0.001", "orders").where(F.col("o_custkey") > 5).select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_custkey), GreaterThan(o_custkey,5)]" in plan and "o_comment" not in plan
+
+
+def test_wall_clock_keeps_fractions(spark):
+    from scour.operators.semantic import wall_clock_text
+    row = spark.sql("SELECT '2024-01-02T03:04:05.250Z' AS a, '2024-01-02 03:04:05+02:00' AS b").select(wall_clock_text("a").alias("a"), wall_clock_text("b").alias("b")).first()
+    assert row.a.microsecond == 250_000 and row.b.second == 5
+
+
+def test_recipe_dictionaries_never_share_a_folder(spark, tmp_path):
+    from scour.plans.recipe import Recipe
+    d = {k: (spark.createDataFrame([(k, 0)], "value string, code int"), 1) for k in ("step:c", "step_c")}
+    r = Recipe([], {}, [], {})
+    r.dictionaries = d
+    r.save(str(tmp_path / "r"))
+    back = Recipe.load(spark, str(tmp_path / "r"))
+    assert {k: v[0].first()[0] for k, v in back.dictionaries.items()} == {"step:c": "step:c", "step_c": "step_c"}
+
+
+def test_all_missing_boolean_fills_as_text(spark):
+    from pyspark.sql import types as T
+    from scour.operators.missing import fill_expr
+    df = spark.createDataFrame([(None,)], "flag boolean")
+    assert df.select(fill_expr("flag", T.BooleanType(), {"strategy": "mode", "value": "unknown"}).alias("flag")).first()[0] == "unknown"
+
+
+def test_suffixed_numbers_stay_text_and_one_hot_has_no_limit(spark):
+    from pyspark.sql import functions as F
+    from scour.operators.features import one_hot
+    from scour.sources.io import infer_types
+    got = infer_types(spark.createDataFrame([("1d", "1.5"), ("2f", "-2e3")], "a string, b string"))
+    assert dict(got.dtypes) == {"a": "string", "b": "double"}
+    wide = spark.range(1100).select(F.col("id").cast("string").alias("c"))
+    assert len(one_hot(wide, "c").columns) >= 1100
