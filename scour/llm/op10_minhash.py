@@ -19,6 +19,9 @@ from scour.llm.common import plain_text, steps, text_buffers, written
 from scour.llm.textkit import U, _seeded, distinct_by_row, mix, shingles, word_hashes
 
 ROWS = 2  # minhashes in a half-key
+WORDS = 8  # 64-bit words in a set's parity map
+MAPS = [f"m{i}" for i in range(WORDS)]
+SIEVE_BITS = 1 << 26  # of the filter that picks rows to read again: 8 MB at most, at every size
 
 
 def halves_for(percent: int, miss: float = 1e-4) -> int:
@@ -64,7 +67,7 @@ def set_ids(h: np.ndarray, at: np.ndarray) -> list[bytes | None]:
 
 
 def signatures(docs: DataFrame, size: int, half: int) -> DataFrame:
-    """(doc_id, n, cid, txt, keys) of every row: set size, 128-bit id of the set, hash of the text, half-keys."""
+    """(doc_id, n, cid, pick, keys) of every row: set size, 128-bit id of the set, hash of id and text, half-keys."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,28 +80,57 @@ def signatures(docs: DataFrame, size: int, half: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), pa.array(set_ids(h, at), pa.binary()),
                     batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
-                    ["doc_id", "n", "cid", "txt", "keys"])
+                    ["doc_id", "n", "cid", "pick", "keys"])
 
     text = plain_text()
-    return docs.select("doc_id", F.xxhash64(text).alias("txt"), text.alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, n bigint, cid binary, txt bigint, keys array<bigint>")
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("pick"), text.alias("text")).mapInArrow(
+        run, f"doc_id {id_type}, n bigint, cid binary, pick bigint, keys array<bigint>")
+
+
+def parity_maps(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows x WORDS: bit j tells whether an odd number of the set's shingles hash to j.
+
+    Two maps differ in at most as many bits as there are shingles in just one of the sets.
+    """
+    bits, rows = 64 * WORDS, np.repeat(np.arange(len(at) - 1), np.diff(at))
+    cell = (mix(h ^ U(0x2545F4914F6CDD1D)) % U(bits)).astype(np.int64)
+    odd = np.bincount(rows * bits + cell, minlength=(len(at) - 1) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
+
+
+def sieve(picks: DataFrame) -> np.ndarray:
+    """Bit ``pick`` mod SIEVE_BITS is set for every ``pick``; bit_or folds them before anything is sent."""
+    cell = F.pmod("pick", F.lit(SIEVE_BITS))
+    got = picks.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (cell % 64).cast("int"))).alias("v")).toArrow()
+    out = np.zeros(SIEVE_BITS >> 6, np.int64)
+    out[got["w"].to_numpy()] = got["v"].to_numpy()
+    return out.view(U)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cid, hs) for the texts whose hash ``wanted`` (txt, cid) has; one row for each cid."""
+    """(cid, n, hs, parity map) of the rows whose hash ``wanted`` (pick, cid) has; one row for each cid.
+
+    The sieve only spares rows that can't be wanted; the joins after it are exact.
+    """
+    bits = sieve(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
+            cell = batch.column(0).to_numpy().astype(np.int64) % SIEVE_BITS
+            batch = batch.filter(pa.array((bits[cell >> 6] >> (cell & 63).astype(U) & U(1)) > 0))
+            data, offsets = text_buffers(batch.column(1))
             for i, j in steps(offsets):
                 h, at = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], size)
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(h, at), pa.binary()),
-                                                  pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["cid", "hs"])
+                maps = parity_maps(h, at)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(set_ids(h, at), pa.binary()), pa.array(np.diff(at).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))),
+                    *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(WORDS))], ["cid", "n", "hs", *MAPS])
 
     text = plain_text()
-    texts = docs.select(F.xxhash64(text).alias("txt"), text.alias("text")).join(wanted.select("txt"), "txt", "left_semi")
-    sets = texts.select("text").distinct().mapInArrow(run, "cid binary, hs array<bigint>")
-    # Two texts with one hash, or one set from several texts: keep the wanted sets, once each.
+    sets = docs.select(F.xxhash64("doc_id", text).alias("pick"), text.alias("text")).mapInArrow(
+        run, "cid binary, n bigint, hs array<bigint>, " + ", ".join(f"{m} bigint" for m in MAPS))
+    # Rows that the sieve lets pass needlessly, and repeated rows: keep the wanted sets, once each.
     return sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
@@ -107,8 +139,19 @@ def close_enough(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def maps_allow(a: str, b: str, na: str, nb: str, percent: int) -> Column:
+    """Parity maps (columns a0.., b0..) that differ in few enough bits for the similarity (exact: never false for a link)."""
+    differ = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(WORDS)), F.lit(0))
+    both = F.col(na) + F.col(nb)
+    return (both - differ) * (100 + percent) >= both * (2 * percent)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; parity maps spare most reads of sets."""
+    def maps(x: str) -> DataFrame:
+        return sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), *[F.col(m).alias(f"{x}{i}") for i, m in enumerate(MAPS)])
+
+    pairs = pairs.join(maps("a"), "a").join(maps("b"), "b").where(maps_allow("a", "b", "na", "nb", percent)).select("a", "b")
     one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("hs").alias("ha")), "a")
     both = one.join(sets.select(F.col("cid").alias("b"), F.col("hs").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
@@ -119,8 +162,10 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can still be similar enough, without loss.
 
     With every set sorted by one order, two sets that reach the threshold share an element among the first
-    n - ceil(n * percent / 100) + 1 of each.  The order puts rare shingles first, by counts in 2^20 hash cells.
-    Under one shingle, members of its largest component aren't compared with each other.
+    n - ceil(n * percent / 100) + 1 of each.  The order puts rare shingles first, by counts in 2^20 hash cells;
+    a shingle alone in its cell is in one set only and is left out.  Under one shingle, members of its largest
+    component aren't compared with each other.  A pair is made only if the places of the shingle leave enough
+    of both sets (true for the first one they share) and their parity maps allow the similarity.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,26 +181,31 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(2).flatten().to_numpy()
-            at = batch.column(2).value_lengths().to_numpy().cumsum()
+            h = batch.column(3).flatten().to_numpy()
+            at = batch.column(3).value_lengths().to_numpy().cumsum()
             n = np.diff(at, prepend=0)
             rows = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, often[(h.view(U) >> U(44)).astype(np.int64)], rows))
+            count = often[(h.view(U) >> U(44)).astype(np.int64)]
+            order = np.lexsort((h, count, rows))
             place = np.arange(len(h)) - np.repeat(at - n, n)
             short = place < np.repeat(n + (-percent * n // 100) + 1, n)  # -(-x) rounds up
+            short &= count[order] > 1
             keep = order[short]
             take = pa.array(rows[short])
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), batch.column(0).take(take), batch.column(1).take(take), pa.array(n[rows[short]])],
-                                             ["s", "cid", "comp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), *(batch.column(k).take(take) for k in (0, 1, 2)), pa.array(n[rows[short]] - place[short]),
+                                              *(batch.column(k).take(take) for k in range(4, 4 + WORDS))], ["s", "cid", "comp", "n", "left", *MAPS])
 
-    near = sets.join(labels, "cid").select("cid", "comp", "hs").mapInArrow(first, "s bigint, cid binary, comp binary, n bigint")
+    near = sets.join(labels, "cid").select("cid", "comp", "n", "hs", *MAPS).mapInArrow(
+        first, "s bigint, cid binary, comp binary, n bigint, left bigint, " + ", ".join(f"{m} bigint" for m in MAPS))
     near = written(near, "prefixes")
     per = near.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(
         F.count(F.lit(1)).alias("comps"), F.max(F.struct("c", "comp")).alias("most"))
     few = near.join(per.where("comps > 1").select("s", F.col("most.comp").alias("main")), "s").where("comp != main").drop("main")
     few = written(few, "minor")
-    other = near.select("s", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    pairs = few.join(other, "s").where((F.col("comp") != F.col("cb")) & close_enough(F.col("n"), F.col("nb"), percent))
+    other = near.select("s", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("left").alias("left_b"),
+                        *[F.col(m).alias(f"b{i}") for i, m in enumerate(MAPS)])
+    enough = F.least("left", "left_b") * (100 + percent) >= (F.col("n") + F.col("nb")) * percent
+    pairs = few.join(other, "s").where((F.col("comp") != F.col("cb")) & enough & maps_allow("m", "b", "n", "nb", percent))
     return pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
 
 
@@ -206,17 +256,17 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
     """
     half = halves_for(percent)
     sig = written(signatures(docs, size, half), "signatures")
-    classes = sig.where("cid is not null").groupBy("cid", "n", "keys").agg(F.min("txt").alias("txt"))
-    halves = classes.select("cid", "n", "txt", F.posexplode("keys").alias("pos", "k"))
+    classes = sig.where("cid is not null").groupBy("cid", "n", "keys").agg(F.min("pick").alias("pick"))
+    halves = classes.select("cid", "n", "pick", F.posexplode("keys").alias("pos", "k"))
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    hit = halves.join(shared, "k").groupBy("cid", "n", "txt").agg(
+    hit = halves.join(shared, "k").groupBy("cid", "n", "pick").agg(
         F.collect_set(F.when(F.col("pos") < half, F.col("k"))).alias("x"), F.collect_set(F.when(F.col("pos") >= half, F.col("k"))).alias("y"))
     hit = written(hit.where((F.size("x") > 0) & (F.size("y") > 0)), "hits")  # at most ``half`` keys in each list
     tables = hit.select("cid", "n", "y", F.explode("x").alias("kx")).select("cid", "n", "kx", F.explode("y").alias("ky"))
     tables = tables.select("cid", "n", F.xxhash64("kx", "ky").alias("key"))
     crowded = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     tables = written(tables.join(crowded, "key"), "tables")
-    sets = written(full_sets(docs, hit.join(tables.select("cid").distinct(), "cid", "left_semi").select("txt", "cid"), size), "sets")
+    sets = written(full_sets(docs, hit.join(tables.select("cid").distinct(), "cid", "left_semi").select("pick", "cid"), size), "sets")
 
     labels = written(tables.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "labels")
     tried = None
