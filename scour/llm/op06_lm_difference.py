@@ -1,153 +1,228 @@
 """LM scoring by cross-entropy difference.
 
 A target model is learned from documents that are labelled good, a background model from all documents.  They are
-matched: same order, same smoothing, one vocabulary, and the background's counts scaled to the target's size.
-A document's score is the mean over its tokens of background loss minus target loss: higher is nearer the target.
-All documents are counted, in two halves by a hash of the id; each half is scored by the models of the other, so no
-document meets its own counts.
+matched: same order, same smoothing, one vocabulary of every word that occurs, and the background's counts scaled to the
+target's size.  A document's score is the mean over its tokens of background loss minus target loss: higher is nearer
+the target.  All documents are counted, in two halves by a hash of the id; each half is scored by the models of the
+other, so no document meets its own counts.
+
+Every word and every pair has a count of its own.  The loss of a token w after v is
+
+    log(c(v) + strength) - log(strength) - log p(w) - log(1 + c(v, w) / (strength * p(w)))
+
+so a pair matters only where the other half has it, and words enter one by one.  Words and pairs that a sample finds
+frequent are counted exactly in the map tasks and added there; this only spares the shuffle and spreads the heavy keys.
+All others are dealt out by word or pair, counted there, and their losses are summed by document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from scour.llm.common import plain_text, steps, text_buffers
+from scour.llm.common import plain_text, steps, text_buffers, written
 from scour.llm.textkit import U, mix, word_hashes
 
-PAIR_BITS = 20  # cells of word pairs; pairs that share a cell are counted together
+SAMPLE = 20_000  # documents that choose the frequent words and pairs; the result doesn't depend on them
+FEW_LABELS = 1 << 20  # up to so many good ids are sent to all tasks instead of shuffling texts
+SCALE = float(1 << 28)  # losses are summed as whole numbers, so no order of adding changes them
 
 
-@dataclass
-class Models:
-    """Words of the shared vocabulary (sorted hashes) and the counts of each half's models (0 target, 1 background)."""
-    vocab: np.ndarray
-    words: np.ndarray  # half x model x (vocabulary + 1); the last stands for all other words
-    pairs: np.ndarray  # half x model x cells
-    strength: float
-
-    def tables(self, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word probabilities, and the counts of words and pairs with the background scaled to the target's size."""
-        words, pairs = self.words[half].astype(float), self.pairs[half].astype(float)
-        total = words.sum(1)
-        if total[0] and total[1]:
-            words[1] *= total[0] / total[1]
-            pairs[1] *= total[0] / total[1]
-        one = (words + 0.5) / (words + 0.5).sum(1, keepdims=True)
-        return one, words, pairs
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and row of every word; the places after the first of their row, and the hash of the pair that ends there."""
+    h, rows = word_hashes(data, offsets)
+    at = np.flatnonzero(rows[1:] == rows[:-1]) + 1 if len(rows) > 1 else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        return h, rows, at, mix(h[at - 1] * U(0x9E3779B97F4A7C15) + h[at])
 
 
-def token_ids(data: np.ndarray, offsets: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each word in the vocabulary (its size for any other word), and the word's row."""
-    h, rows = word_hashes(data, offsets)
-    if not len(vocab) or not len(h):
-        return np.full(len(h), len(vocab)), rows
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    return np.where(vocab[at] == h, at, len(vocab)), rows
+def places(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in a sorted list, or -1."""
+    if not len(sorted_hashes) or not len(h):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
+    return np.where(sorted_hashes[at] == h, at, -1)
 
 
-def pair_cells(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place after the first of its row: the place, and the cell of the pair that ends there."""
-    at = np.flatnonzero(rows[1:] == rows[:-1]) + 1 if len(rows) > 1 else np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        cell = mix(ids[at - 1].astype(U) * U(0x9E3779B97F4A7C15) + ids[at].astype(U))
-    return at, (cell >> U(64 - PAIR_BITS)).astype(np.int64)
+def counted(rows: np.ndarray, h: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (row, hash), how often each occurs, and the sums of further columns."""
+    order = np.lexsort((h, rows))
+    rows, h = rows[order], h[order]
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+    return (rows[first], h[first], np.diff(np.r_[first, len(h)]), *(np.add.reduceat(s[order], first) if len(first) else s[:0] for s in sums))
 
 
 def half_of_id() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(2)).cast("int")
 
 
-def shared_vocabulary(docs: DataFrame, size: int) -> np.ndarray:
-    """The ``size`` most frequent words of all documents (ties by hash), as sorted hashes; counted exactly."""
+def row_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), plain_text())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for i, j in steps(offsets):
-                h, n = np.unique(word_hashes(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    counts = docs.select(plain_text().alias("text")).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(size).select("h").toArrow()["h"].to_numpy()
-    return np.sort(top.view(U))
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, text, half and whether the document is labelled good.  An id that is labelled more than once is good only
+    if all labels say so."""
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
+    good = good.select("doc_id", F.lit(True).alias("good"))
+    rows = docs.select("doc_id", row_key().alias("key"), plain_text().alias("text"), half_of_id().alias("half"))
+    if good.count() <= FEW_LABELS:
+        rows = rows.join(F.broadcast(good), "doc_id", "left")
+    else:  # rows without an id aren't joined: they would all go to one task
+        rows = rows.where("doc_id is not null").join(good, "doc_id", "left").unionByName(
+            rows.where("doc_id is null").withColumn("good", F.lit(None).cast("boolean")))
+    return rows.select("key", "text", "half", F.coalesce("good", F.lit(False)).cast("int").alias("good"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, vocabulary: int = 1 << 15, strength: float = 50.0) -> Models:
-    """Count all documents (background) and those that ``labels`` (doc_id, quality) calls good (target).
+def frequent(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the ``most`` words and pairs that are most frequent in a sample; a pair's last word is among the words."""
 
-    The counts cover every token of every document; what reaches the driver is bounded by the vocabulary and
-    by the number of cells, for any corpus.  An id that is labelled more than once is good only if all labels say so.
-    """
-    vocab = shared_vocabulary(docs, vocabulary)
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    width = len(vocab) + 1
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for i, j in steps(offsets):
+                h, _, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                word, n = np.unique(h, return_counts=True)
+                both, first, m = np.unique(pair, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[word, both].view(np.int64)), pa.array(np.r_[word, h[at][first]].view(np.int64)),
+                                                  pa.array(np.repeat([False, True], [len(word), len(both)])), pa.array(np.r_[n, m])], ["h", "w", "pair", "n"])
+
+    rate = min(1.0, SAMPLE / max(1, docs.count()))
+    part = docs.select(plain_text().alias("text")).where(F.rand(7) < rate)
+    found = written(part.mapInArrow(count, "h bigint, w bigint, pair boolean, n bigint").groupBy("pair", "h").agg(F.sum("n").alias("n"), F.min("w").alias("w")), "sampled")
+    top = [found.where(F.col("pair") == kind).orderBy(F.desc("n"), "h").limit(most).select("h", "w").toArrow() for kind in (False, True)]
+    words = np.sort(top[0]["h"].to_numpy().view(U))
+    pairs = top[1]["h"].to_numpy().view(U)[places(words, top[1]["w"].to_numpy().view(U)) >= 0]
+    return words, np.sort(pairs)
+
+
+def count_frequent(rows: DataFrame, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, int]:
+    """Exact counts (half, model, cell) over all documents, the cells being the frequent words, their pairs and all tokens;
+    and the number of distinct words of any kind."""
+    width = len(words) + len(pairs) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, width + (1 << PAIR_BITS)), np.int64)
+        total = np.zeros((4, width), np.int64)
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            half = batch.column(1).to_numpy()
+            half, good = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for i, j in steps(offsets):
-                ids, rows = token_ids(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], vocab)
-                at, cell = pair_cells(ids, rows)
-                for k in (0, 1):
-                    mine = half[i:j][rows] == k
-                    total[k, :width] += np.bincount(ids[mine], minlength=width)
-                    total[k, width:] += np.bincount(cell[mine[at]], minlength=1 << PAIR_BITS)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], ["cell", "n"])
-
-    text = docs.select("doc_id", plain_text().alias("text"), half_of_id().alias("half"))
-    out = np.zeros((2, 2, width + (1 << PAIR_BITS)), np.float32)  # half, model, cell
-    for k, part in enumerate((text.join(good, "doc_id", "left_semi"), text)):
-        table = part.select("text", "half").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        cell = table["cell"].to_numpy()
-        out[cell // out.shape[2], k, cell % out.shape[2]] = table["n"].to_numpy()
-    return Models(vocab, out[..., :width].copy(), out[..., width:].copy(), strength)
-
-
-def score(docs: DataFrame, labels: DataFrame, models: Models | None = None) -> DataFrame:
+                h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                w, p = places(words, h), places(pairs, pair)
+                kind = (half[i:j] * 2 + good[i:j])[at_row]
+                for k in range(4):
+                    mine = kind == k
+                    total[k, :len(words)] += np.bincount(w[mine & (w >= 0)], minlength=len(words))
+                    total[k, len(words):-1] += np.bincount(p[mine[at] & (p >= 0)], minlength=len(pairs))
+                    total[k, -1] += mine.sum()
+                rare = np.unique(h[w < 0]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rare), pa.array(np.full(len(rare), -1)), pa.array(np.zeros(len(rare), np.int64))], ["h", "kind", "n"])
+        kind, cell = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(kind), pa.array(total[kind, cell])], ["h", "kind", "n"])
+
+    table = rows.select("text", "half", "good").mapInArrow(count, "h bigint, kind bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    table = written(table, "counts")
+    out = np.zeros((4, width))
+    cells = table.where("kind >= 0").toArrow()
+    out[cells["kind"].to_numpy(), cells["h"].to_numpy()] = cells["n"].to_numpy()
+    out = out.reshape(2, 2, width)
+    # The target has the good ones, the background all.
+    return np.stack([out[:, 1], out[:, 0] + out[:, 1]], 1), len(words) + table.where("kind < 0").count()
+
+
+def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_cells: int = 1 << 17) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of ``docs``; losses are mean nats a token.
 
-    ``models`` default to ones learned here from all of ``docs``.  Null, empty and blank texts have no tokens and
-    zeros.  Where the other half has no good document the score is 0.  Equal texts score alike, an empty table gives an empty
-    result, other columns are ignored.
+    Null, empty and blank texts have no tokens and zeros.  Where the other half has no good document the score is 0.
+    Equal texts of a half score alike, an empty table gives an empty result, other columns are ignored.
+    ``frequent_cells`` bounds what each task holds; any value gives the same result.
     """
-    m = models or learn(docs, labels)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A document of half 0 is scored by the models of half 1, and the other way round.
-        tables = [m.tables(1 - half) for half in (0, 1)]
-        usable = [bool(m.words[1 - half, 0].any()) for half in (0, 1)]
+    words, pairs = frequent(docs, frequent_cells)
+    rows = with_labels(docs, labels)
+    counts, n_words = count_frequent(rows, words, pairs)
+    total = counts[..., -1]
+    factor = [[1.0, total[b, 0] / total[b, 1] if total[b].all() else 1.0] for b in (0, 1)]
+    whole = [[total[b, k] * factor[b][k] + 0.5 * (n_words + 1) for k in (0, 1)] for b in (0, 1)]
+    usable = [bool(total[1 - b, 0]) for b in (0, 1)]
+    # By the half of the document: the models are those of the other half.
+    scaled = (counts * np.array(factor)[..., None])[::-1]
+    one = (scaled[..., :len(words)] + 0.5) / np.array(whole)[::-1, :, None]
+    as_word, as_first = -np.log(one), np.log1p(scaled[..., :len(words)] / strength)
+    pair_count = scaled[..., len(words):-1]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
+            keys, halves, goods = (batch.column(c).to_numpy() for c in (0, 2, 3))
             for i, j in steps(offsets):
-                ids, rows = token_ids(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], m.vocab)
-                n = np.bincount(rows, minlength=j - i)
-                at, cell = pair_cells(ids, rows)
-                own = batch.column(2).slice(i, j - i).to_numpy()
-                loss = np.zeros((2, j - i))
-                for half in (0, 1):
-                    one, words, pairs = tables[half]
-                    mine = own[rows] == half
-                    pair = np.flatnonzero(mine[at])
-                    for k in (0, 1):
-                        p = one[k][ids]
-                        before = words[k][ids[at[pair] - 1]]
-                        # A cell may hold other pairs too; no pair is more frequent than its words.
-                        both = np.minimum(pairs[k][cell[pair]], np.minimum(before, words[k][ids[at[pair]]]))
-                        p[at[pair]] = (both + m.strength * p[at[pair]]) / (before + m.strength)
-                        loss[k] += np.bincount(rows[mine], -np.log(p[mine]), j - i) / np.maximum(n, 1)
-                diff = np.where(np.array(usable)[own], loss[1] - loss[0], 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *map(pa.array, loss), pa.array(diff)],
-                                                 ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", plain_text().alias("text"), half_of_id().alias("half")).mapInArrow(
-        run, f"doc_id {id_type}, n_tokens bigint, target_loss double, background_loss double, score double")
+                h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                key, half, good = keys[i:j], halves[i:j], goods[i:j]
+                w, p = places(words, h), places(pairs, pair)
+                before = np.zeros(len(h), bool)
+                before[at - 1] = True
+                known, known_pair = np.flatnonzero(w >= 0), np.flatnonzero(p >= 0)
+                base = []
+                for k in (0, 1):
+                    x = np.zeros(len(h))
+                    b = half[at_row[known]]
+                    x[known] = as_word[b, k, w[known]] + before[known] * as_first[b, k, w[known]]
+                    b, end = half[at_row[at[known_pair]]], at[known_pair]
+                    x[end] -= np.log1p(pair_count[b, k, p[known_pair]] / (strength * one[b, k, w[end]]))
+                    base.append(np.rint(np.bincount(at_row, x, j - i) * SCALE).astype(np.int64))
+                n = np.bincount(at_row, minlength=j - i)
+                rare = np.flatnonzero(w < 0)
+                r1, h1, n1, m1 = counted(at_row[rare], h[rare], before[rare].astype(np.int64))
+                rare = np.flatnonzero(p < 0)
+                end = at[rare]
+                # The last word of a pair: its place where it is frequent, else its hash.
+                last, hot = np.where(w[end] >= 0, w[end], h[end].view(np.int64)), (w[end] >= 0).astype(np.int64)
+                r2, h2, n2, _ = counted(at_row[end], pair[rare], hot)
+                order = np.lexsort((pair[rare], at_row[end]))
+                pick = order[np.r_[0, np.cumsum(n2)[:-1]]] if len(n2) else order
+                flag = half * 2 + good
+                # kind 0: a document (its base losses, number of words); 1: a word; 2: a pair after a rare word; 3: a pair
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.r_[key, key[r1], key[r2]]),
+                    pa.array(np.r_[np.zeros(j - i, np.int64), np.ones(len(r1), np.int64), 2 + hot[pick]].astype(np.int32)),
+                    pa.array(np.r_[flag, flag[r1], flag[r2]].astype(np.int32)),
+                    pa.array(np.r_[base[0], h1.view(np.int64), last[pick]]),
+                    pa.array(np.r_[base[1], np.zeros(len(r1), np.int64), h2.view(np.int64)]),
+                    pa.array(np.r_[n, n1, n2].astype(np.int64)),
+                    pa.array(np.r_[np.zeros(j - i, np.int64), m1, np.zeros(len(r2), np.int64)])], ["key", "kind", "flag", "w", "p", "n", "m"])
+
+    out = rows.mapInArrow(emit, "key bigint, kind int, flag int, w bigint, p bigint, n bigint, m bigint")
+    out = out.withColumn("a", F.when(F.col("kind") == 0, F.col("key")).when(F.col("kind") == 3, F.col("p")).otherwise(F.col("w"))).repartition("a")
+    half, is_word, is_pair = F.shiftright("flag", 1), F.col("kind") == 1, F.col("kind") >= 2
+
+    def of_other_half(name: str, which: Column, over) -> list[Column]:
+        """Target and background count over the group, in the half that the row isn't in."""
+        sums = [[F.sum(F.when(which & (half == b) & ok, F.col("n")).otherwise(F.lit(0))).over(over) for ok in (F.col("flag") % 2 == 1, F.lit(True))] for b in (0, 1)]
+        return [(F.when(half == 0, sums[1][k] * F.lit(factor[1][k])).otherwise(sums[0][k] * F.lit(factor[0][k]))).alias(f"{name}{k}") for k in (0, 1)]
+
+    # One exchange by ``a`` serves both groupings.
+    out = out.select("*", *of_other_half("pair", is_pair, Window.partitionBy("a", "kind", "p")))
+    out = out.select("*", *of_other_half("word", is_word, Window.partitionBy("a")))
+    out = out.where((F.col("kind") < 2) | (F.col("pair1") > 0))
+    spark = docs.sparkSession
+    table = pa.table({"place": np.arange(len(words)), **{f"one{b}{k}": one[b, k] for b in (0, 1) for k in (0, 1)}})
+    known = spark.createDataFrame(table)
+    out = out.join(F.broadcast(known), (F.col("kind") == 3) & (F.col("w") == F.col("place")), "left")
+    terms = []
+    for k in (0, 1):
+        rare = (F.col(f"word{k}") + 0.5) / F.when(half == 0, F.lit(whole[1][k])).otherwise(F.lit(whole[0][k]))
+        first = F.log1p(F.col(f"word{k}") / F.lit(strength))
+        p = F.when(F.col("kind") == 3, F.when(half == 0, F.col(f"one0{k}")).otherwise(F.col(f"one1{k}"))).otherwise(rare)
+        x = F.when(is_word, F.col("m") * first - F.col("n") * F.log(rare)).otherwise(-F.col("n") * F.log1p(F.col(f"pair{k}") / (F.lit(strength) * p)))
+        terms.append(F.sum(F.when(F.col("kind") == 0, F.col("w" if k == 0 else "p")).otherwise(F.rint(x * SCALE).cast("bigint"))).alias(f"x{k}"))
+    # Rows that repeat both id and text share one key.
+    sums = out.groupBy("key").agg(*terms, F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n"), F.count(F.when(F.col("kind") == 0, 1)).alias("copies"))
+    loss = [F.when(F.col("n") > 0, F.col(f"x{k}") / F.lit(SCALE) / F.col("n")).otherwise(F.lit(0.0)) for k in (0, 1)]
+    able = F.when(F.col("own") == 0, F.lit(usable[0])).otherwise(F.lit(usable[1]))
+    ids = docs.select("doc_id", row_key().alias("key"), half_of_id().alias("own"))
+    return ids.join(sums, "key").select("doc_id", F.expr("n div copies").alias("n_tokens"), loss[0].alias("target_loss"), loss[1].alias("background_loss"),
+                                        F.when(able, loss[1] - loss[0]).otherwise(F.lit(0.0)).alias("score"))

@@ -170,3 +170,42 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert gone[0] == {0, 1, 2, 3}
     assert gone[1] == {6}  # 5 differs from 4 in case, so only the near-dedup takes it
     assert gone[2] == {5, 9, 12} and gone[3] == {11} and not gone[4]
+
+
+def test_lm_difference_is_brute_force(spark):
+    import math
+    import random
+    import zlib
+
+    from scour.llm.op06_lm_difference import score
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(names, weights=[1 / (k + 1) for k in range(60)], k=rng.randrange(40))) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "w1 w2 w3"), (None, "w1 w2 w3"), (None, None), (5, texts[5]), (5, "w1 lone")]
+    quality = {i: i % 3 % 2 for i in range(0, 60)}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame(list(quality.items()), "doc_id bigint, quality int")
+
+    half = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 2
+    word, pair = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        tok = (t or "").split()
+        for k in (0, 1) if quality.get(i) == 1 else (1,):
+            word.update((half(i), k, w) for w in tok)
+            pair.update((half(i), k, *vw) for vw in itertools.pairwise(tok))
+    size = len({w[2] for w in word})
+    total = {(b, k): sum(n for w, n in word.items() if w[:2] == (b, k)) for b in (0, 1) for k in (0, 1)}
+    want = []
+    for i, t in rows:
+        tok, b, loss = (t or "").split(), 1 - half(i), []
+        for k in (0, 1):
+            r = total[b, 0] / total[b, k]
+            one = [(word[b, k, w] * r + 0.5) / (total[b, 0] + 0.5 * (size + 1)) for w in tok]
+            p = one[:1] + [(pair[b, k, v, w] * r + 50 * o) / (word[b, k, v] * r + 50) for (v, w), o in zip(itertools.pairwise(tok), one[1:], strict=True)]
+            loss.append(-sum(map(math.log, p)) / max(1, len(tok)))
+        want.append((repr(i), len(tok), *loss, loss[1] - loss[0]))
+    for cells in (0, 3, 1 << 17):
+        got = sorted((repr(r[0]), *r[1:]) for r in score(docs, labels, frequent_cells=cells).collect())
+        assert len(got) == len(want)
+        for g, w in zip(got, sorted(want), strict=True):
+            assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-6)
