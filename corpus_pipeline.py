@@ -11,12 +11,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scour.llm.common import ship, written
+from scour.llm.common import plain_text, ship, written
 from scour.llm.op02_langid import identify
 from scour.llm.op07_bpe import encode_documents
 from scour.llm.op08_decontam import decontaminate
 from scour.llm.op09_exact_dedup import SPACES, exact_dedup
-from scour.llm.op10_minhash import near_dedup
+from scour.llm.op10_minhash import near_dedup, row_pick
 
 
 def _columns(docs: DataFrame) -> list:
@@ -30,23 +30,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each set of equal texts.  Ids needn't be unique: rows are matched by id and text, and rows
-    that repeat both stay once."""
+    """One row of each set of equal texts.  Ids needn't be unique or given: a row goes by the decision on its own id,
+    text and length, and of rows that are alike in all three the one with the smallest text stays."""
     ship(spark)
-    found = exact_dedup(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, ""), 256)
-    again = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
-    return out.dropDuplicates(["doc_id", "text"]) if again.limit(1).count() else out
+    found = exact_dedup(docs, lengths=True)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.col("n").alias("gone_n")).distinct()
+    sha = F.sha2(F.regexp_replace(plain_text(), SPACES, ""), 256)
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha"))
+    out = docs.join(gone, same & (F.length(plain_text()) == F.col("gone_n")), "left_anti")
+    again = found.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).agg(
+        F.count(F.lit(1)).alias("c")).where("c > 1")
+    if again.limit(1).count() == 0:
+        return out
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = out.join(again, same, "left_semi").groupBy("doc_id", sha.alias("sha")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+    return out.join(again, same, "left_anti").unionByName(one.select(*_columns(docs)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (five words, similarity 0.8 or more).
-    A row without an id can't stand for a group, so it stays."""
+    """One row of each group of near-duplicates (five words, similarity 0.8 or more): the one with the smallest id.
+    Each row goes by the decision on its own id and text; a row without an id stays if its group has no row with one,
+    and then one of them."""
     ship(spark)
-    gone = near_dedup(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = near_dedup(docs, picks=True).where(~F.col("stands")).select(F.col("doc_id").alias("gone_id"), F.col("pick").alias("gone_pick")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (row_pick() == F.col("gone_pick"))
+    return docs.join(gone, same, "left_anti")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,13 +52,14 @@ def build_directory(entries: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     return written(counts, "directory"), depth
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 1 << 16, lengths: bool = False) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs`` (doc_id, text).
 
     Texts are equal when identical after deleting white space.  Of equal texts the row with the most code
     points in the original text stays, then the smallest doc_id (a null id comes last).  Null text counts as
     empty; empty texts are equal to each other.  Rows that repeat both id and text share one decision.  An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored.  With ``lengths`` there is a column n, the code
+    points of the original text: doc_id, text_sha256 and n together tell which rows a decision is about.
     """
     text = plain_text()
     rows = docs.select("doc_id", F.length(text).alias("n"), F.regexp_replace(text, SPACES, "").alias("norm"))
@@ -82,7 +83,8 @@ def exact_dedup(docs: DataFrame, capacity: int = 1 << 16) -> DataFrame:
     best = best.select("key", "sha", F.col("best.doc_id").alias("keep_id"), (-F.col("best.a")).alias("keep_n"))
     out = found.where("copies > 1").join(best, ["key", "sha"])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
-    out = out.select("doc_id", "keep_id", F.col("copies").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    more = ["n"] if lengths else []
+    out = out.select("doc_id", "keep_id", F.col("copies").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), *more)
     alone = found.where("copies = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.col("copies").alias("group_size"),
-                                             F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+                                             F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), *more)
     return alone.unionByName(out)

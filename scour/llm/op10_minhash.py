@@ -66,6 +66,11 @@ def set_ids(h: np.ndarray, at: np.ndarray) -> list[bytes | None]:
     return [raw[16 * i:16 * i + 16] if full[i] else None for i in range(len(full))]
 
 
+def row_pick() -> Column:
+    """Hash of id and text."""
+    return F.xxhash64("doc_id", plain_text())
+
+
 def signatures(docs: DataFrame, size: int, half: int) -> DataFrame:
     """(doc_id, n, cid, pick, keys) of every row: set size, 128-bit id of the set, hash of id and text, half-keys."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -83,7 +88,7 @@ def signatures(docs: DataFrame, size: int, half: int) -> DataFrame:
                     ["doc_id", "n", "cid", "pick", "keys"])
 
     text = plain_text()
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("pick"), text.alias("text")).mapInArrow(
+    return docs.select("doc_id", row_pick().alias("pick"), text.alias("text")).mapInArrow(
         run, f"doc_id {id_type}, n bigint, cid binary, pick bigint, keys array<bigint>")
 
 
@@ -239,7 +244,7 @@ def merge(labels: DataFrame, links: DataFrame, turn: int) -> DataFrame:
     return written(labels.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
-def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 3, picks: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of ``size``-word shingles
@@ -247,7 +252,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
     ``component_id`` is the smallest doc_id that links reach.  Null, empty and blank texts have an empty set
     and link with nothing.  Rows with equal sets are one class and linked.  Rows that repeat a doc_id share
     its fate; null ids are never the smallest.  An empty table gives an empty result; other columns are
-    ignored.
+    ignored.  With ``picks`` there are two more columns: pick, the hash of a row's id and text, and stands, true for
+    one (id, text) of each component: the smallest doc_id, null last, then the smallest pick.
 
     Candidates share a table key.  In each of ``rounds`` every table compares its members with one pivot,
     members that are already connected aside, so a large group costs a few comparisons a member; after that
@@ -288,10 +294,15 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
         labels = merge(labels, written(verify(pairs, sets, percent), f"links{turn}"), turn)
         tried = pairs if tried is None else tried.union(pairs)
 
-    rows = sig.select("doc_id", "n", "cid").where("cid is not null").join(labels, "cid", "left").select(
-        "doc_id", "n", F.coalesce("comp", "cid").alias("comp"))
+    pick = ["pick"] if picks else []
+    rows = sig.select("doc_id", "n", "cid", *pick).where("cid is not null").join(labels, "cid", "left").select(
+        "doc_id", "n", F.coalesce("comp", "cid").alias("comp"), *pick)
     rows = written(rows, "rows")
-    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = rows.join(least, "comp").select("doc_id", "n", "component_id")
-    every = linked.unionByName(sig.where("cid is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pick")).alias("first")] if picks else []
+    stands = [(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pick") == F.col("first.pick"))).alias("stands")] if picks else []
+    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), *first)
+    linked = rows.join(least, "comp").select("doc_id", "n", "component_id", *pick, *stands)
+    blank = sig.where("cid is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), *pick, *([F.lit(True).alias("stands")] if picks else []))
+    every = linked.unionByName(blank)
+    return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                        *(["pick", "stands"] if picks else []))

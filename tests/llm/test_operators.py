@@ -209,3 +209,20 @@ def test_lm_difference_is_brute_force(spark):
         assert len(got) == len(want)
         for g, w in zip(got, sorted(want), strict=True):
             assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-6)
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
+    import corpus_pipeline as p
+    from scour.llm.common import ship
+    ship(spark)
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("left", "right"))
+    rows = [(None, "a b"), (None, "a  b"), (7, "c d"), (7, "c  d"), (8, "e f"), (8, "e\tf"), (8, "e f"), (9, "e f"), (None, "g"), (None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, p.exact(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(None, "a  b"), (7, "c  d"), (8, "e\tf"), (None, "g")], key=repr)
+    # Id 5 stands for the first group and is a copy in the second.
+    rows = [(5, one), (6, one + " more"), (3, two), (5, two + " more"), (None, two + " end"), (None, "x " + LONG), (None, "y " + LONG), (1, None), (2, " ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, p.near(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert [r for r in got if r[0] is not None] == sorted([(5, one), (3, two), (1, None), (2, " ")], key=repr)
+    assert [r for r in got if r[0] is None] in ([(None, "x " + LONG)], [(None, "y " + LONG)])
