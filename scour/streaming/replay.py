@@ -25,9 +25,13 @@ def replay_stream(recipe: Recipe, stream: DataFrame, *, event_time: str | None =
 
 
 def run_to_table(df: DataFrame, name: str, checkpoint: str, *, output_mode: str = "append") -> DataFrame:
-    """Run a streaming frame over everything available into the in-memory table ``name``."""
-    q = (df.writeStream.format("memory").queryName(name).outputMode(output_mode)
+    """Run a streaming frame over everything available into Parquet files beside ``checkpoint`` (a path in
+    shared storage) and return them as a batch frame, also registered as the view ``name``."""
+    path = f"{checkpoint.rstrip('/')}-table"
+    q = (df.writeStream.format("parquet").queryName(name).outputMode(output_mode).option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     spark: SparkSession = df.sparkSession
-    return spark.table(name)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.createOrReplaceTempView(name)
+    return out

@@ -22,3 +22,14 @@ def test_stream_replay_with_watermarked_dedup(spark):
     got = run_to_table(out, name, f"{checkpoint_dir(spark).rstrip('/')}/stream-ck-{uuid.uuid4().hex[:6]}")
     batch = recipe.apply(base.withColumn("ts", F.col("ts").cast("timestamp")))
     assert got.count() == batch.count() == base.count()
+
+
+def test_stream_replay_query_drops_copies_and_writes_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+    rows = spark.read.parquet(os.path.join(SF, "orders.parquet")).toArrow()
+    pq.write_table(pa.concat_tables([rows, rows.slice(0, 100)]), tmp_path / "orders.parquet")
+    table = entry.queries()["stream_replay"](spark, str(tmp_path))
+    assert table.inputFiles() and table.count() == rows.num_rows
