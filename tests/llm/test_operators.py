@@ -226,3 +226,24 @@ def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
     got = sorted(map(tuple, p.near(spark, docs, str(tmp_path)).collect()), key=repr)
     assert [r for r in got if r[0] is not None] == sorted([(5, one), (3, two), (1, None), (2, " ")], key=repr)
     assert [r for r in got if r[0] is None] in ([(None, "x " + LONG)], [(None, "y " + LONG)])
+
+
+def test_cotraining_teaches_from_all_documents(spark):
+    import random
+
+    from scour.llm.common import ship
+    from scour.llm.op01_cotraining import score, train
+    ship(spark)
+    rng = random.Random(1)
+    good = [rng.random() < 0.4 for _ in range(12_000)]
+    rows = [(i, " ".join(rng.choices(["fine", "clear", "sound"] if g else ["spam", "junk", "cheap"], k=6) + rng.choices(["a", "b", "c", "d"], k=4)),
+             rng.choice("ab") if rng.random() < 0.2 else "ab"[g]) for i, g in enumerate(good)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id bigint, quality int")
+    # Of 11,600 documents without a label far more are taught than any fixed number of picks.
+    model = train(docs, labels.where("doc_id < 400"), ("source",))
+    assert min(model.taught) > 3200
+    # Where all are labelled, the held-out ones are taught.
+    assert min(train(docs.where("doc_id < 1000"), labels.where("doc_id < 1000"), ("source",)).taught) > 40
+    out = score(docs, labels.where("doc_id < 400"), ("source",), model).collect()
+    assert sum(r["predicted"] == good[r["doc_id"]] for r in out) > 11_500
