@@ -71,13 +71,13 @@ def margin(weights: tuple[np.ndarray, float], idx: np.ndarray, at: np.ndarray, n
     return weights[1] + np.bincount(at, weights[0][idx], n) / np.sqrt(np.maximum(np.bincount(at, minlength=n), 1))
 
 
-def descend(weights: tuple[np.ndarray, float], idx: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 20, rate: float = 0.3,
-            l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def descend(weights: tuple[np.ndarray, float], idx: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 40, rate: float = 0.3,
+            l2: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """AdaGrad on a few thousand rows: the coordinates met, how often each was, their weights, and the offset."""
     met, idx, often = np.unique(idx, return_inverse=True, return_counts=True)
     w, b, n = weights[0][met], weights[1], len(y)
     s = 1 / np.sqrt(np.maximum(np.bincount(at, minlength=n), 1))
-    seen, seen_b = np.full(len(w), 1e-6), 1e-6
+    seen, seen_b = np.ones(len(w)), 1.0  # so a rare coordinate moves little
     for _ in range(turns):
         g = (1 / (1 + np.exp(-np.clip(b + np.bincount(at, w[idx], n) * s, -35, 35))) - y) * weight
         gw = np.bincount(idx, (g * s)[at], len(w)) + l2 * w
