@@ -24,9 +24,10 @@ def _columns(docs: DataFrame) -> list:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; null texts and texts without a letter (`und`) go."""
+    """Rows whose text has a language; null texts and texts without a letter go.  Where no language can be learned
+    every text is `und`, so texts with letters stay whatever their language."""
     ship(spark)
-    return identify(docs, carry=True).where("lang_pred != 'und'").select(*_columns(docs))
+    return identify(docs, carry=True).where((F.col("lang_pred") != "und") | F.col("row.text").rlike("\\p{L}")).select(*_columns(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

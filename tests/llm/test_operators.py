@@ -247,3 +247,9 @@ def test_cotraining_teaches_from_all_documents(spark):
     assert min(train(docs.where("doc_id < 1000"), labels.where("doc_id < 1000"), ("source",)).taught) > 40
     out = score(docs, labels.where("doc_id < 400"), ("source",), model).collect()
     assert sum(r["predicted"] == good[r["doc_id"]] for r in out) > 11_500
+
+
+def test_pipeline_keeps_documents_without_a_language_model(spark, tmp_path):
+    import corpus_pipeline as p
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "ещё слова", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r["doc_id"] for r in p.language(spark, docs, str(tmp_path)).collect()) == [1, 4]
