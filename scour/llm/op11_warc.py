@@ -32,6 +32,7 @@ VERSION = b"WARC/1."
 NEXT = re.compile(re.escape(GZIP) + rb"[\x00-\x1f]|WARC/1\.[01]\r\n")
 #: Bytes of members in one written row; a file has at most ROWS_PER_FILE rows, so only a single longer record makes a longer file.
 ROW_BYTES = 4 << 20
+PIECE = 16 << 10
 ROWS_PER_FILE = 4
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -110,14 +111,17 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
 
 def read_member(data: bytes, at: int) -> tuple[list[dict], int, str]:
     """The records of the gzip member at ``at``: (records, end, why it fails).  All of a member's records pass or none."""
-    d = zlib.decompressobj(31)
+    d, view, parts, end = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        plain = d.decompress(memoryview(data)[at:])
+        while not d.eof and end < len(data):  # in pieces: what follows the member is handed back as a copy
+            parts.append(d.decompress(view[end:end + PIECE]))
+            end = min(end + PIECE, len(data))
     except zlib.error as e:
         return [], at, f"gzip: {e}"
     if not d.eof:
         return [], at, "gzip: cut off"
-    end, found, p = len(data) - len(d.unused_data), [], 0
+    end -= len(d.unused_data)
+    plain, found, p = b"".join(parts), [], 0
     while p < len(plain):
         fields, q, why = parse_record(plain, p)
         if fields is None:
