@@ -25,11 +25,13 @@ from scour.llm.common import written
 #: Turns of one conversation that may stand in a row.
 BLOCK = 512
 #: Turns (after folding) that a shard may hold before it is split, and that a bin is filled up to.
-SHARD_TURNS = 200_000
+SHARD_TURNS = 50_000
 #: Fixed values of the contract: conversations borrow from c - c % FAMILY the first crc32(c) % HEAD turns.
 FAMILY, HEAD = 5, 9
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 FREE = -1
+#: Cells looked at together when a place is sought.
+SCAN = 4096
 
 
 class DoubleArray:
@@ -42,7 +44,7 @@ class DoubleArray:
         self.roots, self.symbols = roots, symbols
         self.base = np.zeros(max(roots, 1), np.int64)
         self.check = np.full(max(roots, 1), FREE, np.int64)
-        self.filled = roots
+        self.filled = self.full = roots
 
     def _grow(self, size: int) -> None:
         if size > len(self.check):
@@ -50,11 +52,28 @@ class DoubleArray:
             self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
             self.check = np.concatenate([self.check, np.full(more, FREE, np.int64)])
 
+    def _place(self, span: np.ndarray) -> int:
+        """The first cell t from which all t + span are free.  Cells behind the filled ones are free."""
+        while self.full < self.filled and self.check[self.full] != FREE:
+            self.full += 1
+        width = int(span[-1])
+        for low in range(self.full, self.filled, SCAN):
+            high = min(low + SCAN, self.filled)
+            self._grow(high + width + 1)
+            at = np.flatnonzero(self.check[low:high] == FREE) + low
+            for gap in span[1:]:
+                if not len(at):
+                    break
+                at = at[self.check[at + gap] == FREE]
+            if len(at):
+                return int(at[0])
+        return self.filled
+
     def add_level(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Pack the children of one level's states; edges come sorted by (state, symbol).  Returns the child states.
 
-        A state with one child takes the next cell.  For others the first base is taken, from the first free cell on,
-        whose cells are all free; after some tries the children go behind everything that is filled.
+        States with several children are placed first, the largest first, each from the first cell where all its
+        children meet free cells; the others' children then fill the cells that are left free.
         """
         first = np.flatnonzero(np.r_[True, states[1:] != states[:-1]]) if len(states) else np.zeros(0, np.int64)
         count = np.diff(np.r_[first, len(states)])
@@ -62,15 +81,8 @@ class DoubleArray:
         for f, c in sorted(zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True), key=lambda x: -x[1]):
             own = symbols[f:f + c]
             span = own - own[0]
-            self._grow(self.filled + int(span[-1]) + 1)
-            at = None
-            if span[-1] <= 64 * c:
-                low = max(self.roots, self.filled - 4 * int(span[-1]) - 64)
-                for start in (np.flatnonzero(self.check[low:self.filled] == FREE) + low)[:32].tolist():
-                    if (self.check[start + span] == FREE).all():
-                        at = start
-                        break
-            at = self.filled if at is None else at
+            at = self._place(span)
+            self._grow(at + int(span[-1]) + 1)
             cells = at + span
             self.base[states[f]] = at - own[0]
             self.check[cells] = states[f]
@@ -105,12 +117,20 @@ def shard_nodes(root: np.ndarray, offsets: np.ndarray, key: np.ndarray, mixed: n
     only what lies in shards here, and members only those of this bin.
     """
     n_paths, length = len(root), np.diff(offsets)
-    # Dense ids in the order of first use by depth, so that siblings' ids are close.
-    place = np.arange(len(key)) - np.repeat(offsets[:-1], length)
+    # Dense ids in the order of first use, level by level and parent by parent, so that siblings' ids are close.
     _, first, dense = np.unique(key.view([("a", key.dtype), ("b", key.dtype)]).ravel(), return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int64)
-    rank[np.lexsort((first, place[first]))] = np.arange(len(first))
-    symbol = rank[dense.ravel()]
+    dense, rank, given = dense.ravel(), np.full(len(first), -1), 0
+    node = root.astype(np.int64)
+    for d in range(int(length.max()) if n_paths else 0):
+        on = np.flatnonzero(length > d)
+        pair, inverse = np.unique(node[on] * len(first) + dense[offsets[on] + d], return_inverse=True)
+        node[on] = inverse.ravel()
+        turns, at = np.unique(pair % len(first), return_index=True)
+        new = rank[turns] < 0
+        order = turns[new][np.argsort(at[new], kind="stable")]
+        rank[order] = np.arange(given, given + len(order))
+        given += len(order)
+    symbol = rank[dense]
     n_symbols, n_roots = len(first), int(root.max()) + 1 if n_paths else 0
     trie = DoubleArray(n_roots, n_symbols)
     state = root.astype(np.int64).copy()

@@ -68,7 +68,7 @@ def _random_rows(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("block,shard", [(512, 200_000), (4, 6)])
+@pytest.mark.parametrize("block,shard", [(512, 50_000), (4, 6)])
 def test_equals_brute_force(spark, block, shard):
     ship(spark)
     rows = _random_rows(block)
