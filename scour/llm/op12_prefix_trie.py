@@ -403,8 +403,9 @@ def prefix_trie(conversations: DataFrame, block: int = BLOCK, shard_turns: int =
     if below is None:  # no conversation has a turn
         nodes = root.withColumns({"n_children": zero, "n_leaves": F.lit(1).cast("bigint"), "saved_tokens": zero})
     else:
-        top = below.select("n_children", "n_leaves", "saved_tokens", zero.alias("x1"), zero.alias("x2"))
-        nodes = nodes.select(*names).unionByName(root.join(top, ["x1", "x2"]).select(*names))
+        sums = ["n_children", "n_leaves", "saved_tokens"]
+        both = root.unionByName(below.select(*sums), allowMissingColumns=True)
+        nodes = nodes.select(*names).unionByName(both.agg(*[F.max(c).alias(c) for c in names]).where("n_convs is not null"))
     final = blocks.join(totals, "conv_id").where((F.col("b") + 1) * block >= F.col("total")).select(F.col("e1").alias("x1"), F.col("e2").alias("x2"), F.col("total").alias("depth"), "conv_id")
     none = totals.where("total = 0").select(zero.alias("x1"), zero.alias("x2"), zero.alias("depth"), "conv_id")
     nodes = written(nodes, "trie").join(_end_hashes(final.unionByName(none)), ["x1", "x2", "depth"], "left")
