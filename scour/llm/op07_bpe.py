@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 
 from scour.llm.common import plain_text
 
+#: Bytes of pre-tokens seen that a worker may hold while it encodes.
+KEPT_BYTES = 24 << 20
+
 
 class PerfectHash:
     """A minimal perfect hash of a fixed set of byte strings (hash, displace): n keys fill n slots.
@@ -100,9 +103,9 @@ def merge(ids: list[int], pair: dict[int, int]) -> list[int]:
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the ids of pre-tokens seen, at most ``kept`` of them."""
+    """Encodes and decodes texts; keeps the ids of pre-tokens seen while they take about ``kept`` bytes at most."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT_BYTES):
         import regex
         self.find = regex.compile(pattern).findall
         self.index = PerfectHash(ranks)
@@ -110,22 +113,29 @@ class Codec:
         self.pair = pair_ranks(ranks)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.seen: dict[str, tuple[int, ...]] = {}
-        self.kept = kept
+        self.kept, self.held = kept, 0
+
+    def release(self) -> None:
+        """Forget the pre-tokens seen; a worker is used again by other stages."""
+        self.seen, self.held = {}, 0
 
     def token(self, s: str) -> tuple[int, ...]:
         raw = s.encode("utf-8")
         whole = self.index.get(raw)
         ids = (whole,) if whole >= 0 else tuple(merge([self.single[b] for b in raw], self.pair))
-        if len(self.seen) >= self.kept:
-            self.seen.clear()
         if len(s) <= 64:
+            # A dictionary entry, a string and a tuple.
+            size = 200 + 2 * len(raw) + 8 * len(ids)
+            if self.held + size > self.kept:
+                self.release()
             self.seen[s] = ids
+            self.held += size
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        seen, out = self.seen, []
+        out = []
         for s in self.find(text):
-            out += seen.get(s) or self.token(s)
+            out += self.seen.get(s) or self.token(s)
         return np.array(out, "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -165,22 +175,25 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                n, ids_sha, out_sha, kept = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = c.encode(text or "")
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    out_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    n, ids_sha, out_sha, kept = [], [], [], []
+                    for text in part.column(1).to_pylist():
+                        ids = c.encode(text or "")
+                        n.append(len(ids))
+                        ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                        out_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
+                        if keep_ids:
+                            kept.append(ids.astype(np.int32))
+                    cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha)]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                     if keep_ids:
-                        kept.append(ids.astype(np.int32))
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    cols.append(pa.array(kept, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+                        cols.append(pa.array(kept, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names)
+        finally:
+            c.release()
 
     return docs.select("doc_id", plain_text().alias("text")).mapInArrow(run, schema)

@@ -31,16 +31,23 @@ def _seeded(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
 
 
-@functools.lru_cache(maxsize=16)
-def _powers(bits: int, base: int) -> np.ndarray:
+#: Powers are kept for texts of a usual step; for longer ones they are made anew, so workers don't hold them.
+KEPT_BITS = 21
+
+
+def _made(bits: int, base: int) -> np.ndarray:
     out = np.full(1 << bits, base, U)
     out[0] = 1
     return np.cumprod(out, dtype=U)
 
 
+_kept = functools.lru_cache(maxsize=4)(_made)
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, kept for the largest size seen."""
-    return _powers(max(20, int(n).bit_length()), base)[:n]
+    """base^0 .. base^(n-1) modulo 2^64."""
+    bits = int(n).bit_length()
+    return (_kept(KEPT_BITS, base) if bits <= KEPT_BITS else _made(bits, base))[:n]
 
 
 class Rolling:
@@ -95,7 +102,8 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n: int, size: int) -> tuple[n
     out = np.zeros(len(hashes), U)
     with np.errstate(over="ignore"):
         for k in range(size):
-            out[:len(hashes) - k] = mix(out[:len(hashes) - k] * U(3) + hashes[k:] + U(k + 1))
+            m = max(0, len(hashes) - k)
+            out[:m] = mix(out[:m] * U(3) + hashes[k:] + U(k + 1))
         place = np.arange(len(hashes)) - at[rows]
         whole = place + size <= count[rows]
         short = np.flatnonzero((count > 0) & (count < size))
