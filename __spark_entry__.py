@@ -1078,16 +1078,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _dealt() -> tuple[dict, dict]:
     """Queries and SQL of the training-data subpackage and its pipeline, where these are installed."""
-    from importlib.util import find_spec
     found, sql = {}, {}
-    if find_spec("scour.llm") is not None:
+    try:
         from scour.llm.queries import ORACLE_SQL, QUERIES
-        found, sql = dict(QUERIES), dict(ORACLE_SQL)
-        if find_spec("corpus_pipeline") is not None:
-            import corpus_pipeline
-            found["pipeline"] = corpus_pipeline.run
-            if corpus_pipeline.ORACLE_SQL is not None:
-                sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    except ImportError:
+        return found, sql
+    found, sql = dict(QUERIES), dict(ORACLE_SQL)
+    try:
+        import corpus_pipeline
+    except ImportError:
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found, sql
 
 

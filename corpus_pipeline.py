@@ -19,33 +19,40 @@ from scour.llm.op09_exact_dedup import SPACES, exact_dedup
 from scour.llm.op10_minhash import near_dedup, row_pick
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row: no further column whose name a helper's could clash with."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; null texts and texts without a letter go.  Where no language can be learned
-    every text is `und`, so texts with letters stay whatever their language."""
+    every text is `und`, so texts with letters stay whatever their language.  An empty table gives an empty one; columns
+    of any name are carried along."""
     ship(spark)
     return identify(docs, carry=True).where((F.col("lang_pred") != "und") | F.col("row.text").rlike("\\p{L}")).select(*_columns(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each set of equal texts.  Ids needn't be unique or given: a row goes by the decision on its own id,
-    text and length, and of rows that are alike in all three the one with the smallest text stays."""
+    text and length, and of rows that are alike in all three the one with the smallest text stays.  An empty table gives
+    an empty one; columns of any name are carried along."""
     ship(spark)
-    found = exact_dedup(docs, lengths=True)
+    rows = _packed(docs)
+    found = exact_dedup(rows, lengths=True)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.col("n").alias("gone_n")).distinct()
     sha = F.sha2(F.regexp_replace(plain_text(), SPACES, ""), 256)
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha"))
-    out = docs.join(gone, same & (F.length(plain_text()) == F.col("gone_n")), "left_anti")
+    out = rows.join(gone, same & (F.length(plain_text()) == F.col("gone_n")), "left_anti")
     again = found.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).agg(
         F.count(F.lit(1)).alias("c")).where("c > 1")
     if again.limit(1).count() == 0:
-        return out
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = out.join(again, same, "left_semi").groupBy("doc_id", sha.alias("sha")).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
-    return out.join(again, same, "left_anti").unionByName(one.select(*_columns(docs)))
+        return out.select(*_columns(docs))
+    one = out.join(again, same, "left_semi").groupBy("doc_id", sha.alias("sha")).agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+    return out.join(again, same, "left_anti").select("row").unionByName(one.select("row")).select(*_columns(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,20 +60,23 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row goes by the decision on its own id and text; a row without an id stays if its group has no row with one,
     and then one of them."""
     ship(spark)
-    gone = near_dedup(docs, picks=True).where(~F.col("stands")).select(F.col("doc_id").alias("gone_id"), F.col("pick").alias("gone_pick")).distinct()
+    rows = _packed(docs)
+    gone = near_dedup(rows, picks=True).where(~F.col("stands")).select(F.col("doc_id").alias("gone_id"), F.col("pick").alias("gone_pick")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (row_pick() == F.col("gone_pick"))
-    return docs.join(gone, same, "left_anti")
+    return rows.join(gone, same, "left_anti").select(*_columns(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no item of the benchmark."""
+    """Rows that hold no item of the benchmark.  Null and empty texts hold none and stay; rows that repeat are judged
+    alike.  An empty table gives an empty one, an empty benchmark keeps every row; columns of any name are carried along."""
     ship(spark)
     benchmark = spark.read.parquet(os.path.join(sf_dir, "benchmark.parquet"))
     return decontaminate(docs, benchmark, carry=True).where(~F.col("contaminated")).select(*_columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and the digests of the ids and of the decoded bytes."""
+    """doc_id, n_tokens, ids, and the digests of the ids and of the decoded bytes, for every row.  Null and empty texts
+    have no ids; rows that repeat each have their row.  An empty table gives an empty one; other columns are left out."""
     ship(spark)
     return encode_documents(docs)
 
