@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from scour.llm.common import plain_text
 
 #: Bytes of pre-tokens seen that a worker may hold while it encodes.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 128 << 20
 
 
 class PerfectHash:
@@ -113,21 +113,25 @@ class Codec:
         self.pair = pair_ranks(ranks)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.seen: dict[str, tuple[int, ...]] = {}
-        self.kept, self.held = kept, 0
+        # Two generations: when the younger one is full it becomes the older one, so what is used often stays.
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.kept, self.held = kept // 2, 0
 
     def release(self) -> None:
         """Forget the pre-tokens seen; a worker is used again by other stages."""
-        self.seen, self.held = {}, 0
+        self.seen, self.old, self.held = {}, {}, 0
 
     def token(self, s: str) -> tuple[int, ...]:
-        raw = s.encode("utf-8")
-        whole = self.index.get(raw)
-        ids = (whole,) if whole >= 0 else tuple(merge([self.single[b] for b in raw], self.pair))
+        ids = self.old.get(s)
+        if ids is None:
+            raw = s.encode("utf-8")
+            whole = self.index.get(raw)
+            ids = (whole,) if whole >= 0 else tuple(merge([self.single[b] for b in raw], self.pair))
         if len(s) <= 64:
             # A dictionary entry, a string and a tuple.
-            size = 200 + 2 * len(raw) + 8 * len(ids)
+            size = 270 + 4 * len(s) + 8 * len(ids)
             if self.held + size > self.kept:
-                self.release()
+                self.seen, self.old, self.held = {}, self.seen, 0
             self.seen[s] = ids
             self.held += size
         return ids
