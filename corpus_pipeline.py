@@ -16,18 +16,38 @@ from scour.llm.op02_langid import identify
 from scour.llm.op07_bpe import encode_documents
 from scour.llm.op08_decontam import decontaminate
 from scour.llm.op09_exact_dedup import SPACES, exact_dedup
-from scour.llm.op10_minhash import near_dedup, row_pick
+from scour.llm.op10_minhash import SIEVE_BITS, near_dedup, row_pick
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row: no further column whose name a helper's could clash with."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """doc_id, text and the other columns as a struct: no further column whose name a helper's could clash with."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("row"))
 
 
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
 
 
+def _unpacked(docs: DataFrame) -> list:
+    return [F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+
+
+def _without(rows: DataFrame, gone: DataFrame, same) -> DataFrame:
+    """``rows`` that meet no row of ``gone`` (gone_id and more) under ``same``, which asks for equal ids at least.
+
+    A bitmap of the hashes of the ids in ``gone`` is sent to all tasks (at most SIEVE_BITS / 64 numbers at every size).
+    Rows whose id isn't in it stay where they are; only the others, few beyond those that go, are joined.
+    """
+    cell, bit = F.pmod(F.xxhash64("gone_id"), F.lit(SIEVE_BITS)), F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS))
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), (c % 64).cast("int"))
+    words = gone.groupBy(F.shiftright(cell, 6).alias("gone_w")).agg(F.bit_or(one(cell)).alias("gone_v"))
+    rows = rows.join(F.broadcast(words), F.shiftright(bit, 6) == F.col("gone_w"), "left")
+    hit = F.coalesce(F.col("gone_v").bitwiseAND(one(bit)) != 0, F.lit(False))
+    names = ["doc_id", "text", "row"]
+    return rows.where(~hit).select(*names).unionByName(rows.where(hit).select(*names).join(gone, same, "left_anti"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language; null texts and texts without a letter go.  Where no language can be learned
     every text is `und`, so texts with letters stay whatever their language.  An empty table gives an empty one; columns
@@ -43,16 +63,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = _packed(docs)
     found = exact_dedup(rows, lengths=True)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.col("n").alias("gone_n")).distinct()
+    gone = written(found.where(~F.col("kept")).select(
+        F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.col("n").alias("gone_n")).distinct(), "gone")
     sha = F.sha2(F.regexp_replace(plain_text(), SPACES, ""), 256)
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha"))
-    out = rows.join(gone, same & (F.length(plain_text()) == F.col("gone_n")), "left_anti")
+    out = _without(rows, gone, same & (F.length(plain_text()) == F.col("gone_n")))
     again = found.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).agg(
         F.count(F.lit(1)).alias("c")).where("c > 1")
     if again.limit(1).count() == 0:
-        return out.select(*_columns(docs))
-    one = out.join(again, same, "left_semi").groupBy("doc_id", sha.alias("sha")).agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
-    return out.join(again, same, "left_anti").select("row").unionByName(one.select("row")).select(*_columns(docs))
+        return out.select(*_unpacked(docs))
+    first = F.min_by(F.struct("text", "row"), F.struct("text", F.to_json("row"))).alias("first")
+    one = out.join(again, same, "left_semi").groupBy("doc_id", sha.alias("sha")).agg(first).select("doc_id", "first.text", "first.row")
+    return _without(out, again, same).unionByName(one).select(*_unpacked(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +83,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and then one of them."""
     ship(spark)
     rows = _packed(docs)
-    gone = near_dedup(rows, picks=True).where(~F.col("stands")).select(F.col("doc_id").alias("gone_id"), F.col("pick").alias("gone_pick")).distinct()
+    gone = written(near_dedup(rows, picks=True).where(~F.col("stands")).select(
+        F.col("doc_id").alias("gone_id"), F.col("pick").alias("gone_pick")).distinct(), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (row_pick() == F.col("gone_pick"))
-    return rows.join(gone, same, "left_anti").select(*_columns(docs))
+    return _without(rows, gone, same).select(*_unpacked(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
