@@ -788,6 +788,39 @@ def q_stratified_split(spark, sf):
     return stratified_split(table(spark, sf, "labels").select("doc_id", "quality"), "quality", 0.2, key="doc_id")
 
 
+_BY_DATE = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS placed FROM orders"
+
+
+@_query("train_test_by_date", "SELECT o_orderkey, placed, CASE WHEN row_number() OVER (ORDER BY placed NULLS FIRST, o_orderkey) <= "
+        f"count(*) OVER () - ceil(0.3 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM ({_BY_DATE})")
+def q_train_test_by_date(spark, sf):
+    from scour.operators.splits import train_test_split
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate").cast("date")).alias("placed"))
+    return train_test_split(o, 0.3, shuffle=False, key=["placed", "o_orderkey"])
+
+
+@_query("kfold_unshuffled", """
+SELECT o_orderkey, o_orderpriority, price, CAST(CASE WHEN rn <= r * (q + 1) THEN (rn - 1) // (q + 1) + 1
+  ELSE r + (rn - 1 - r * (q + 1)) // q + 1 END AS INTEGER) AS fold
+FROM (SELECT *, row_number() OVER (ORDER BY o_orderpriority, price, o_orderkey) AS rn, count(*) OVER () // 7 AS q, count(*) OVER () % 7 AS r
+      FROM (SELECT o_orderkey, o_orderpriority, CAST(o_totalprice AS DECIMAL(24,2)) AS price FROM orders))""")
+def q_kfold_unshuffled(spark, sf):
+    from scour.operators.splits import kfold
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("decimal(24,2)").alias("price"))
+    return kfold(o, 7, shuffle=False, key=["o_orderpriority", "price", "o_orderkey"])
+
+
+_MANY = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS buyer FROM orders"
+
+
+@_query("stratified_many", "SELECT o_orderkey, buyer, CASE WHEN row_number() OVER (PARTITION BY buyer ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR))) "
+        f"<= ceil(0.2 * count(*) OVER (PARTITION BY buyer)) THEN 'test' ELSE 'train' END AS split FROM ({_MANY})")
+def q_stratified_many(spark, sf):
+    from scour.operators.splits import stratified_split
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("o_custkey")).alias("buyer"))
+    return stratified_split(o, "buyer", 0.2, key="o_orderkey")
+
+
 # =============================================================================
 # Compositions and replay
 # =============================================================================

@@ -5,10 +5,8 @@ the driver:
 
 * ``value_histogram`` counts (column, value) pairs with a map-side combine, so
   a value that holds a third of all rows collapses to one row per map task.
-* ``order_statistics`` finds exact order statistics by bracketing: each pass
-  is one aggregate with fixed-size quantile sketches; the bracket shrinks by
-  a factor of a few hundred per pass until the values inside it are few
-  enough to count exactly.  Only a bounded band ever reaches one task.
+* ``order_statistics`` finds exact order statistics by the radix passes of
+  ``radix.select``: plain counts, no sketches.
 * ``quantiles`` turns order statistics into linear-interpolated quantiles
   (the same rule as pandas ``quantile`` and DuckDB ``quantile_cont``).
 """
@@ -22,16 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scour.functions import radix
 from scour.functions import types as KT
 from scour.functions.exprs import nan_to_null, qcol
 
-# Largest number of distinct values a band may hold before it is counted exactly.
-BAND_LIMIT = 200_000
-# Grid of sketch quantiles requested per band and pass.
-GRID = 256
-# Sketch accuracy (relative rank error 1/ACCURACY).
+# Accuracy of approximate quantiles (relative rank error 1/ACCURACY); exact ones use no sketch.
 ACCURACY = 10_000
-MAX_PASSES = 8
 
 
 # ---------------------------------------------------------------------------
@@ -100,11 +94,9 @@ class ColumnCounts:
     top_cnt: int
     mode: object
     samples: list | None = None
-    ranks: dict | None = None
 
 
-def column_counts(df: DataFrame, cols: list[str], *, samples: int = 0,
-                  ranks: dict[str, list[int]] | None = None) -> dict[str, ColumnCounts]:
+def column_counts(df: DataFrame, cols: list[str], *, samples: int = 0) -> dict[str, ColumnCounts]:
     """Exact distinct count, non-null count, top count and mode for each column (one shuffle).
 
     With ``samples=k`` the k smallest values (with repeats) per column are
@@ -125,32 +117,14 @@ def column_counts(df: DataFrame, cols: list[str], *, samples: int = 0,
                        F.lit(None).cast("bigint").alias("n_values"), F.lit(None).cast("bigint").alias("top_cnt"),
                        F.col("v").alias("mode"), "rn", "cnt"))
         summ = summ.unionByName(low)
-    if ranks:
-        # order statistics of low-cardinality columns from the same histogram: the
-        # caller only asks for columns whose distinct count is bounded
-        spark = df.sparkSession
-        want = [(cols.index(c), int(j)) for c, js in ranks.items() for j in js]
-        tdf = F.broadcast(spark.createDataFrame(want, "cid int, j long"))
-        cidset = sorted({w[0] for w in want})
-        wc = Window.partitionBy("cid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.where(F.col("cid").isin(cidset)).withColumn("cum", F.sum("cnt").over(wc))
-        hit = (cum.join(tdf, "cid").where((F.col("cum") - F.col("cnt") <= F.col("j")) & (F.col("j") < F.col("cum")))
-               .select("cid", F.lit(2).alias("kind"), F.lit(None).cast("bigint").alias("n_distinct"),
-                       F.lit(None).cast("bigint").alias("n_values"), F.lit(None).cast("bigint").alias("top_cnt"),
-                       F.col("v").alias("mode"), F.col("j").alias("rn"),
-                       F.lit(None).cast("bigint").alias("cnt")))
-        summ = summ.unionByName(hit)
     rows = summ.collect()
-    out = {c: ColumnCounts(0, 0, 0, None, [], {}) for c in cols}
+    out = {c: ColumnCounts(0, 0, 0, None, []) for c in cols}
     low_rows = {}
-    ostat = {}
     for r in rows:
         c = cols[r["cid"]]
-        if r["kind"] == 2:
-            ostat.setdefault(c, {})[r["rn"]] = slot_value(r["mode"], KT.dtype_of(df, c))
-        elif r["kind"] == 0:
+        if r["kind"] == 0:
             out[c] = ColumnCounts(int(r["n_distinct"]), int(r["n_values"]), int(r["top_cnt"]),
-                                  slot_value(r["mode"], KT.dtype_of(df, c)), [], {})
+                                  slot_value(r["mode"], KT.dtype_of(df, c)), [])
         else:
             low_rows.setdefault(c, []).append((r["rn"], slot_value(r["mode"], KT.dtype_of(df, c)), r["cnt"]))
     for c, items in low_rows.items():
@@ -158,8 +132,6 @@ def column_counts(df: DataFrame, cols: list[str], *, samples: int = 0,
         for _, v, cnt in sorted(items, key=lambda x: x[0]):
             vals += [v] * int(min(cnt, samples))
         out[c].samples = vals[:samples]
-    for c, m in ostat.items():
-        out[c].ranks = m
     return out
 
 
@@ -169,180 +141,25 @@ def modes(df: DataFrame, cols: list[str]) -> dict[str, object]:
 
 
 # ---------------------------------------------------------------------------
-# exact order statistics by bracketing
+# exact order statistics
 # ---------------------------------------------------------------------------
 
-@dataclass
-class _Band:
-    name: str
-    lo: object  # inclusive lower bound, None = -inf
-    hi: object  # inclusive upper bound, None = +inf
-
-    def key(self):
-        return (self.name, self.lo, self.hi)
-
-
-def _in_band(v: Column, b: _Band) -> Column:
-    cond = v.isNotNull()
-    if b.lo is not None:
-        cond = cond & (v >= F.lit(b.lo))
-    if b.hi is not None:
-        cond = cond & (v <= F.lit(b.hi))
-    return cond
-
-
-def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tuple[str, int]], *,
-                     known: dict[str, tuple[int, int]] | None = None, band_limit: int = BAND_LIMIT,
-                     grid: int = GRID, accuracy: int = ACCURACY, with_counts: bool = False,
-                     first_grid: dict[str, list] | None = None) -> dict:
-    """Exact value at 0-based ascending rank ``r`` of each named expression (NULLs excluded).
-
-    ``exprs`` maps a name to a numeric expression over ``df``; ``targets`` lists
-    (name, rank) pairs; ``known`` may give (non-null count, approximate distinct
-    count) per name to save the first pass.  Ranks outside [0, n) give None.
-    With ``with_counts`` each result also carries how many values are smaller
-    than and equal to it.  ``first_grid`` may give, per name, the grid sketch of
-    the whole column (``grid_fractions(grid)`` at ``accuracy``) computed by the
-    caller's own aggregate, which saves the first bracketing pass.
+def order_statistics(df: DataFrame, exprs: dict[str, Column], targets: list[tuple[str, int]], *, with_counts: bool = False,
+                     **widths) -> dict:
+    """Exact value at 0-based ascending rank ``r`` of each named numeric expression (NULLs excluded).
+
+    ``targets`` lists (name, rank) pairs; ranks outside [0, n) give None.  With ``with_counts`` each result is a
+    ``radix.Selected``.  ``widths`` (bits, exact_rows) only change how many passes it takes.
     """
     if not targets:
         return {}
-    base = df.select(*[e.alias(f"_v{i}") for i, e in enumerate(exprs.values())])
-    names = list(exprs)
-    vcol = {n: F.col(f"_v{i}") for i, n in enumerate(names)}
-    fracs = [i / grid for i in range(grid + 1)]
-    known = dict(known or {})
-    missing = [n for n in {t[0] for t in targets} if n not in known]
-    if missing:
-        row = base.agg(*[F.struct(F.count(vcol[n]), F.approx_count_distinct(vcol[n])).alias(f"k{i}")
-                         for i, n in enumerate(missing)]).collect()[0]
-        known.update({n: tuple(row[f"k{i}"]) for i, n in enumerate(missing)})
-
-    result: dict = {}
-    to_count: dict[tuple[str, int], _Band] = {}
-    cur: dict[tuple[str, int], _Band] = {}
-    for t in set(targets):
-        n, d = known[t[0]]
-        if not n or t[1] < 0 or t[1] >= n:
-            result[t] = None
-        elif d <= band_limit or n <= band_limit:
-            to_count[t] = _Band(t[0], None, None)
-        else:
-            cur[t] = _Band(t[0], None, None)
-
-    first_grid = first_grid or {}
-    for _ in range(MAX_PASSES):
-        if not cur:
-            break
-        bands = {}
-        for t, b in cur.items():
-            bands.setdefault(b.key(), b)
-        st = {}
-        for key, b in list(bands.items()):
-            if b.lo is None and b.hi is None and first_grid.get(b.name) is not None:
-                st[key] = (known[b.name][0], first_grid[b.name], 0)
-                del bands[key]
-        band_list = list(bands.values())
-        if band_list:
-            aggs = []
-            for k, b in enumerate(band_list):
-                v = vcol[b.name]
-                inb = _in_band(v, b)
-                aggs += [
-                    F.count_if(inb).alias(f"m{k}"),
-                    F.percentile_approx(F.when(inb, v), fracs, accuracy).alias(f"g{k}"),
-                    (F.count_if(v < F.lit(b.lo)) if b.lo is not None else F.lit(0)).alias(f"b{k}"),
-                ]
-            row = base.agg(*aggs).collect()[0]
-            st.update({b.key(): (row[f"m{k}"], row[f"g{k}"], row[f"b{k}"]) for k, b in enumerate(band_list)})
-        nxt = {}
-        for t, b in cur.items():
-            m, g, below = st[b.key()]
-            j = t[1] - below
-            if m == 0 or j < 0 or j >= m:
-                raise RuntimeError(f"order statistic bracket lost for {t}")
-            if m <= band_limit:
-                to_count[t] = b
-                continue
-            eps = 2.0 * m / accuracy + 1.0
-            lo, hi, i_lo, i_hi = b.lo, b.hi, 0, grid
-            for i, f in enumerate(fracs):
-                if f * m + eps <= j:
-                    lo, i_lo = g[i], i
-            for i in range(len(fracs) - 1, -1, -1):
-                if fracs[i] * m - eps >= j:
-                    hi, i_hi = g[i], i
-            nb = _Band(b.name, lo, hi)
-            est = (i_hi - i_lo) / grid * m + 2 * eps
-            if nb.key() == b.key() or est <= band_limit / 2:
-                to_count[t] = nb  # small enough (or cannot narrow): count it exactly
-            else:
-                nxt[t] = nb
-        cur = nxt
-    for t in cur:
-        raise RuntimeError(f"order statistic did not converge for {t}")
-
-    if to_count:
-        result.update(_count_bands(base, vcol, to_count))
+    types = df.select(*[e.alias(n) for n, e in exprs.items()]).schema
+    wanted = {t[0] for t in targets}
+    values = {n: (nan_to_null(e, types[n].dataType), types[n].dataType) for n, e in exprs.items() if n in wanted}
+    found = radix.select(*radix.with_codes(df, values), targets, **widths)
     if with_counts:
-        return {t: result.get(t) for t in targets}
-    return {t: (result[t].value if isinstance(result.get(t), _Stat) else result.get(t)) for t in targets}
-
-
-def _count_bands(base: DataFrame, vcol, to_count: dict) -> dict:
-    """Resolve targets by counting the values of their band exactly.
-
-    Each row contributes (band, value) when inside a band and (band, NULL) when
-    below it; map-side combining turns all rows below a band into one count,
-    and NULL sorts first, so the running count is the global rank.  Each window
-    group is one band: a bounded number of distinct values.
-    """
-    bands = {}
-    for t, b in to_count.items():
-        bands.setdefault(b.key(), (len(bands), b))
-    items = []
-    for bid, b in bands.values():
-        v = vcol[b.name]
-        items.append(F.when(_in_band(v, b), F.struct(F.lit(bid).alias("bid"), v.cast("double").alias("v"),
-                                                     v.try_cast("bigint").alias("lv"))))
-        if b.lo is not None:
-            items.append(F.when(v < F.lit(b.lo), F.struct(F.lit(bid).alias("bid"), F.lit(None).cast("double").alias("v"),
-                                                          F.lit(None).cast("bigint").alias("lv"))))
-    pairs = base.select(F.inline(F.filter(F.array(*items), lambda s: s.isNotNull())))
-    hist = pairs.groupBy("bid", "v", "lv").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("bid").orderBy(F.col("v").asc_nulls_first(), F.col("lv").asc_nulls_first()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("cum", F.sum("cnt").over(w))
-    spark = base.sparkSession
-    want = [(bands[b.key()][0], int(t[1]), f"{t[0]}\u0000{t[1]}") for t, b in to_count.items()]
-    tdf = spark.createDataFrame(want, "bid int, j long, tkey string")
-    hit = (cum.join(F.broadcast(tdf), "bid")
-              .where((F.col("cum") - F.col("cnt") <= F.col("j")) & (F.col("j") < F.col("cum")))
-              .select("tkey", "v", "lv", (F.col("cum") - F.col("cnt")).alias("lt"), "cnt").collect())
-    out = {}
-    for r in hit:
-        name, rank = r["tkey"].split("\u0000")
-        if r["v"] is None and r["lv"] is None:
-            raise RuntimeError(f"order statistic bracket lost for {(name, rank)}")
-        out[(name, int(rank))] = _Stat(_pick((r["v"], r["lv"])), r["lt"], r["cnt"])
-    return {t: out.get(t) for t in to_count}
-
-
-@dataclass
-class _Stat:
-    value: object
-    lt: int  # rows with a smaller value
-    eq: int  # rows with this value
-
-
-def _pick(v):
-    if v is None:
-        return None
-    d, lv = v
-    # integral values keep full precision through the bigint copy
-    if lv is not None and d is not None and float(lv) == d:
-        return lv
-    return d
+        return found
+    return {t: None if s is None else radix.value_of(s.code, types[t[0]].dataType) for t, s in found.items()}
 
 
 def _lerp(a: float, b: float, t: float) -> float:
@@ -352,15 +169,19 @@ def _lerp(a: float, b: float, t: float) -> float:
 
 
 def _num_exprs(df: DataFrame, cols: list[str]) -> dict[str, Column]:
-    return {c: nan_to_null(qcol(c), KT.dtype_of(df, c)).cast("double") for c in cols}
+    """Columns as they are where one code holds them exactly, decimals of over 18 digits as doubles."""
+    out = {}
+    for c in cols:
+        dt = KT.dtype_of(df, c)
+        v = nan_to_null(qcol(c), dt)
+        out[c] = v if radix.one_word(dt) and not KT.is_string(dt) else v.cast("double")
+    return out
 
 
-def count_and_distinct(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, int]]:
-    """(non-null count, approximate distinct count) per column in one pass."""
-    ex = _num_exprs(df, cols)
-    row = df.agg(*[F.struct(F.count(e), F.approx_count_distinct(e)).alias(f"k{i}")
-                   for i, e in enumerate(ex.values())]).collect()[0]
-    return {c: tuple(row[f"k{i}"]) for i, c in enumerate(cols)}
+def value_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Non-null count per column in one pass."""
+    row = df.agg(*[F.count(e).alias(f"k{i}") for i, e in enumerate(_num_exprs(df, cols).values())]).first()
+    return {c: row[f"k{i}"] for i, c in enumerate(cols)}
 
 
 def quantile_plan(n: int, probs: list[float]) -> list[tuple[int, int, float]]:
@@ -381,17 +202,12 @@ def finish_quantiles(plan, values: dict[int, object]) -> list[float]:
     return out
 
 
-def grid_fractions(grid: int = GRID) -> list[float]:
-    return [i / grid for i in range(grid + 1)]
-
-
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], *, method: str = "exact",
-              known: dict[str, tuple[int, int]] | None = None,
-              accuracy: int = ACCURACY, first_grid: dict[str, list] | None = None) -> dict[str, list]:
+              known: dict[str, int] | None = None, accuracy: int = ACCURACY) -> dict[str, list]:
     """Linear-interpolated quantiles of each numeric column (NaN/NULL ignored).
 
     ``method="exact"`` uses ``order_statistics``; ``"approx"`` uses one
-    ``percentile_approx`` pass.  Returns col -> list aligned with ``probs``
+    ``percentile_approx`` pass.  ``known`` may give non-null counts.  Returns col -> list aligned with ``probs``
     (None for an all-missing column).
     """
     if not cols:
@@ -404,58 +220,30 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], *, method: str
                 for i, c in enumerate(cols)}
     known = dict(known or {})
     if any(c not in known for c in cols):
-        known.update(count_and_distinct(df, [c for c in cols if c not in known]))
-    targets = []
-    plan = {}
-    for c in cols:
-        n = known[c][0]
-        if not n:
-            plan[c] = None
-            continue
-        items = []
-        for p in probs:
-            h = (n - 1) * p
-            lo, hi = math.floor(h), math.ceil(h)
-            items.append((lo, hi, h - lo))
-            targets += [(c, lo), (c, hi)]
-        plan[c] = items
-    st = order_statistics(df, exprs, sorted(set(targets)), known=known, first_grid=first_grid)
-    out = {}
-    for c in cols:
-        if plan[c] is None:
-            out[c] = [None] * len(probs)
-            continue
-        vals = []
-        for lo, hi, t in plan[c]:
-            a, b = float(st[(c, lo)]), float(st[(c, hi)])
-            vals.append(a if lo == hi else _lerp(a, b, t))
-        out[c] = vals
-    return out
+        known.update(value_counts(df, [c for c in cols if c not in known]))
+    plan = {c: quantile_plan(known[c], probs) if known[c] else None for c in cols}
+    ranks = {(c, r) for c in cols if plan[c] for lo, hi, _ in plan[c] for r in (lo, hi)}
+    st = order_statistics(df, exprs, sorted(ranks))
+    return {c: [None] * len(probs) if plan[c] is None else finish_quantiles(plan[c], {r: st[c, r] for k, r in ranks if k == c})
+            for c in cols}
 
 
-def medians(df: DataFrame, cols: list[str], *, method: str = "exact",
-            known: dict[str, tuple[int, int]] | None = None) -> dict[str, float | None]:
+def medians(df: DataFrame, cols: list[str], *, method: str = "exact", known: dict[str, int] | None = None) -> dict[str, float | None]:
     """Median = mean of the two middle values for an even count."""
     if not cols:
         return {}
     if method == "approx":
         return {c: v[0] for c, v in quantiles(df, cols, [0.5], method="approx").items()}
-    exprs = _num_exprs(df, cols)
     known = dict(known or {})
     if any(c not in known for c in cols):
-        known.update(count_and_distinct(df, [c for c in cols if c not in known]))
-    targets = []
-    for c in cols:
-        n = known[c][0]
-        if n:
-            targets += [(c, (n - 1) // 2), (c, n // 2)]
-    st = order_statistics(df, exprs, sorted(set(targets)), known=known)
-    out = {}
+        known.update(value_counts(df, [c for c in cols if c not in known]))
+    middle = {c: ((known[c] - 1) // 2, known[c] // 2) for c in cols if known[c]}
+    st = order_statistics(df, _num_exprs(df, cols), sorted({(c, r) for c, rs in middle.items() for r in rs}))
+    out: dict = {}
     for c in cols:
-        n = known[c][0]
-        if not n:
+        if c not in middle:
             out[c] = None
             continue
-        a, b = float(st[(c, (n - 1) // 2)]), float(st[(c, n // 2)])
-        out[c] = a if n % 2 else (a + b) / 2
+        a, b = (v if isinstance(v, int) else float(v) for v in (st[c, r] for r in middle[c]))
+        out[c] = a if a == b else (a + b) / 2
     return out

@@ -1,7 +1,7 @@
 """Missing data: sparse-column drop (I1), indicators (I2), median / most-frequent /
 mode fills (I3-I5), residual fill (I6) and flag-controlled basic fill (I7).
 
-Fill values come from bounded statistics (``stats.medians`` brackets exact
+Fill values come from bounded statistics (``stats.medians`` selects exact
 medians; modes come from the value histogram), so no column is gathered
 into one task.  Applying is one ``select`` of ``coalesce`` expressions.
 """
@@ -23,19 +23,14 @@ KEEP_ROLES = {"id", "datetime_feature", "text"}
 
 def _null_counts(df: DataFrame, known: dict | None = None) -> tuple[int, dict[str, int]]:
     """Row count and missing count per column; with ``known`` (a dict) also fills
-    (non-null count, approximate distinct count) of numeric columns for the median passes."""
+    the non-null counts of numeric columns for the median passes."""
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("_n")]
     aggs += [F.count_if(nan_to_null(qcol(c), KT.dtype_of(df, c)).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]
-    num = [c for c in cols if KT.is_number(KT.dtype_of(df, c))] if known is not None else []
-    aggs += [F.approx_count_distinct(nan_to_null(qcol(c), KT.dtype_of(df, c))).alias(f"d{i}")
-             for i, c in enumerate(cols) if c in num]
     row = df.agg(*aggs).collect()[0]
     n = row["_n"]
     if known is not None:
-        for i, c in enumerate(cols):
-            if c in num:
-                known[c] = (n - row[f"m{i}"], row[f"d{i}"])
+        known.update({c: n - row[f"m{i}"] for i, c in enumerate(cols) if KT.is_number(KT.dtype_of(df, c))})
     return n, {c: row[f"m{i}"] for i, c in enumerate(cols)}
 
 
@@ -181,7 +176,7 @@ def ensure_complete(df: DataFrame, **kw) -> DataFrame:
 
 def fit_basic(df: DataFrame, *, method: str = "exact", known: dict | None = None) -> dict:
     """Numeric -> median (skipped when undefined); anything else -> mode or 'unknown'.
-    ``known`` (a dict) receives (non-null count, approximate distinct) of numeric columns."""
+    ``known`` (a dict) receives the non-null counts of numeric columns."""
     known = known if known is not None else {}
     _, miss = _null_counts(df, known)
     cols = [c for c in df.columns if miss[c]]

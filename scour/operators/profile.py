@@ -51,10 +51,10 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-def _counts(df: DataFrame, method: str, samples: int = 0, ranks=None) -> dict[str, stats.ColumnCounts]:
+def _counts(df: DataFrame, method: str, samples: int = 0) -> dict[str, stats.ColumnCounts]:
     cols = df.columns
     if method == "exact":
-        return stats.column_counts(df, cols, samples=samples, ranks=ranks)
+        return stats.column_counts(df, cols, samples=samples)
     # approximate distinct counts for every column; exact histogram only for text
     text = [c for c in cols if KT.kind(KT.dtype_of(df, c)) == "text"]
     exact = stats.column_counts(df, text) if text else {}
@@ -139,10 +139,7 @@ def profile(df: DataFrame, *, method: str = "exact", sample_size: int = 5,
         aggs.append(F.count(v).alias(f"c{i}"))
         if c in numeric:
             d = v.cast("double")
-            if method == "exact":
-                # first bracketing pass of the exact quantiles, fused into this scan
-                aggs.append(F.percentile_approx(d, stats.grid_fractions(), stats.ACCURACY).alias(f"gr{i}"))
-            aggs += [F.approx_count_distinct(d).alias(f"ad{i}"), F.min(d).alias(f"mn{i}"), F.max(d).alias(f"mx{i}"), F.avg(d).alias(f"av{i}"),
+            aggs += [F.min(d).alias(f"mn{i}"), F.max(d).alias(f"mx{i}"), F.avg(d).alias(f"av{i}"),
                      F.stddev_samp(d).alias(f"sd{i}"),
                      skew_adjusted(F.count(d), F.skewness(d)).alias(f"sk{i}")]
     base = df.agg(*aggs).collect()[0]
@@ -150,25 +147,13 @@ def profile(df: DataFrame, *, method: str = "exact", sample_size: int = 5,
     nonnull = {c: base[f"c{i}"] for i, c in enumerate(cols)}
 
     probs = [0.25, 0.5, 0.75]
-    adist = {c: base[f"ad{i}"] for i, c in enumerate(cols) if c in numeric}
-    plans = {c: stats.quantile_plan(nonnull[c], probs) for c in numeric if nonnull[c]}
-    small = [c for c in plans if method == "exact" and adist[c] <= stats.BAND_LIMIT]
-    large = [c for c in numeric if c not in small]
-    grids = {c: base[f"gr{i}"] for i, c in enumerate(cols) if c in large and method == "exact"}
-    qs = stats.quantiles(df, large, probs, method=method, known={c: (nonnull[c], adist[c]) for c in large},
-                         first_grid=grids) if large else {}
-    rank_req = {c: sorted({r for lo, hi, _ in plans[c] for r in (lo, hi)}) for c in small}
+    qs = stats.quantiles(df, numeric, probs, method=method, known={c: nonnull[c] for c in numeric})
     if order_by is None and method == "exact":
-        counts = _counts(df, method, samples=sample_size, ranks=rank_req)
+        counts = _counts(df, method, samples=sample_size)
         samples = {c: [None if v is None else str(v) for v in (counts[c].samples or [])] for c in cols}
     else:
-        counts = _counts(df, method, ranks=rank_req)
+        counts = _counts(df, method)
         samples = _samples(df, cols, sample_size, order_by)
-    for c in numeric:
-        if c in small:
-            qs[c] = stats.finish_quantiles(plans[c], counts[c].ranks)
-        elif c not in qs:
-            qs[c] = [None] * len(probs)
     fences = {}
     for c in numeric:
         q1, _, q3 = qs[c]

@@ -12,14 +12,13 @@ def _frame(spark, values, name="x"):
     return spark.createDataFrame([(None if v is None else float(v),) for v in values], f"{name} double")
 
 
-def test_order_statistics_bracketing_matches_sort(spark):
+def test_order_statistics_match_sort(spark):
     rng = np.random.default_rng(7)
     vals = rng.normal(size=20000)
     df = _frame(spark, vals)
     ranks = [0, 1, 4999, 10000, 19998, 19999]
-    # a tiny band limit forces several bracketing passes
-    got = stats.order_statistics(df, {"x": F.col("x")}, [("x", r) for r in ranks], band_limit=50, grid=16,
-                                 accuracy=200)
+    # few buckets force many passes
+    got = stats.order_statistics(df, {"x": F.col("x")}, [("x", r) for r in ranks], bits=4, exact_rows=10)
     s = np.sort(vals)
     for r in ranks:
         assert got[("x", r)] == pytest.approx(s[r], abs=0, rel=0)
@@ -31,8 +30,7 @@ def test_order_statistics_with_a_hot_value(spark):
     df = _frame(spark, vals)
     s = np.sort(vals)
     ranks = [0, 2999, 3000, 4500, 8999]
-    got = stats.order_statistics(df, {"x": F.col("x")}, [("x", r) for r in ranks], band_limit=40, grid=8,
-                                 accuracy=100)
+    got = stats.order_statistics(df, {"x": F.col("x")}, [("x", r) for r in ranks], bits=3, exact_rows=5)
     for r in ranks:
         assert got[("x", r)] == s[r]
 
