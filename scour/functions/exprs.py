@@ -95,3 +95,11 @@ def map_lookup(c, mapping: dict) -> Column:
     for k, v in mapping.items():
         items += [F.lit(k), F.lit(v)]
     return F.try_element_at(F.create_map(*items), col(c))
+
+
+def put(kept: list[str], extra: dict[str, Column], values: dict[str, Column] | None = None) -> list[Column]:
+    """The columns ``kept`` (or their new ``values``) and the ``extra`` ones; an extra name that exists already takes the
+    place of the old column, others come last."""
+    out = {c: (values or {}).get(c, qcol(c)) for c in kept}
+    out.update(extra)
+    return [e.alias(n) for n, e in out.items()]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scour.functions import rank, stats
 from scour.functions import types as KT
 from scour.functions import vocab
-from scour.functions.exprs import nan_to_null, qcol, skew_adjusted, word_count
+from scour.functions.exprs import nan_to_null, put, qcol, skew_adjusted, word_count
 
 SKIP_ROLES = {"id", "missing_indicator", "outlier_indicator"}
 
@@ -23,11 +23,8 @@ SKIP_ROLES = {"id", "missing_indicator", "outlier_indicator"}
 def date_parts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``<col>_year``, ``<col>_month``, ``<col>_day`` for each datetime column; sources kept."""
     columns = columns if columns is not None else KT.columns_where(df, KT.is_datetime)
-    extra = []
-    for c in columns:
-        extra += [F.year(qcol(c)).alias(f"{c}_year"), F.month(qcol(c)).alias(f"{c}_month"),
-                  F.dayofmonth(qcol(c)).alias(f"{c}_day")]
-    return df.select(*[qcol(c) for c in df.columns], *extra)
+    parts = {"year": F.year, "month": F.month, "day": F.dayofmonth}
+    return df.select(*put(df.columns, {f"{c}_{name}": part(qcol(c)) for c in columns for name, part in parts.items()}))
 
 
 def fit_log1p(df: DataFrame, roles: dict[str, str] | None = None) -> list[str]:
@@ -57,22 +54,21 @@ def log1p_expr(name: str, dt) -> Column:
 def log1p_skewed(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
     """F2 one-shot: add ``<col>_log1p`` for skewed non-negative columns."""
     cols = fit_log1p(df, roles)
-    return df.select(*[qcol(c) for c in df.columns],
-                     *[log1p_expr(c, KT.dtype_of(df, c)).alias(f"{c}_log1p") for c in cols])
+    return df.select(*put(df.columns, {f"{c}_log1p": log1p_expr(c, KT.dtype_of(df, c)) for c in cols}))
 
 
-def text_exprs(name: str) -> list[Column]:
+def text_exprs(name: str) -> dict[str, Column]:
     """length in characters and white-space word count (missing reads as 'nan')."""
     s = F.coalesce(qcol(name).cast("string"), F.lit("nan"))
-    return [F.length(s).cast("bigint").alias(f"{name}_length"), word_count(s).cast("bigint").alias(f"{name}_word_count")]
+    return {f"{name}_length": F.length(s).cast("bigint"), f"{name}_word_count": word_count(s).cast("bigint")}
 
 
 def text_features(df: DataFrame, columns: list[str]) -> DataFrame:
     """F3/F4 for the given text columns (appended)."""
-    extra = []
+    extra: dict[str, Column] = {}
     for c in columns:
-        extra += text_exprs(c)
-    return df.select(*[qcol(c) for c in df.columns], *extra)
+        extra |= text_exprs(c)
+    return df.select(*put(df.columns, extra))
 
 
 def categories(df: DataFrame, column: str, limit: int | None = None) -> list | None:
@@ -93,9 +89,9 @@ def small_categories(df: DataFrame, cols: list[str]) -> dict[str, list]:
     return {c: list(row[f"c{i}"]) for i, c in enumerate(cols)}
 
 
-def one_hot_exprs(name: str, values: list) -> list[Column]:
+def one_hot_exprs(name: str, values: list) -> dict[str, Column]:
     """``<col>_<value>`` booleans in sorted value order; a missing value gives all false."""
-    return [F.coalesce(qcol(name) == F.lit(v), F.lit(False)).alias(f"{name}_{v}") for v in values]
+    return {f"{name}_{v}": F.coalesce(qcol(name) == F.lit(v), F.lit(False)) for v in values}
 
 
 def one_hot(df: DataFrame, column: str, max_categories: int | None = vocab.ONE_HOT_MAX,
@@ -104,10 +100,8 @@ def one_hot(df: DataFrame, column: str, max_categories: int | None = vocab.ONE_H
     vals = categories(df, column, max_categories)
     if vals is None:
         raise ValueError(f"{column} has more than {max_categories} categories")
-    ex = one_hot_exprs(column, vals)
-    if as_int:
-        ex = [e.cast("int").alias(f"{column}_{v}") for e, v in zip(ex, vals)]
-    return df.select(*[qcol(c) for c in df.columns if c != column], *ex)
+    ex = {n: e.cast("int") if as_int else e for n, e in one_hot_exprs(column, vals).items()}
+    return df.select(*put([c for c in df.columns if c != column], ex))
 
 
 def factorize(df: DataFrame, column: str, missing_code: int = -1, order_by: str | None = None) -> DataFrame:
@@ -195,14 +189,13 @@ def apply_features(df: DataFrame, params: dict, dictionaries: dict[str, tuple[Da
     """Apply F1-F6.  ``dictionaries`` may carry fitted factorize dictionaries (replay);
     otherwise they are built from ``df``."""
     out = date_parts(df, params["datetime"])
-    out = out.select(*[qcol(c) for c in out.columns],
-                     *[log1p_expr(c, KT.dtype_of(out, c)).alias(f"{c}_log1p") for c in params["skewed_numeric"]])
+    out = out.select(*put(out.columns, {f"{c}_log1p": log1p_expr(c, KT.dtype_of(out, c)) for c in params["skewed_numeric"]}))
     out = text_features(out, params["text_features"])
     dictionaries = dictionaries if dictionaries is not None else {}
     for enc in params["categorical_encoded"]:
         c = enc["column"]
         if enc["method"] == "onehot":
-            out = out.select(*[qcol(x) for x in out.columns if x != c], *one_hot_exprs(c, enc["categories"]))
+            out = out.select(*put([x for x in out.columns if x != c], one_hot_exprs(c, enc["categories"])))
         else:
             if c not in dictionaries:
                 dictionaries[c] = rank.dense_dictionary(df.select(qcol(c).alias("value")))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scour.functions import stats
 from scour.functions import types as KT
 from scour.functions import vocab
-from scour.functions.exprs import nan_to_null, qcol
+from scour.functions.exprs import nan_to_null, put, qcol
 
 KEEP_ROLES = {"id", "datetime_feature", "text"}
 
@@ -103,19 +103,11 @@ def fit_missing(df: DataFrame, roles: dict[str, str] | None = None, *,
 def apply_missing(df: DataFrame, params: dict, *, indicators: bool = True) -> DataFrame:
     drop = {d["column"] for d in params["dropped_columns"]}
     fills = {d["column"]: d for d in params["imputations"]}
-    out = []
-    for c in df.columns:
-        if c in drop:
-            continue
-        if c in fills:
-            out.append(fill_expr(c, KT.dtype_of(df, c), fills[c]).alias(c))
-        else:
-            out.append(qcol(c))
+    extra = {}
     if indicators:
-        for d in params["imputations"]:
-            c = d["column"]
-            out.append(nan_to_null(qcol(c), KT.dtype_of(df, c)).isNull().cast("int").alias(f"{c}_was_missing"))
-    return df.select(*out)
+        extra = {f"{c}_was_missing": nan_to_null(qcol(c), KT.dtype_of(df, c)).isNull().cast("int") for c in fills}
+    values = {c: fill_expr(c, KT.dtype_of(df, c), spec) for c, spec in fills.items() if c in df.columns}
+    return df.select(*put([c for c in df.columns if c not in drop], extra, values))
 
 
 def handle_missing(df: DataFrame, roles: dict[str, str] | None = None, **kw) -> DataFrame:
@@ -135,9 +127,8 @@ def drop_sparse(df: DataFrame, threshold: float = vocab.SPARSE_COLUMN_RATIO,
 def missing_indicators(df: DataFrame) -> DataFrame:
     """I2 alone: ``<col>_was_missing`` (0/1) for every column with a missing value."""
     _, miss = _null_counts(df)
-    extra = [nan_to_null(qcol(c), KT.dtype_of(df, c)).isNull().cast("int").alias(f"{c}_was_missing")
-             for c in df.columns if miss[c]]
-    return df.select(*[qcol(c) for c in df.columns], *extra)
+    extra = {f"{c}_was_missing": nan_to_null(qcol(c), KT.dtype_of(df, c)).isNull().cast("int") for c in df.columns if miss[c]}
+    return df.select(*put(df.columns, extra))
 
 
 def impute(df: DataFrame, column: str, strategy: str = "auto", value=None, *, method: str = "exact") -> DataFrame:

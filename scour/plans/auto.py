@@ -10,13 +10,13 @@ ML-ready result (read again by the metrics and any later stage).
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scour.functions import types as KT
 from scour.operators import consistency, features, missing, outliers, profile, schema, semantic, splits, steps
+from scour.plans import decisions
 from scour.plans.recipe import Recipe
 from scour.session import cut_lineage
 
@@ -43,13 +43,10 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     if metrics:
         inv = {v: k for k, v in renames.items()}
         r.stats["quality_metrics"] = {inv.get(c, c): m for c, m in quality.items()}
-    r.note("raw", f"Raw Data: loaded dataset with {rows} rows and {ncols} columns")
-    if renames:
-        r.note("schema", f"Schema Cleaning: renamed columns {json.dumps(renames)}")
+    r.decide("raw", "rows", rows)
+    r.decide("raw", "columns", ncols)
     r.add("schema", sp)
     roles = dict(sp["roles"])
-    if sp["type_conversions"]:
-        r.note("schema", f"Schema Cleaning: coerced types {sp['type_conversions']}")
     df = schema.apply_schema(df, sp)
 
     clock("schema")
@@ -57,10 +54,6 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     sem = semantic.fit_semantic(df, roles)
     r.add("semantic", sem)
     df = semantic.apply_semantic(df, sem)
-    summary = {"dates": sem["dates"], "missing_tokens": sem["missing_tokens"],
-               "canonical_mappings": sem["canonical_mappings"]}
-    if any(summary.values()):
-        r.note("semantic", f"Semantic Cleaning: normalized {summary}")
     if materialize:
         df = cut_lineage(df)
 
@@ -71,9 +64,6 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     df = missing.apply_missing(df, mp)
     for c in mp["indicator_columns"]:
         roles[c] = "missing_indicator"
-    if mp["imputations"] or mp["dropped_columns"]:
-        r.note("missing", f"Missing Data Handling: imputations={mp['imputations']}, "
-                          f"dropped={mp['dropped_columns']}, indicators={mp['indicator_columns']}")
 
     clock("missing")
     # outliers
@@ -83,8 +73,6 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     for a in op["actions"]:
         if a.get("flag_column"):
             roles[a["flag_column"]] = "outlier_indicator"
-    if op["actions"]:
-        r.note("outliers", f"Outlier Handling: {op['actions']}")
 
     clock("outliers")
     # consistency
@@ -93,10 +81,6 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     df = consistency.apply_consistency(df, cp)
     if materialize:
         df = cut_lineage(df)
-    if cp["duplicates_removed"] or cp["constant_columns_dropped"] or cp["numeric_adjustments"] or cp["date_corrections"]:
-        r.note("consistency", f"Consistency Checks: removed {cp['duplicates_removed']} duplicates, dropped "
-                              f"{cp['constant_columns_dropped']}, numeric adjustments={cp['numeric_adjustments']}, "
-                              f"date corrections={cp['date_corrections']}")
 
     clock("consistency")
     # features
@@ -108,7 +92,6 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
             from scour.functions import rank
             r.dictionaries[enc["column"]] = rank.dense_dictionary(df.select(F.col(f"`{enc['column']}`").alias("value")))
     df = features.apply_features(df, fp, dict(r.dictionaries))
-    r.note("features", f"Feature Engineering: created features {fp}")
 
     clock("features")
     # ML-ready
@@ -121,11 +104,10 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
     if materialize:
         # the result is read again by the quality metrics and by every later stage
         df = cut_lineage(df)
-    if rp["imputations"]:
-        r.note("ml_ready", f"ML Ready: resolved residual missing values {rp['imputations']}")
     rows2, ncols2 = cp["rows"], len(df.columns)
     r.stats["ml_ready"] = {"total_features": ncols2, "rows": rows2, "bool_columns_encoded": bool_cols}
-    r.note("ml_ready", f"ML Ready: dataset shape ({rows2}, {ncols2})")
+    r.decide("ml_ready", "rows", rows2)
+    r.decide("ml_ready", "columns", ncols2)
     if metrics:
         r.stats["post_quality_metrics"] = _metrics(df)
     clock("ml_ready")
@@ -160,9 +142,9 @@ def prepare(df: DataFrame, step_list, **kw) -> tuple[DataFrame, Recipe]:
     residual fill and booleans-to-int run again when a step did something."""
     out, r = auto_layers(df, **kw)
     renames = r.params("names")["renamed"]
-    out, log, actions = steps.apply_steps(out, step_list, renames, mode="prepare")
-    for line in log:
-        r.note("manual", line)
+    out, skipped, actions = steps.apply_steps(out, step_list, renames, mode="prepare")
+    for s in skipped:
+        r.decide("manual", "skipped", column=s.column, detail=s.action)
     if actions:
         for a in actions:
             if "_dictionary" in a:
@@ -188,14 +170,12 @@ def auto_clean(df: DataFrame, *, split_percent: float | None = 80.0, impute_miss
         if on_error != "basic":
             raise
         df, r = raw, Recipe()
-        r.note("auto_clean", f"Note: Advanced pipeline skipped due to error ({type(e).__name__}). Using basic cleaning.")
+        r.decide("auto_clean", "layers_failed", detail=type(e).__name__)
     known: dict = {}
     if impute_missing:
         bp = missing.fit_basic(df, method=method, known=known)
         r.add("basic_impute", bp)
         df = missing.apply_missing(df, bp, indicators=False)
-        for d in bp["imputations"]:
-            r.note("auto_clean", f"Imputed {d['column']} with {d['strategy']}: {d['value']}")
     extremes = None
     if remove_outliers:
         # counts and sketches from the fill pass serve the quartiles when nothing was filled
@@ -204,8 +184,7 @@ def auto_clean(df: DataFrame, *, split_percent: float | None = 80.0, impute_miss
         extremes = cp.pop("extremes")
         r.add("clip_all", cp)
         df = outliers.apply_outliers(df, cp, flags=False)
-        if cp["clipped"]:
-            r.note("auto_clean", f"Clipped {cp['clipped']} outlier values using IQR method")
+        r.decide("auto_clean", "values_clipped", cp["clipped"])
     if normalize_features:
         cols = KT.columns_where(df, KT.is_number)
         if cols:
@@ -218,14 +197,14 @@ def auto_clean(df: DataFrame, *, split_percent: float | None = 80.0, impute_miss
             r.add("normalize_all", {"columns": sc})
             from scour.plans.recipe import _apply_minmax
             df = _apply_minmax(df, {"columns": sc})
-            for c in sc:
-                r.note("auto_clean", f"Normalized {c} using MinMax scaling")
     # imputing, clipping and scaling keep every row: the count is the one the layers measured
     n = r.stats.get("ml_ready", {}).get("rows")
     if n is None:
         n = df.count()
-    r.note("auto_clean", f"Final dataset: {n} rows, {len(df.columns)} columns")
+    r.decide("auto_clean", "rows", n)
+    r.decide("auto_clean", "columns", len(df.columns))
     if split_percent:
+        r.decide("auto_clean", "train_percent", split_percent)
         df = splits.percent_split(df, split_percent, seed=seed, key=key)
     return df, r
 
@@ -237,18 +216,23 @@ def run_mode(df: DataFrame, mode: str, *, step_list=None, test_size: float = 0.2
              shuffle: bool = True, seed: int = 42, key=None) -> tuple[DataFrame, dict]:
     """One of the five run modes.  Manual steps (``run`` mode) precede splitting.
 
-    Returns the frame (with ``split`` or ``fold`` when the mode splits) and
-    metadata with row counts per output.
+    Returns the frame (with ``split`` or ``fold`` when the mode splits) and metadata: rows and columns per output, the
+    actions of the steps with their log, the steps that were skipped, and the dictionaries of label encodings.
     """
     if mode not in MODES:
-        raise ValueError(f"Invalid operation_type: {mode}")
+        raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
     rows_before = df.count()
     if rows_before == 0:
-        raise ValueError("Could not load or empty dataframe")
+        raise ValueError("the input has no rows")
     meta = {"operation": mode, "rows_before": rows_before}
     if mode in ("clean_only", "clean_and_split", "clean_and_cv") and step_list:
-        df, _, _ = steps.apply_steps(df, step_list, mode="run")
-        meta["rows_after_cleaning"] = df.count()
+        df, skipped, actions = steps.apply_steps(df, step_list, mode="run")
+        meta["skipped_steps"] = [s.to_dict() for s in skipped]
+        meta["dictionaries"] = {a["column"]: a.pop("_dictionary") for a in actions if "_dictionary" in a}
+        meta["actions"] = actions
+        meta["log"] = [d.text() for d in decisions.expand("steps", {"actions": actions})]
+        # no step drops a row
+        meta["rows_after_cleaning"] = rows_before
     if mode in ("split", "clean_and_split"):
         df = splits.train_test_split(df, test_size, shuffle=shuffle, seed=seed, key=key)
         meta["split_type"] = "train_test"
@@ -260,4 +244,5 @@ def run_mode(df: DataFrame, mode: str, *, step_list=None, test_size: float = 0.2
         total = sum(counts.values())
         meta["rows_per_fold"] = {f"fold_{i}": {"train": total - counts.get(i, 0), "val": counts.get(i, 0)}
                                  for i in range(1, n_folds + 1)}
+    meta["columns"] = [c for c in df.columns if c not in ("split", "fold")]
     return df, meta

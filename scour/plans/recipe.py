@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scour.operators import consistency, features, missing, outliers, schema, semantic, steps
+from scour.operators import consistency, features, isolation, missing, outliers, schema, semantic, steps
+from scour.plans import decisions
 
 
 def _default(o):
@@ -28,15 +29,18 @@ def _default(o):
 class Recipe:
     layers: list = field(default_factory=list)  # [(name, params)]
     roles: dict = field(default_factory=dict)
-    log: list = field(default_factory=list)  # [(layer, message)]
+    log: list = field(default_factory=list)  # [(layer, column, decision, number, detail)]
     stats: dict = field(default_factory=dict)
     dictionaries: dict = field(default_factory=dict)  # column -> (DataFrame, size)
 
     def add(self, name: str, params: dict) -> None:
+        """Keep a layer's fitted parameters and log the decisions in them."""
         self.layers.append((name, params))
+        self.log += [decisions.as_row(d) for d in decisions.expand(name, params)]
 
-    def note(self, layer: str, message: str) -> None:
-        self.log.append((layer, message))
+    def decide(self, layer: str, decision: str, number: float | None = None, *, column: str | None = None, detail: str | None = None) -> None:
+        """Log a decision that isn't a layer's parameter."""
+        self.log.append(decisions.as_row(decisions.Decision(layer, column, decision, number, detail)))
 
     def params(self, name: str):
         for n, p in self.layers:
@@ -91,9 +95,10 @@ class Recipe:
 
     # --------------------------------------------------------------- audit log
     def log_df(self, spark: SparkSession) -> DataFrame:
-        """(seq, layer, message) in the order the run made its decisions."""
-        rows = [(i + 1, layer, msg) for i, (layer, msg) in enumerate(self.log)]
-        return spark.createDataFrame(rows, "seq int, layer string, message string")
+        """(seq, layer, column, decision, number, detail, message) in the order of the run; the message is printed
+        from the other columns."""
+        rows = [(i + 1, *d, decisions.Decision(*d).text()) for i, d in enumerate(self.log)]
+        return spark.createDataFrame(rows, "seq int, layer string, column string, decision string, number double, detail string, message string")
 
     def actions(self) -> dict:
         return {n: p for n, p in self.layers}
@@ -155,7 +160,7 @@ def _replay_steps(df: DataFrame, p: dict, dictionaries: dict | None = None) -> D
     from pyspark.sql import functions as F
 
     from scour.functions import types as KT
-    from scour.functions.exprs import nan_to_null, qcol
+    from scour.functions.exprs import nan_to_null, put, qcol
     for a in p["actions"]:
         col = a["column"]
         if col not in df.columns:
@@ -175,9 +180,11 @@ def _replay_steps(df: DataFrame, p: dict, dictionaries: dict | None = None) -> D
             else:
                 e = (v - F.lit(a["center"] or 0.0)) / F.lit(a["scale"])
             df = df.select(*[e.alias(c) if c == col else qcol(c) for c in df.columns])
+        elif act == "outliers":
+            df = isolation.apply_isolation(df, a["forest"], a["threshold"], f"{col}_")
         elif act == "encode" and m == "onehot":
             vals = [n[len(col) + 1:] for n in a["new_columns"]]
-            df = df.select(*[qcol(c) for c in df.columns if c != col], *features.one_hot_exprs(col, vals))
+            df = df.select(*put([c for c in df.columns if c != col], features.one_hot_exprs(col, vals)))
         elif act == "encode" and m == "label":
             df = features.label_encode(df, col, (dictionaries or {}).get(f"step:{col}"))
     return df

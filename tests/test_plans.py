@@ -50,7 +50,7 @@ def test_auto_clean_and_run_modes(spark):
     out, r = auto_clean(d, split_percent=80, key="o_orderkey")
     n = out.count()
     assert out.where(F.col("split") == "train").count() == int(0.8 * n)
-    assert any("Final dataset" in m for _, m in r.log)
+    assert any(layer == "auto_clean" and what == "rows" for layer, _, what, *_ in r.log)
     o = table(spark, SF, "orders")
     folds, meta = run_mode(o, "clean_and_cv", step_list=[{"column": "o_custkey", "action": "drop"}], n_folds=3,
                            key="o_orderkey")
