@@ -734,6 +734,32 @@ def q_transform_steps(spark, sf):
     return _round(apply_steps(o, steps)[0])
 
 
+@_query("step_normalize", "SELECT c_custkey, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / "
+        "(SELECT max(c_acctbal) - min(c_acctbal) FROM customer), 6) AS c_acctbal FROM customer")
+def q_step_normalize(spark, sf):
+    from scour.operators.steps import apply_steps
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return _round(apply_steps(c, [{"column": "c_acctbal", "action": "normalize"}], mode="run")[0])
+
+
+@_query("derived_again", dirty_cte() + "\nSELECT o_orderkey, visits, CAST(visits IS NULL AS INTEGER) AS visits_was_missing, ship_start, "
+        "CAST(year(ship_start) AS INTEGER) AS ship_start_year, CAST(month(ship_start) AS INTEGER) AS ship_start_month, "
+        "CAST(day(ship_start) AS INTEGER) AS ship_start_day FROM dirty")
+def q_derived_again(spark, sf):
+    from scour.operators.features import date_parts
+    from scour.operators.missing import missing_indicators
+    d = dirty(spark, sf).select("o_orderkey", "visits", F.lit(5).alias("visits_was_missing"), "ship_start", F.lit("x").alias("ship_start_year"))
+    return date_parts(date_parts(missing_indicators(d)))
+
+
+# Trees are random: no SQL; tests/test_isolation.py compares path lengths with a plain walk and looks for planted rows.
+@_query("isolation_outliers")
+def q_isolation_outliers(spark, sf):
+    from scour.operators.isolation import isolation_outliers
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    return _round(isolation_outliers(li, ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
 # =============================================================================
 # Splits (D-1..D-4, X2)
 # =============================================================================
@@ -908,13 +934,13 @@ FROM auto)
 @_query("auto_layers", _AUTO_SQL)
 def q_auto_layers(spark, sf):
     from scour.plans.auto import auto_layers
-    return _round(auto_layers(dirty(spark, sf), metrics=False)[0])
+    return _round(auto_layers(dirty(spark, sf))[0])
 
 
 @_query("audit_log")
 def q_audit_log(spark, sf):
     from scour.plans.auto import auto_layers
-    return auto_layers(dirty(spark, sf), metrics=False)[1].log_df(spark)
+    return auto_layers(dirty(spark, sf))[1].log_df(spark)
 
 
 @_query("run_stats", dirty_cte() + """
@@ -922,7 +948,7 @@ SELECT 'raw' AS stage, count(*) AS rows, CAST(16 AS BIGINT) AS columns FROM dirt
 UNION ALL SELECT 'ml_ready', count(*), CAST(43 AS BIGINT) FROM (SELECT DISTINCT * FROM dirty)""")
 def q_run_stats(spark, sf):
     from scour.plans.auto import auto_layers
-    _, r = auto_layers(dirty(spark, sf), metrics=False)
+    _, r = auto_layers(dirty(spark, sf))
     rows = [("raw", r.stats["raw_data"]["rows"], len(r.stats["raw_data"]["columns"])),
             ("ml_ready", r.stats["ml_ready"]["rows"], r.stats["ml_ready"]["total_features"])]
     return spark.createDataFrame(rows, "stage string, rows bigint, columns bigint")
@@ -932,7 +958,7 @@ def q_run_stats(spark, sf):
 def q_replay_recipe(spark, sf):
     from scour.plans.auto import auto_layers
     from scour.plans.recipe import Recipe
-    _, r = auto_layers(dirty(spark, sf), metrics=False)
+    _, r = auto_layers(dirty(spark, sf))
     again = Recipe.from_json(r.to_json())
     again.dictionaries = r.dictionaries
     return _round(again.apply(dirty(spark, sf)))
@@ -944,7 +970,7 @@ def q_prepare_steps(spark, sf):
     from scour.plans.auto import prepare
     steps = [Step("margin_percent", "scale", "standard"), Step("buyer_age", "scale", "minmax"),
              Step("Visits", "impute", "median"), Step("ticket", "drop")]
-    return _round(prepare(dirty(spark, sf), steps, metrics=False)[0])
+    return _round(prepare(dirty(spark, sf), steps)[0])
 
 
 @_query("auto_clean")
@@ -1091,7 +1117,7 @@ def q_stream_replay(spark, sf):
     from scour.plans.auto import auto_layers
     from scour.streaming.replay import replay_stream, run_to_table
     o = table(spark, sf, "orders")
-    _, recipe = auto_layers(o, metrics=False, materialize=False)
+    _, recipe = auto_layers(o, materialize=False)
     stream = spark.readStream.schema(o.schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
     out = replay_stream(recipe, stream)
     name = "scour_stream_" + os.urandom(4).hex()

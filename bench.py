@@ -42,7 +42,7 @@ def main():
         return profile.quality_metrics(table(spark, sf_dir, "lineitem"))
 
     def q_auto_layers():
-        return auto.auto_layers(dirty(spark, sf_dir), metrics=False)[0]
+        return auto.auto_layers(dirty(spark, sf_dir))[0]
 
     def q_clip_all():
         li = table(spark, sf_dir, "lineitem")
@@ -68,7 +68,7 @@ def main():
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm):
         _force(profile.profile(table(spark, warm, "lineitem")))
-        _force(auto.auto_layers(dirty(spark, warm), metrics=False)[0])
+        _force(auto.auto_layers(dirty(spark, warm))[0])
 
     times = {}
     for name, fn in plan:

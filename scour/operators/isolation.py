@@ -104,6 +104,7 @@ def isolation_score(df: DataFrame, forest: dict, name: str = "isolation_score")
 
     def score(batches: Iterator[tuple]) -> Iterator[pd.Series]:
         for batch in batches:
+            batch = (batch,) if isinstance(batch, pd.Series) else batch  # one column comes alone
             x = np.stack([np.asarray(c, np.float64) for c in batch], 1)
             rows, total = np.arange(len(x)), np.zeros(len(x))
             for root in arrays["roots"]:
