@@ -12,7 +12,9 @@ Every word and every pair has a count of its own.  The loss of a token w after v
 
 so a pair matters only where the other half has it, and words enter one by one.  Words and pairs that a sample finds
 frequent are counted exactly in the map tasks and added there; this only spares the shuffle and spreads the heavy keys.
-All others are dealt out by word or pair, counted there, and their losses are summed by document.
+All others are dealt out by word or pair, counted there, and their losses are summed by document.  Of these, only what
+both halves hold has a count in the models that are asked: a bitmap of their hashes spares all others the shuffle.  A
+hash that meets another's bit costs a row and never changes a result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from scour.llm.textkit import U, mix, word_hashes
 
 SAMPLE = 20_000  # documents that choose the frequent words and pairs; the result doesn't depend on them
 FEW_LABELS = 1 << 20  # up to so many good ids are sent to all tasks instead of shuffling texts
+SIEVE_BITS = (20, 29)  # powers of two between which the bitmap has one bit for each byte of text: 64 MB at most
+CHUNK = 1 << 11  # bytes of the bitmap that travel as one row
 SCALE = float(1 << 28)  # losses are summed as whole numbers, so no order of adding changes them
 
 
@@ -79,7 +83,7 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("key", "text", "half", F.coalesce("good", F.lit(False)).cast("int").alias("good"))
 
 
-def frequent(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, most: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the ``most`` words and pairs that are most frequent in a sample; a pair's last word is among the words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +96,7 @@ def frequent(docs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[word, both].view(np.int64)), pa.array(np.r_[word, h[at][first]].view(np.int64)),
                                                   pa.array(np.repeat([False, True], [len(word), len(both)])), pa.array(np.r_[n, m])], ["h", "w", "pair", "n"])
 
-    rate = min(1.0, SAMPLE / max(1, docs.count()))
+    rate = min(1.0, SAMPLE / max(1, n_docs))
     part = docs.select(plain_text().alias("text")).where(F.rand(7) < rate)
     found = written(part.mapInArrow(count, "h bigint, w bigint, pair boolean, n bigint").groupBy("pair", "h").agg(F.sum("n").alias("n"), F.min("w").alias("w")), "sampled")
     top = [found.where(F.col("pair") == kind).orderBy(F.desc("n"), "h").limit(most).select("h", "w").toArrow() for kind in (False, True)]
@@ -135,6 +139,63 @@ def count_frequent(rows: DataFrame, words: np.ndarray, pairs: np.ndarray) -> tup
     return np.stack([out[:, 1], out[:, 0] + out[:, 1]], 1), len(words) + table.where("kind < 0").count()
 
 
+def set_bits(bitmap: np.ndarray, cells: np.ndarray) -> None:
+    if len(cells):
+        cells = np.unique(cells)
+        byte = cells >> 3
+        first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+        bitmap[byte[first]] |= np.bitwise_or.reduceat(np.left_shift(1, cells & 7).astype(np.uint8), first)
+
+
+def cells_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h ^ U(0x5851F42D4C957F2D)) >> U(64 - bits)).astype(np.int64)
+
+
+def has_bits(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    cell = cells_of(h, len(bitmap).bit_length() + 2)
+    return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1) > 0
+
+
+def in_both_halves(rows: DataFrame, words: np.ndarray, pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap that has the bit of every word and pair which occurs in both halves and isn't frequent.
+
+    A task marks both halves' hashes and sends the pieces that aren't empty, compressed; pieces are united as they
+    arrive, so a task of the second stage holds the bitmap once, however many tasks the first stage has."""
+    size = 2 * CHUNK
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros((2, 1 << bits - 3), np.uint8)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            half = batch.column(1).to_numpy()
+            for i, j in steps(offsets):
+                h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                rare, rare_pair, side = places(words, h) < 0, places(pairs, pair) < 0, half[i:j][at_row]
+                for b in (0, 1):
+                    set_bits(have[b], cells_of(np.r_[h[rare & (side == b)], pair[rare_pair & (side[at] == b)]], bits))
+        full = np.flatnonzero(have.reshape(2, -1, CHUNK).any((0, 2)))
+        for k in range(0, len(full), 1024):
+            some = full[k:k + 1024]
+            pieces = [pa.compress(have[:, c * CHUNK:(c + 1) * CHUNK].tobytes(), "zstd", asbytes=True) for c in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(pieces, pa.binary())], ["c", "piece"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+                new = np.frombuffer(pa.decompress(piece.as_buffer(), size, "zstd"), np.uint8)
+                have[c] = have[c] | new if c in have else new
+        for c, piece in have.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([(piece[:CHUNK] & piece[CHUNK:]).tobytes()], pa.binary())], ["c", "piece"])
+
+    kind = "c bigint, piece binary"
+    got = rows.select("text", "half").mapInArrow(mark, kind).repartition("c").mapInArrow(unite, kind).toArrow()
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for c, piece in zip(got["c"].to_pylist(), got["piece"]):
+        out[c * CHUNK:(c + 1) * CHUNK] = np.frombuffer(piece.as_buffer(), np.uint8)
+    return out
+
+
 def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_cells: int = 1 << 17) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of ``docs``; losses are mean nats a token.
 
@@ -142,8 +203,10 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_c
     Equal texts of a half score alike, an empty table gives an empty result, other columns are ignored.
     ``frequent_cells`` bounds what each task holds; any value gives the same result.
     """
-    words, pairs = frequent(docs, frequent_cells)
+    n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    words, pairs = frequent(docs, frequent_cells, n_docs)
     rows = with_labels(docs, labels)
+    both = in_both_halves(rows, words, pairs, min(max(int(n_bytes).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1]))
     counts, n_words = count_frequent(rows, words, pairs)
     total = counts[..., -1]
     factor = [[1.0, total[b, 0] / total[b, 1] if total[b].all() else 1.0] for b in (0, 1)]
@@ -154,6 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_c
     one = (scaled[..., :len(words)] + 0.5) / np.array(whole)[::-1, :, None]
     as_word, as_first = -np.log(one), np.log1p(scaled[..., :len(words)] / strength)
     pair_count = scaled[..., len(words):-1]
+    unseen = np.log(2 * np.array(whole)[::-1])  # loss of a word that the other half doesn't have
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,23 +230,27 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_c
                 before = np.zeros(len(h), bool)
                 before[at - 1] = True
                 known, known_pair = np.flatnonzero(w >= 0), np.flatnonzero(p >= 0)
+                rare, rare_pair = w < 0, p < 0
+                rare[rare] = has_bits(both, h[rare])
+                rare_pair[rare_pair] = has_bits(both, pair[rare_pair])
+                alone = np.flatnonzero((w < 0) & ~rare)
                 base = []
                 for k in (0, 1):
                     x = np.zeros(len(h))
                     b = half[at_row[known]]
                     x[known] = as_word[b, k, w[known]] + before[known] * as_first[b, k, w[known]]
+                    x[alone] = unseen[half[at_row[alone]], k]
                     b, end = half[at_row[at[known_pair]]], at[known_pair]
                     x[end] -= np.log1p(pair_count[b, k, p[known_pair]] / (strength * one[b, k, w[end]]))
                     base.append(np.rint(np.bincount(at_row, x, j - i) * SCALE).astype(np.int64))
                 n = np.bincount(at_row, minlength=j - i)
-                rare = np.flatnonzero(w < 0)
+                rare, rare_pair = np.flatnonzero(rare), np.flatnonzero(rare_pair)
                 r1, h1, n1, m1 = counted(at_row[rare], h[rare], before[rare].astype(np.int64))
-                rare = np.flatnonzero(p < 0)
-                end = at[rare]
+                end = at[rare_pair]
                 # The last word of a pair: its place where it is frequent, else its hash.
                 last, hot = np.where(w[end] >= 0, w[end], h[end].view(np.int64)), (w[end] >= 0).astype(np.int64)
-                r2, h2, n2, _ = counted(at_row[end], pair[rare], hot)
-                order = np.lexsort((pair[rare], at_row[end]))
+                r2, h2, n2, _ = counted(at_row[end], pair[rare_pair], hot)
+                order = np.lexsort((pair[rare_pair], at_row[end]))
                 pick = order[np.r_[0, np.cumsum(n2)[:-1]]] if len(n2) else order
                 flag = half * 2 + good
                 # kind 0: a document (its base losses, number of words); 1: a word; 2: a pair after a rare word; 3: a pair

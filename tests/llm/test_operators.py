@@ -172,11 +172,14 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert gone[2] == {5, 9, 12} and gone[3] == {11} and not gone[4]
 
 
-def test_lm_difference_is_brute_force(spark):
+def test_lm_difference_is_brute_force(spark, monkeypatch):
     import math
     import random
     import zlib
 
+    import numpy as np
+
+    from scour.llm import op06_lm_difference as lm
     from scour.llm.op06_lm_difference import score
     rng = random.Random(3)
     names = [f"w{i}" for i in range(60)]
@@ -204,11 +207,25 @@ def test_lm_difference_is_brute_force(spark):
             p = one[:1] + [(pair[b, k, v, w] * r + 50 * o) / (word[b, k, v] * r + 50) for (v, w), o in zip(itertools.pairwise(tok), one[1:], strict=True)]
             loss.append(-sum(map(math.log, p)) / max(1, len(tok)))
         want.append((repr(i), len(tok), *loss, loss[1] - loss[0]))
-    for cells in (0, 3, 1 << 17):
+    bitmaps = []
+    kept = lm.in_both_halves
+
+    def bitmap(*args):
+        bitmaps.append(kept(*args))
+        return bitmaps[-1]
+
+    # The third run lets everything through the bitmap, the fourth has one with few bits.
+    for cells, make, bits in ((0, bitmap, 20), (3, bitmap, 20), (0, lambda *a: np.full(1 << 14, 255, np.uint8), 17), (3, bitmap, 14), (1 << 17, bitmap, 20)):
+        monkeypatch.setattr(lm, "in_both_halves", make)
+        monkeypatch.setattr(lm, "SIEVE_BITS", (bits, bits))
         got = sorted((repr(r[0]), *r[1:]) for r in score(docs, labels, frequent_cells=cells).collect())
         assert len(got) == len(want)
         for g, w in zip(got, sorted(want), strict=True):
             assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-6)
+    both = {k[2:] for c in (word, pair) for k in c if k[1] and (1 - k[0], *k[1:]) in c}
+    apart = {k[2:] for c in (word, pair) for k in c} - both
+    set_bits = [int(np.unpackbits(b).sum()) for b in bitmaps]
+    assert apart and len(both) - 2 <= set_bits[0] <= len(both) + 2 and set_bits[-1] == 0
 
 
 def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
