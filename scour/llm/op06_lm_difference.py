@@ -33,7 +33,8 @@ from scour.llm.textkit import U, mix, word_hashes
 SAMPLE = 20_000  # documents that choose the frequent words and pairs; the result doesn't depend on them
 FEW_LABELS = 1 << 20  # up to so many good ids are sent to all tasks instead of shuffling texts
 SIEVE_BITS = (20, 29)  # powers of two between which the bitmap has one bit for each byte of text: 64 MB at most
-CHUNK = 1 << 11  # bytes of the bitmap that travel as one row
+SENT = 1 << 20
+CHUNK = 1 << 12  # bytes of the bitmap that travel as one row
 SCALE = float(1 << 28)  # losses are summed as whole numbers, so no order of adding changes them
 
 
@@ -45,12 +46,30 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return h, rows, at, mix(h[at - 1] * U(0x9E3779B97F4A7C15) + h[at])
 
 
-def places(sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Place of each hash in a sorted list, or -1."""
-    if not len(sorted_hashes) or not len(h):
-        return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
-    return np.where(sorted_hashes[at] == h, at, -1)
+class Places:
+    """Places of hashes in a sorted list of distinct hashes; those of equal leading bits are tried one after the other."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.bits = hashes, len(hashes).bit_length() + 1
+        starts = np.arange(1 << self.bits, dtype=U) << U(64 - self.bits)
+        self.first = np.r_[np.searchsorted(hashes, starts), len(hashes)].astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        out = np.full(len(h), -1)
+        lead = (h >> U(64 - self.bits)).astype(np.int64)
+        at, end = self.first[lead], self.first[lead + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.hashes[at[left]] == h[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
 
 def counted(rows: np.ndarray, h: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,8 +102,8 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("key", "text", "half", F.coalesce("good", F.lit(False)).cast("int").alias("good"))
 
 
-def frequent(docs: DataFrame, most: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the ``most`` words and pairs that are most frequent in a sample; a pair's last word is among the words."""
+def frequent(docs: DataFrame, most: int, n_docs: int) -> tuple[Places, Places]:
+    """The ``most`` words and pairs that are most frequent in a sample; a pair's last word is among the words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,32 +119,35 @@ def frequent(docs: DataFrame, most: int, n_docs: int) -> tuple[np.ndarray, np.nd
     part = docs.select(plain_text().alias("text")).where(F.rand(7) < rate)
     found = written(part.mapInArrow(count, "h bigint, w bigint, pair boolean, n bigint").groupBy("pair", "h").agg(F.sum("n").alias("n"), F.min("w").alias("w")), "sampled")
     top = [found.where(F.col("pair") == kind).orderBy(F.desc("n"), "h").limit(most).select("h", "w").toArrow() for kind in (False, True)]
-    words = np.sort(top[0]["h"].to_numpy().view(U))
-    pairs = top[1]["h"].to_numpy().view(U)[places(words, top[1]["w"].to_numpy().view(U)) >= 0]
-    return words, np.sort(pairs)
+    words = Places(np.sort(top[0]["h"].to_numpy().view(U)))
+    pairs = top[1]["h"].to_numpy().view(U)[words.of(top[1]["w"].to_numpy().view(U)) >= 0]
+    return words, Places(np.sort(pairs))
 
 
-def count_frequent(rows: DataFrame, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, int]:
+def count_frequent(rows: DataFrame, words: Places, pairs: Places) -> tuple[np.ndarray, int]:
     """Exact counts (half, model, cell) over all documents, the cells being the frequent words, their pairs and all tokens;
     and the number of distinct words of any kind."""
     width = len(words) + len(pairs) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, width), np.int64)
+        total = np.zeros(4 * width, np.int64)
+        sent = np.zeros(SENT, U)  # rare words that were sent lately: a word may go twice, but mostly goes once
+        sent[0] = 1  # no hash of this place
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             half, good = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for i, j in steps(offsets):
                 h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                w, p = places(words, h), places(pairs, pair)
-                kind = (half[i:j] * 2 + good[i:j])[at_row]
-                for k in range(4):
-                    mine = kind == k
-                    total[k, :len(words)] += np.bincount(w[mine & (w >= 0)], minlength=len(words))
-                    total[k, len(words):-1] += np.bincount(p[mine[at] & (p >= 0)], minlength=len(pairs))
-                    total[k, -1] += mine.sum()
-                rare = np.unique(h[w < 0]).view(np.int64)
+                w, p = words.of(h), pairs.of(pair)
+                kind = (half[i:j] * 2 + good[i:j]).astype(np.int64)[at_row] * width
+                for cell in (kind[w >= 0] + w[w >= 0], kind[at][p >= 0] + len(words) + p[p >= 0], kind + width - 1):
+                    np.add.at(total, cell, 1)
+                rare = h[w < 0]
+                rare = np.unique(rare[sent[(rare % U(SENT)).astype(np.int64)] != rare])
+                sent[(rare % U(SENT)).astype(np.int64)] = rare
+                rare = rare.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(rare), pa.array(np.full(len(rare), -1)), pa.array(np.zeros(len(rare), np.int64))], ["h", "kind", "n"])
+        total = total.reshape(4, width)
         kind, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(kind), pa.array(total[kind, cell])], ["h", "kind", "n"])
 
@@ -140,11 +162,8 @@ def count_frequent(rows: DataFrame, words: np.ndarray, pairs: np.ndarray) -> tup
 
 
 def set_bits(bitmap: np.ndarray, cells: np.ndarray) -> None:
-    if len(cells):
-        cells = np.unique(cells)
-        byte = cells >> 3
-        first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
-        bitmap[byte[first]] |= np.bitwise_or.reduceat(np.left_shift(1, cells & 7).astype(np.uint8), first)
+    for bit in range(8):  # repeated places are harmless, as all write the same
+        bitmap[cells[cells & 7 == bit] >> 3] |= np.uint8(1 << bit)
 
 
 def cells_of(h: np.ndarray, bits: int) -> np.ndarray:
@@ -156,7 +175,7 @@ def has_bits(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1) > 0
 
 
-def in_both_halves(rows: DataFrame, words: np.ndarray, pairs: np.ndarray, bits: int) -> np.ndarray:
+def in_both_halves(rows: DataFrame, words: Places, pairs: Places, bits: int) -> np.ndarray:
     """Bitmap that has the bit of every word and pair which occurs in both halves and isn't frequent.
 
     A task marks both halves' hashes and sends the pieces that aren't empty, compressed; pieces are united as they
@@ -170,7 +189,7 @@ def in_both_halves(rows: DataFrame, words: np.ndarray, pairs: np.ndarray, bits:
             half = batch.column(1).to_numpy()
             for i, j in steps(offsets):
                 h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-                rare, rare_pair, side = places(words, h) < 0, places(pairs, pair) < 0, half[i:j][at_row]
+                rare, rare_pair, side = words.of(h) < 0, pairs.of(pair) < 0, half[i:j][at_row]
                 for b in (0, 1):
                     set_bits(have[b], cells_of(np.r_[h[rare & (side == b)], pair[rare_pair & (side[at] == b)]], bits))
         full = np.flatnonzero(have.reshape(2, -1, CHUNK).any((0, 2)))
@@ -196,7 +215,7 @@ def in_both_halves(rows: DataFrame, words: np.ndarray, pairs: np.ndarray, bits:
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_cells: int = 1 << 17) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_cells: int = 1 << 18) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of ``docs``; losses are mean nats a token.
 
     Null, empty and blank texts have no tokens and zeros.  Where the other half has no good document the score is 0.
@@ -226,7 +245,7 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_c
             for i, j in steps(offsets):
                 h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 key, half, good = keys[i:j], halves[i:j], goods[i:j]
-                w, p = places(words, h), places(pairs, pair)
+                w, p = words.of(h), pairs.of(pair)
                 before = np.zeros(len(h), bool)
                 before[at - 1] = True
                 known, known_pair = np.flatnonzero(w >= 0), np.flatnonzero(p >= 0)

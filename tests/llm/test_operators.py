@@ -215,7 +215,7 @@ def test_lm_difference_is_brute_force(spark, monkeypatch):
         return bitmaps[-1]
 
     # The third run lets everything through the bitmap, the fourth has one with few bits.
-    for cells, make, bits in ((0, bitmap, 20), (3, bitmap, 20), (0, lambda *a: np.full(1 << 14, 255, np.uint8), 17), (3, bitmap, 14), (1 << 17, bitmap, 20)):
+    for cells, make, bits in ((0, bitmap, 20), (3, bitmap, 20), (0, lambda *a: np.full(1 << 14, 255, np.uint8), 17), (3, bitmap, 15), (1 << 18, bitmap, 20)):
         monkeypatch.setattr(lm, "in_both_halves", make)
         monkeypatch.setattr(lm, "SIEVE_BITS", (bits, bits))
         got = sorted((repr(r[0]), *r[1:]) for r in score(docs, labels, frequent_cells=cells).collect())
