@@ -695,6 +695,29 @@ def q_scale_robust(spark, sf):
     return _round(scale_robust(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")[0])
 
 
+def _scale_auto_sql():
+    cols = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "l_discount",
+            "power": "pow(l_quantity, 4)", "total": "l_quantity + 50 * l_discount * 10 + 50 * l_tax * 12"}
+    ctes = ["x AS (SELECT l_orderkey, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in cols.items()) + " FROM lineitem)"]
+    for c in cols:
+        ctes += [f"a_{c} AS (SELECT avg({c}) AS m, stddev_pop({c}) AS sd, median({c}) AS md, min({c}) AS lo, max({c}) AS hi, "
+                 f"quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM x)",
+                 f"b_{c} AS (SELECT any_value(m) AS m, any_value(sd) AS sd, any_value(md) AS md, any_value(lo) AS lo, any_value(hi) AS hi, "
+                 f"any_value(q1) AS q1, any_value(q3) AS q3, avg(pow(({c} - m) / sd, 3)) AS g, avg(pow(({c} - m) / sd, 4)) - 3 AS k FROM x, a_{c})"]
+    pick = [f"round(CASE WHEN b_{c}.sd = 0 THEN x.{c} WHEN abs(b_{c}.g) > 1 OR b_{c}.k > 3 THEN (x.{c} - b_{c}.md) / "
+            f"CASE WHEN b_{c}.q3 = b_{c}.q1 THEN 1 ELSE b_{c}.q3 - b_{c}.q1 END WHEN b_{c}.k < -1 THEN (x.{c} - b_{c}.lo) / (b_{c}.hi - b_{c}.lo) "
+            f"ELSE (x.{c} - b_{c}.m) / b_{c}.sd END, 6) AS {c}" for c in cols]
+    return "WITH " + ", ".join(ctes) + " SELECT l_orderkey, " + ", ".join(pick) + " FROM x, " + ", ".join(f"b_{c}" for c in cols), cols
+
+
+@_query("scale_auto", _scale_auto_sql()[0])
+def q_scale_auto(spark, sf):
+    from scour.operators.steps import scale_auto
+    cols = _scale_auto_sql()[1]
+    src = table(spark, sf, "lineitem").select("l_orderkey", *[F.expr(f"CAST({e} AS DOUBLE)").alias(c) for c, e in cols.items()])
+    return _round(scale_auto(src, list(cols))[0])
+
+
 _NORM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -1121,8 +1144,7 @@ def q_stream_replay(spark, sf):
     stream = spark.readStream.schema(o.schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
     out = replay_stream(recipe, stream)
     name = "scour_stream_" + os.urandom(4).hex()
-    # orders has no event time to deduplicate by on the stream, so its finished table is.
-    return _round(run_to_table(out, name, _scratch(spark, "stream"))).dropDuplicates()
+    return _round(run_to_table(out, name, _scratch(spark, "stream")))
 
 
 # =============================================================================

@@ -81,3 +81,6 @@ def name_has(name: str, keywords, match: str | None = None) -> bool:
         parts = set(re.split(r"[^0-9a-z]+", lowered))
         return any(k in parts for k in keywords)
     return any(k in lowered for k in keywords)
+
+# Choice of a scaler by the moments of a column (our own rule; a uniform column has an excess kurtosis of -1.2).
+SCALER_SKEW, SCALER_TAIL, SCALER_FLAT = 1.0, 3.0, -1.0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scour.functions import stats
 from scour.functions import types as KT
+from scour.functions import vocab
 from scour.functions.exprs import nan_to_null, qcol
 from scour.operators import features, isolation, missing
 
@@ -22,7 +23,7 @@ from scour.operators import features, isolation, missing
 class Step:
     column: str
     action: str  # drop, impute, scale, encode, normalize, outliers
-    method: str | None = None  # mean, median, mode, custom, standard, minmax, robust, onehot, label, isolation
+    method: str | None = None  # mean, median, mode, custom, standard, minmax, robust, auto, onehot, label, isolation
     params: dict = field(default_factory=dict)
 
     def to_dict(self) -> dict:
@@ -68,6 +69,40 @@ def scale_robust(df: DataFrame, column: str, *, method: str = "exact") -> tuple[
     return _replace(df, column, (v - F.lit(med)) / F.lit(scale)), {"center": med, "scale": scale}
 
 
+def choose_scalers(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
+    """The scaler that suits each numeric column's distribution, from its first four moments (one pass for all).
+
+    No spread: none.  Skewed (beyond ``vocab.SCALER_SKEW``) or heavy-tailed (excess kurtosis over
+    ``vocab.SCALER_TAIL``): robust, as outliers pull mean and range.  Flat (excess kurtosis under
+    ``vocab.SCALER_FLAT``): minmax, as the range is the whole story.  Else standard."""
+    cols = columns or KT.columns_where(df, KT.is_number)
+    if not cols:
+        return {}
+    parts = []
+    for i, c in enumerate(cols):
+        v = nan_to_null(qcol(c), KT.dtype_of(df, c)).cast("double")
+        parts += [F.stddev_pop(v).alias(f"s{i}"), F.skewness(v).alias(f"g{i}"), F.kurtosis(v).alias(f"k{i}")]
+    row = df.agg(*parts).first()
+    out = {}
+    for i, c in enumerate(cols):
+        sd, skew, tail = row[f"s{i}"], row[f"g{i}"], row[f"k{i}"]
+        rules = ((not sd, "none"), (sd and (abs(skew) > vocab.SCALER_SKEW or tail > vocab.SCALER_TAIL), "robust"),
+                 (sd and tail < vocab.SCALER_FLAT, "minmax"), (True, "standard"))
+        out[c] = {"method": next(name for holds, name in rules if holds), "spread": sd, "skew": skew, "excess_kurtosis": tail}
+    return out
+
+
+def scale_auto(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict[str, dict]]:
+    """Scale each numeric column by the scaler chosen for it; columns without spread stay.  Returns the choices with
+    the fitted parameters."""
+    chosen = choose_scalers(df, columns)
+    for c, found in chosen.items():
+        if found["method"] != "none":
+            df, fitted = _SCALES[found["method"]](df, c)
+            found.update(fitted)
+    return df, chosen
+
+
 def normalize_all(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Min-max every numeric column with max > min (constants are left unchanged)."""
     cols = KT.columns_where(df, KT.is_number)
@@ -112,6 +147,9 @@ def _impute_step(df: DataFrame, s: Step) -> tuple[DataFrame, dict | None]:
 
 
 def _scale_step(df: DataFrame, s: Step) -> tuple[DataFrame, dict]:
+    if s.method == "auto":  # X5; the action names the scaler that was chosen, so a replay needs no choice
+        out, chosen = scale_auto(df, [s.column])
+        return out, chosen[s.column]
     return _SCALES[s.method](df, s.column)
 
 
@@ -134,7 +172,7 @@ def _isolation_step(df: DataFrame, s: Step) -> tuple[DataFrame, dict]:
 #: (action, method) -> what carries it out.
 _ACTIONS = {("drop", None): lambda df, s: (df.drop(s.column), {})}
 _ACTIONS |= {("impute", m): _impute_step for m in ("mean", "median", "mode", "custom")}
-_ACTIONS |= {("scale", m): _scale_step for m in _SCALES}
+_ACTIONS |= {("scale", m): _scale_step for m in (*_SCALES, "auto")}
 _ACTIONS |= {("encode", m): _encode_step for m in ("onehot", "label")}
 _ACTIONS[("outliers", "isolation")] = _isolation_step
 

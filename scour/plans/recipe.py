@@ -49,12 +49,11 @@ class Recipe:
         return None
 
     # ------------------------------------------------------------------ replay
-    def apply(self, df: DataFrame, *, streaming_dedup: str | None = None) -> DataFrame:
+    def apply(self, df: DataFrame, *, streaming_dedup: bool = True) -> DataFrame:
         """Replay every fitted layer on ``df``.
 
-        On a streaming frame, deduplication needs an event-time column with a
-        watermark: pass its name as ``streaming_dedup`` (rows are then
-        deduplicated within the watermark); without it deduplication is skipped.
+        On a streaming frame, deduplication keeps a digest of every distinct row as state;
+        ``streaming_dedup=False`` leaves it out.
         """
         for name, p in self.layers:
             if name == "names":
@@ -69,10 +68,9 @@ class Recipe:
                 df = outliers.apply_outliers(df, p)
             elif name == "consistency":
                 if df.isStreaming:
-                    q = dict(p, dedup=False)
-                    if streaming_dedup:
-                        df = df.dropDuplicatesWithinWatermark()
-                    df = consistency.apply_consistency(df, q)
+                    if streaming_dedup and p.get("dedup", True):
+                        df = consistency.drop_repeated_rows(df)
+                    df = consistency.apply_consistency(df, dict(p, dedup=False))
                 else:
                     df = consistency.apply_consistency(df, p)
             elif name == "features":
@@ -171,6 +169,8 @@ def _replay_steps(df: DataFrame, p: dict, dictionaries: dict | None = None) -> D
         elif act == "impute":
             if a.get("value") is not None:
                 df = missing.impute(df, col, "custom", a["value"])
+        elif act == "scale" and m == "none":
+            continue
         elif act == "scale":
             v = nan_to_null(qcol(col), KT.dtype_of(df, col)).cast("double")
             if m == "standard":

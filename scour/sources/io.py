@@ -4,11 +4,9 @@ table and split writers (S4, S5), preview (S6) and integer / float narrowing (S7
 
 from __future__ import annotations
 
-import csv
-import io as _io
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +45,53 @@ def dedupe_headers(names: list[str]) -> list[str]:
     return out
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+#: Holds a record whose number of fields isn't the header's.
+_RECORD = "_record"
+
+
+def _csv_reader(spark: SparkSession, sep: str, multi_line: bool):
+    return (spark.read.option("sep", sep).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("nullValue", "\u0000").option("emptyValue", "").option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
+
+
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, as the first line of a field with a newline does.  Where none
+    does, records are lines and files can be read in many pieces."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+
+
+def _header(spark: SparkSession, path: str, sep: str, multi_line: bool) -> list[str]:
+    """Names in the first record, read with the same quoting as the rest; a name may hold a newline."""
+    first = _csv_reader(spark, sep, multi_line).option("header", False).csv(path).first() if spark.read.text(path).limit(1).count() else None
+    if first is None:
         raise ValueError("empty file")
-    return next(csv.reader(_io.StringIO(first[0][0]), delimiter=sep))
+    return [n or f"Unnamed: {i}" for i, n in enumerate(first)]
+
+
+def _fields(record: Column, sep: str) -> Column:
+    """Number of fields of a raw record: separators outside of quotes, and one."""
+    bare = F.regexp_replace(record, '"[^"]*"', "")
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(sep)))) / len(sep) + 1
+
+
+def _csv_records(spark: SparkSession, path: str, sep: str, multi_line: bool | None) -> tuple[DataFrame, list[str]]:
+    """All records as text columns _c0.. and _record, which is null unless the record has another number of fields."""
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, path)
+    names = dedupe_headers(_header(spark, path, sep, multi_line))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*(f"_c{i}" for i in range(len(names))), _RECORD]])
+    # Where columns are pruned, the parser doesn't see how many fields a record has.
+    return _csv_reader(spark, sep, multi_line).option("header", True).option("enforceSchema", True).option("columnPruning", False) \
+        .option("columnNameOfCorruptRecord", _RECORD).schema(schema).csv(path), names
+
+
+def ragged_records(spark: SparkSession, path: str, *, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+    """Records of a CSV file that have more fields than its header: the fields that have a name, and the whole ``record``."""
+    raw, names = _csv_records(spark, path, sep, multi_line)
+    long = raw.where(F.coalesce(_fields(F.col(_RECORD), sep) > len(names), F.lit(False)))
+    return long.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], F.col(_RECORD).alias("record"))
 
 
 #: What counts as a number: a cast alone would also take "1d" and "2f".
@@ -83,24 +123,30 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, *, sep: str = ",",
-               infer: bool = True, na_tokens=CSV_NA_TOKENS, multi_line: bool = True) -> DataFrame:
+               infer: bool = True, na_tokens=CSV_NA_TOKENS, multi_line: bool | None = None,
+               ragged: str = "raise") -> DataFrame:
     """Read CSV (header, NA tokens to NULL, de-duplicated names, own type inference that
     keeps text columns as text), JSON or parquet; other formats are an error.
 
-    Quoted newlines need ``multi_line``, which reads each file in one task; turn it off for large
-    files whose fields hold no newline, so that they are split."""
+    Quoted newlines need ``multi_line``, which reads each file in one task.  By default a scan of the lines tells whether
+    a quote is left open at the end of one; only then files are read whole, else they are split.
+
+    A record with fewer fields than the header is filled with NULL.  One with more is an error when it is read
+    (``ragged="raise"``), or left out and listed by ``ragged_records`` (``ragged="apart"``)."""
     if fmt is None:
         ext = os.path.splitext(path.rstrip("/"))[1].lower()
         fmt = _FORMATS.get(ext)
         if fmt is None and os.path.isdir(path):
             fmt = "parquet"
     if fmt == "csv":
-        names = dedupe_headers(_header(spark, path, sep))
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        raw = (spark.read.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", False)
-               .option("ignoreTrailingWhiteSpace", False).option("nullValue", "\u0000").option("emptyValue", "")
-               .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-               .option("mode", "PERMISSIVE").schema(schema).csv(path))
+        if ragged not in ("raise", "apart"):
+            raise ValueError(ragged)
+        raw, names = _csv_records(spark, path, sep, multi_line)
+        # A query that reads nothing but the record is refused, so the first field takes part; its length is never below 0.
+        fits = F.coalesce((_fields(F.col(_RECORD), sep) <= len(names)) | (F.length("_c0") < 0), F.lit(True))
+        if ragged == "raise":
+            fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit(f"record with more than {len(names)} fields: "), F.col(_RECORD))).cast("boolean"))
+        raw = raw.where(fits)
         tokens = list(na_tokens)
         df = raw.select(*[F.when(F.col(f"_c{i}").isin(tokens) | F.col(f"_c{i}").isNull(), None)
                           .otherwise(F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)])

@@ -84,3 +84,34 @@ def test_suffixed_numbers_stay_text_and_one_hot_has_no_limit(spark):
     assert dict(got.dtypes) == {"a": "string", "b": "double"}
     wide = spark.range(1100).select(F.col("id").cast("string").alias("c"))
     assert len(one_hot(wide, "c", None).columns) >= 1100
+
+
+def test_csv_ragged_records_raise_or_stand_apart(spark, tmp_path):
+    import pytest
+    p = str(tmp_path / "r.csv")
+    with open(p, "w") as f:
+        f.write('a,b\n1,2\n3,4,5\n6\n"7,x",8\n9,,10\n')
+    with pytest.raises(Exception, match="more than 2 fields"):
+        io.read_table(spark, p, infer=False).select("a").collect()
+    got = io.read_table(spark, p, ragged="apart", infer=False)
+    assert sorted(map(tuple, got.collect())) == [("1", "2"), ("6", None), ("7,x", "8")]
+    assert got.select("b").where("b = '8'").count() == 1
+    assert sorted(r["record"] for r in io.ragged_records(spark, p).collect()) == ["3,4,5", "9,,10"]
+
+
+def test_csv_reads_files_whole_only_for_open_quotes(spark, tmp_path):
+    plain, open_ended = str(tmp_path / "p.csv"), str(tmp_path / "q.csv")
+    with open(plain, "w") as f:
+        f.write('k,t\n' + "".join(f'{i},"say ""hi"" {i}"\n' for i in range(20_000)))
+    with open(open_ended, "w") as f:
+        f.write('"first\nname",second,third\n1,"x\ny",3\n')
+    assert not io.has_open_quotes(spark, plain) and io.has_open_quotes(spark, open_ended)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = io.read_table(spark, plain, infer=False)
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    back = io.read_table(spark, open_ended)
+    assert back.columns == ["first\nname", "second", "third"] and tuple(back.first()) == (1, "x\ny", 3)

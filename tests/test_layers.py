@@ -83,3 +83,22 @@ def test_token_keyword_match():
     assert vocab.name_has("percentage", vocab.POSITIVE_KEYWORDS)  # substring: 'age'
     assert not vocab.name_has("percentage", vocab.POSITIVE_KEYWORDS, match="token")
     assert vocab.name_has("buyer_age", vocab.POSITIVE_KEYWORDS, match="token")
+
+
+def test_scaler_is_chosen_by_the_distribution(spark):
+    from pyspark.sql import functions as F
+    from scour.operators.steps import Step, apply_steps, choose_scalers, scale_auto
+    from scour.plans.recipe import _replay_steps
+    df = spark.range(4000).select(
+        F.col("id").alias("flat"), F.exp(F.col("id") / 400.0).alias("skewed"), F.lit(3.0).alias("same"), F.lit(None).cast("double").alias("none"),
+        (F.rand(1) + F.rand(2) + F.rand(3) + F.rand(4) + F.rand(5)).alias("bell"), F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("id")).alias("gaps"))
+    want = {"flat": "minmax", "skewed": "robust", "same": "none", "none": "none", "bell": "standard", "gaps": "minmax"}
+    assert {c: v["method"] for c, v in choose_scalers(df).items()} == want
+    out, chosen = scale_auto(df)
+    row = out.agg(F.min("flat"), F.max("flat"), F.round(F.avg("bell"), 9), F.round(F.stddev_pop("bell"), 9), F.min("same"), F.expr("percentile(skewed, 0.5)")).first()
+    assert tuple(row)[:5] == (0.0, 1.0, 0.0, 1.0, 3.0) and abs(row[5]) < 1e-12
+    # The action holds the choice, so a replay on other rows scales alike.
+    done, _, actions = apply_steps(df, [Step(c, "scale", "auto") for c in ("flat", "skewed", "same")])
+    assert [a["method"] for a in actions] == ["minmax", "robust", "none"]
+    again = _replay_steps(df.where("id % 2 = 0" if "id" in df.columns else "flat % 2 = 0"), {"actions": actions})
+    assert again.where("flat > 0.5").count() == done.where("flat > 0.5").count() // 2

@@ -4,6 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from scour.plans.auto import auto_layers
+from scour.plans.recipe import Recipe
 from scour.session import checkpoint_dir
 from scour.streaming.replay import replay_stream, run_to_table
 
@@ -33,3 +34,21 @@ def test_stream_replay_query_drops_copies_and_writes_files(spark, tmp_path):
     pq.write_table(pa.concat_tables([rows, rows.slice(0, 100)]), tmp_path / "orders.parquet")
     table = entry.queries()["stream_replay"](spark, str(tmp_path))
     assert table.inputFiles() and table.count() == rows.num_rows
+
+
+def test_stream_without_event_time_drops_copies_across_restarts(spark):
+    base = spark.createDataFrame([(1, " a ", 0.0), (1, "a", -0.0), (2, None, 1.5), (2, None, 1.5), (3, "c", None)], "k bigint, t string, v double")
+    # 0.0 and -0.0 are equal, as in a batch
+    recipe = Recipe([("consistency", {"dedup": True, "constant_columns_dropped": [], "numeric_adjustments": [], "date_corrections": []})], {}, [], {})
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-src-{uuid.uuid4().hex[:6]}"
+    place = f"{checkpoint_dir(spark).rstrip('/')}/stream-ck-{uuid.uuid4().hex[:6]}"
+    base = base.withColumn("t", F.trim("t"))
+
+    def run():
+        stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return run_to_table(replay_stream(recipe, stream), "t_" + uuid.uuid4().hex[:8], place)
+
+    base.repartition(3).write.parquet(folder)
+    assert run().count() == 3
+    base.union(base.where("k = 3").withColumn("k", F.lit(4).cast("bigint"))).write.mode("append").parquet(folder)
+    assert sorted(r["k"] for r in run().collect()) == [1, 2, 3, 4]  # the state outlives the first query
