@@ -319,12 +319,12 @@ def q_canonical_boolean(spark, sf):
     return canonicalize(dirty(spark, sf).select("o_orderkey", "gift_flag"), "gift_flag", "boolean")
 
 
-@_query("drop_timezone", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
+@_query("drop_timezone", "SELECT event_id, ts, ts AS instant FROM events")
 def q_drop_timezone(spark, sf):
-    from scour.operators.semantic import wall_clock_text
+    from scour.operators.semantic import drop_timezone, wall_clock_text
     e = table(spark, sf, "events")
-    zoned = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
-    return e.select("event_id", wall_clock_text(zoned).alias("ts"))
+    zoned = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("789+02:00"))
+    return drop_timezone(e.select("event_id", wall_clock_text(zoned).alias("ts"), F.col("ts").cast("timestamp").alias("instant")), ["instant"])
 
 
 @_query("detect_ids", dirty_cte() + """
@@ -1002,6 +1002,31 @@ def q_auto_clean(spark, sf):
     return _round(auto_clean(dirty(spark, sf), split_percent=80, key="o_orderkey")[0])
 
 
+_AUTO_NUMBERS = (
+    "o_orderkey order_amount is_urgent visits ticket margin_percent buyer_age order_amount_was_missing placed_on_was_missing "
+    "gift_flag_was_missing gender_was_missing visits_was_missing margin_percent_outlier_flag buyer_age_outlier_flag placed_on_year "
+    "placed_on_month placed_on_day ship_start_year ship_start_month ship_start_day ship_end_year ship_end_month ship_end_day "
+    "ship_end_year_log1p ship_end_month_log1p ship_end_day_log1p order_notes_length order_notes_word_count gift_flag_maybe gift_flag_no "
+    "gift_flag_yes gender_female gender_male gender_other priority_HIGH priority_LOW priority_MEDIUM priority_URGENT").split() + ["priority_NOT SPECIFIED"]
+
+
+def _auto_clean_sql():
+    """Blanket clip and min-max of all numeric columns of the seven-layer run, whose result has nothing missing."""
+    q = ", ".join(f'quantile_cont("{c}", 0.25) AS "a_{c}", quantile_cont("{c}", 0.75) AS "z_{c}"' for c in _AUTO_NUMBERS)
+    clipped = ", ".join(f'CASE WHEN "z_{c}" = "a_{c}" THEN CAST("{c}" AS DOUBLE) ELSE least(greatest(CAST("{c}" AS DOUBLE), '
+                        f'"a_{c}" - 1.5 * ("z_{c}" - "a_{c}")), "z_{c}" + 1.5 * ("z_{c}" - "a_{c}")) END AS "{c}"' for c in _AUTO_NUMBERS)
+    ends = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in _AUTO_NUMBERS)
+    scaled = ", ".join(f'round(CASE WHEN "hi_{c}" > "lo_{c}" THEN ("{c}" - "lo_{c}") / ("hi_{c}" - "lo_{c}") ELSE "{c}" END, 6) AS "{c}"' for c in _AUTO_NUMBERS)
+    return (_AUTO_BASE.rstrip() + f", qs AS (SELECT {q} FROM auto), cl AS (SELECT placed_on, order_notes, ship_start, ship_end, {clipped} FROM auto, qs), "
+            f"en AS (SELECT {ends} FROM cl) SELECT placed_on, order_notes, ship_start, ship_end, {scaled} FROM cl, en")
+
+
+@_query("auto_clean_values", _auto_clean_sql())
+def q_auto_clean_values(spark, sf):
+    from scour.plans.auto import auto_clean
+    return _round(auto_clean(dirty(spark, sf), split_percent=None)[0])
+
+
 _RUN_STEPS = [{"column": "o_custkey", "action": "drop"}, {"column": "o_totalprice", "action": "scale",
                                                           "method": "minmax"},
               {"column": "o_orderpriority", "action": "encode", "method": "label"}]
@@ -1147,6 +1172,22 @@ def q_stream_replay(spark, sf):
     return _round(run_to_table(out, name, _scratch(spark, "stream")))
 
 
+@_query("stream_dedup", _orders_layers_sql())
+def q_stream_dedup(spark, sf):
+    """Every row arrives twice, in different files; the stream itself drops the second."""
+    import os
+
+    from scour.plans.auto import auto_layers
+    from scour.streaming.replay import replay_stream, run_to_table
+    o = table(spark, sf, "orders")
+    _, recipe = auto_layers(o, materialize=False)
+    twice = _scratch(spark, "twice")
+    for mode in ("error", "append"):
+        o.write.mode(mode).parquet(twice)
+    out = replay_stream(recipe, spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(twice))
+    return _round(run_to_table(out, "scour_stream_" + os.urandom(4).hex(), _scratch(spark, "stream")))
+
+
 # =============================================================================
 # driver contract
 # =============================================================================

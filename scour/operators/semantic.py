@@ -136,7 +136,9 @@ def drop_timezone(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*[qcol(c).cast("timestamp_ntz").alias(c) if c in columns else qcol(c) for c in df.columns])
 
 
-def wall_clock_text(c, fmt: str = "yyyy-MM-dd HH:mm:ss[.SSSSSS]") -> Column:
-    """Parse timestamp text that may end in an offset (Z, +02:00, +0200) keeping the written wall clock."""
-    bare = F.regexp_replace(strip(c), r"(Z|[+-]\d{2}:?\d{2})$", "")
+def wall_clock_text(c, fmt: str = "yyyy-MM-dd HH:mm[:ss][.SSSSSS]") -> Column:
+    """Parse timestamp text that may end in an offset (Z, +02, +02:00, +0200) keeping the written wall clock.  Seconds may
+    be missing; of a fraction the microseconds count, which is what a timestamp holds."""
+    bare = F.regexp_replace(strip(c), r"(:\d{2}(?:\.\d+)?) ?(?:Z|[+-]\d{2}(?::?\d{2})?)$", "$1")
+    bare = F.regexp_replace(bare, r"(\.\d{6})\d+$", "$1")
     return F.try_to_timestamp(F.regexp_replace(bare, "T", " "), F.lit(fmt)).cast("timestamp_ntz")

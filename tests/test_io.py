@@ -57,6 +57,9 @@ def test_wall_clock_keeps_fractions(spark):
     from scour.operators.semantic import wall_clock_text
     row = spark.sql("SELECT '2024-01-02T03:04:05.250Z' AS a, '2024-01-02 03:04:05+02:00' AS b").select(wall_clock_text("a").alias("a"), wall_clock_text("b").alias("b")).first()
     assert row.a.microsecond == 250_000 and row.b.second == 5
+    texts = {"2024-01-02T03:04:05.123456789Z": (5, 123456), "2024-01-02 03:04": (0, 0), "2024-01-02T03:04+02": (0, 0), "2024-01-02 03:04:05 -0730": (5, 0)}
+    rows = spark.createDataFrame([(t,) for t in texts] + [("2024-01-02 03",), (None,)], "t string").select("t", wall_clock_text("t").alias("w")).collect()
+    assert {r.t: (r.w.second, r.w.microsecond) for r in rows if r.w} == texts and all(r.w is None or (r.w.hour, r.w.minute) == (3, 4) for r in rows)
 
 
 def test_recipe_dictionaries_never_share_a_folder(spark, tmp_path):
