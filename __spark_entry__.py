@@ -775,6 +775,33 @@ def q_derived_again(spark, sf):
     return date_parts(date_parts(missing_indicators(d)))
 
 
+# Whole numbers, so that distances and ties are exact on both sides.
+_KNN = {"size": "CASE WHEN p_partkey % 10 < 3 THEN NULL ELSE CAST(p_size AS DOUBLE) END",
+        "price": "CASE WHEN p_partkey % 7 < 2 THEN NULL ELSE CAST(floor(p_retailprice) AS DOUBLE) END",
+        "width": "CASE WHEN p_partkey % 9 = 4 THEN NULL ELSE CAST(length(p_name) AS DOUBLE) END"}
+
+
+def _knn_sql():
+    view = "SELECT p_partkey, " + ", ".join(f"{e} AS {c}" for c, e in _KNN.items()) + " FROM part"
+    total = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in _KNN)
+    both = " + ".join(f"CAST(a.{c} IS NOT NULL AND b.{c} IS NOT NULL AS INTEGER)" for c in _KNN)
+    fills = _union([
+        f"SELECT p_partkey, '{t}' AS t, avg(v) AS v FROM (SELECT *, max(d) FILTER (WHERE place <= 5) OVER (PARTITION BY p_partkey) AS last "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d) AS place FROM (SELECT a.p_partkey, b.{t} AS v, "
+        f"({total}) * (3.0::DOUBLE / ({both})) AS d FROM p a, p b WHERE a.{t} IS NULL AND b.{t} IS NOT NULL AND ({both}) > 0))) "
+        f"WHERE d <= last GROUP BY p_partkey" for t in _KNN])
+    value = ", ".join(f"round(coalesce(p.{c}, (SELECT f.v FROM f WHERE f.p_partkey = p.p_partkey AND f.t = '{c}'), "
+                      f"(SELECT median({c}) FROM p)), 6) AS {c}" for c in _KNN)
+    return f"WITH p AS ({view}), f AS ({fills}) SELECT p_partkey, {value} FROM p"
+
+
+@_query("knn_impute", _knn_sql())
+def q_knn_impute(spark, sf):
+    from scour.operators.neighbours import knn_impute
+    parts = table(spark, sf, "part").select("p_partkey", *[F.expr(e).alias(c) for c, e in _KNN.items()])
+    return _round(knn_impute(parts, list(_KNN), scaled=False))
+
+
 # Trees are random: no SQL; tests/test_isolation.py compares path lengths with a plain walk and looks for planted rows.
 @_query("isolation_outliers")
 def q_isolation_outliers(spark, sf):

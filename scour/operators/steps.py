@@ -16,14 +16,15 @@ from scour.functions import stats
 from scour.functions import types as KT
 from scour.functions import vocab
 from scour.functions.exprs import nan_to_null, qcol
-from scour.operators import features, isolation, missing
+from scour.operators import features, isolation, missing, neighbours
+from scour.session import cut_lineage
 
 
 @dataclass
 class Step:
     column: str
     action: str  # drop, impute, scale, encode, normalize, outliers
-    method: str | None = None  # mean, median, mode, custom, standard, minmax, robust, auto, onehot, label, isolation
+    method: str | None = None  # mean, median, mode, custom, standard, minmax, robust, auto, onehot, label, isolation, knn
     params: dict = field(default_factory=dict)
 
     def to_dict(self) -> dict:
@@ -146,6 +147,18 @@ def _impute_step(df: DataFrame, s: Step) -> tuple[DataFrame, dict | None]:
     return missing.impute(df, s.column, "custom", v), act
 
 
+def _knn_step(df: DataFrame, s: Step) -> tuple[DataFrame, dict | None]:
+    """Params may name the further columns of the distance (default: all numeric ones) and k."""
+    if not KT.is_number(KT.dtype_of(df, s.column)):
+        return df, None
+    further = s.params.get("columns") or KT.columns_where(df, KT.is_number)
+    columns = [s.column, *[c for c in further if c != s.column]]
+    k = int(s.params.get("k", neighbours.NEIGHBOURS))
+    # the rows that fill ride along, so that a replay fills new rows from them
+    donors = cut_lineage(df.select(*[qcol(c) for c in columns]))
+    return neighbours.knn_impute(df, columns, [s.column], k=k, donors=donors), {"columns": columns, "k": k, "_dictionary": (donors, donors.count())}
+
+
 def _scale_step(df: DataFrame, s: Step) -> tuple[DataFrame, dict]:
     if s.method == "auto":  # X5; the action names the scaler that was chosen, so a replay needs no choice
         out, chosen = scale_auto(df, [s.column])
@@ -172,6 +185,7 @@ def _isolation_step(df: DataFrame, s: Step) -> tuple[DataFrame, dict]:
 #: (action, method) -> what carries it out.
 _ACTIONS = {("drop", None): lambda df, s: (df.drop(s.column), {})}
 _ACTIONS |= {("impute", m): _impute_step for m in ("mean", "median", "mode", "custom")}
+_ACTIONS[("impute", "knn")] = _knn_step
 _ACTIONS |= {("scale", m): _scale_step for m in (*_SCALES, "auto")}
 _ACTIONS |= {("encode", m): _encode_step for m in ("onehot", "label")}
 _ACTIONS[("outliers", "isolation")] = _isolation_step

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scour.operators import consistency, features, isolation, missing, outliers, schema, semantic, steps
+from scour.operators import consistency, features, isolation, missing, neighbours, outliers, schema, semantic, steps
 from scour.plans import decisions
 
 
@@ -166,6 +166,11 @@ def _replay_steps(df: DataFrame, p: dict, dictionaries: dict | None = None) -> D
         act, m = a["action"], a.get("method")
         if act == "drop":
             df = df.drop(col)
+        elif act == "impute" and m == "knn":
+            donors = (dictionaries or {}).get(f"step:{col}")
+            if donors is None:
+                raise ValueError(f"the rows that fill {col!r} are not part of this recipe")
+            df = neighbours.knn_impute(df, a["columns"], [col], k=a["k"], donors=donors[0])
         elif act == "impute":
             if a.get("value") is not None:
                 df = missing.impute(df, col, "custom", a["value"])
