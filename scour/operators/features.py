@@ -157,19 +157,11 @@ def fit_features(df: DataFrame, roles: dict[str, str]) -> dict:
     cat_cols = [c for c in df.columns if KT.is_string(KT.dtype_of(df, c)) and roles.get(c) != "text"]
     encoded = []
     if cat_cols:
-        # a sketch separates "at most 15" from "many"; only columns whose estimate is
-        # anywhere near the cut are counted exactly
-        est = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"a{i}")
-                       for i, c in enumerate(cat_cols)]).collect()[0]
-        near = [c for i, c in enumerate(cat_cols) if est[f"a{i}"] <= 2 * vocab.ONE_HOT_MAX]
-        counts = stats.column_counts(df, near) if near else {}
-        for i, c in enumerate(cat_cols):
-            if c not in counts:
-                counts[c] = stats.ColumnCounts(int(est[f"a{i}"]), 0, 0, None)
-        small = [c for c in cat_cols if 1 < counts[c].n_distinct <= vocab.ONE_HOT_MAX]
+        counts = stats.distinct_counts(df, cat_cols)
+        small = [c for c in cat_cols if 1 < counts[c] <= vocab.ONE_HOT_MAX]
         cats = small_categories(df, small)
         for c in cat_cols:
-            k = counts[c].n_distinct
+            k = counts[c]
             if k <= 1:
                 continue
             if k <= vocab.ONE_HOT_MAX:

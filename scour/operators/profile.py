@@ -74,11 +74,11 @@ def quality_metrics(df: DataFrame, *, method: str = "exact") -> DataFrame:
                  *[F.count(nan_to_null(qcol(c), KT.dtype_of(df, c))).alias(f"c{i}")
                    for i, c in enumerate(cols)]).collect()[0]
     n = row["_n"]
-    counts = _counts(df, method)
+    counts = stats.distinct_counts(df, cols) if method == "exact" else {c: v.n_distinct for c, v in _counts(df, method).items()}
     out = []
     for i, c in enumerate(cols):
         nn = row[f"c{i}"]
-        nd = counts[c].n_distinct
+        nd = counts[c]
         out.append((c, i, KT.dtype_of(df, c).simpleString(), nn, nd,
                     (nn / n) if n else 1.0, nd / max(n, 1)))
     return spark.createDataFrame(out, QUALITY_SCHEMA)

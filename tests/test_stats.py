@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -76,3 +77,24 @@ def test_skew_adjusted_matches_pandas(spark):
     assert two is None
     const = _frame(spark, [2.0, 2.0, 2.0]).agg(skew_adjusted(F.count("x"), F.skewness("x"))).collect()[0][0]
     assert const == 0.0 and not math.isnan(const)
+
+
+def test_distinct_counts_are_exact(spark):
+    from scour.functions import stats
+    rows = [(None if i % 5 == 0 else i % 3, None if i % 4 == 0 else float("nan") if i % 4 == 1 else (-1) ** i * 0.0, f"{i % 700}" * (i % 40),
+             Decimal(i % 11) * Decimal("1e20"), None, [i % 6]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, `b.c` double, t string, d decimal(38,0), e string, l array<int>")
+    got = stats.distinct_counts(df, df.columns)
+    assert got == {"a": 3, "b.c": 1, "t": len({r[2] for r in rows}), "d": 11, "e": 0, "l": 6}
+    assert stats.distinct_counts(df.limit(0), ["a"]) == {"a": 0} and stats.distinct_counts(df, []) == {}
+
+
+def test_decisions_are_the_same_with_and_without_metrics(spark):
+    from scour.operators.schema import fit_schema
+    # the share of distinct values lies a little under and over the threshold of an ID: no estimate would tell them apart
+    n = 4000
+    for ratio in (0.89, 0.91, 0.94, 0.951, 0.979, 0.985):
+        df = spark.createDataFrame([(f"0{i % int(n * ratio):06d}", f"w{i % int(n * ratio)}", i % int(n * ratio)) for i in range(n)], "k string, t string, v int")
+        plain, full = fit_schema(df), fit_schema(df, quality=True)
+        assert all(plain[x] == full[x] for x in ("conversions", "roles", "type_conversions"))
+        assert full["quality"]["k"]["uniqueness"] == int(n * ratio) / n
