@@ -76,11 +76,17 @@ def auto_layers(df: DataFrame, *, method: str = "exact", materialize: bool = Tru
 
     clock("outliers")
     # consistency
-    cp = consistency.fit_consistency(df, roles, rows_before=rows)
-    r.add("consistency", cp)
-    df = consistency.apply_consistency(df, cp)
     if materialize:
-        df = cut_lineage(df)
+        # whole rows are shuffled once: the counts and the repairs both read the distinct rows
+        df = cut_lineage(consistency.drop_exact_duplicates(df))
+        cp = consistency.fit_consistency(df, roles, dedup=False)
+        cp |= {"dedup": True, "duplicates_removed": rows - cp["rows"]}
+        r.add("consistency", cp)
+        df = consistency.apply_consistency(df, dict(cp, dedup=False))
+    else:
+        cp = consistency.fit_consistency(df, roles, rows_before=rows)
+        r.add("consistency", cp)
+        df = consistency.apply_consistency(df, cp)
 
     clock("consistency")
     # features
