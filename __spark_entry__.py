@@ -7,6 +7,7 @@ that summation order cannot flip a hash.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from collections.abc import Callable
@@ -18,6 +19,7 @@ if _HERE not in sys.path:
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from scour.session import compiled_only  # noqa: E402
 from scour.sources.fixtures import dirty, dirty_cte  # noqa: E402
 from scour.sources.tables import table  # noqa: E402
 
@@ -27,7 +29,11 @@ _SQL: dict[str, str] = {}
 
 def _query(name: str, sql: str | None = None):
     def deco(fn):
-        _QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf):
+            compiled_only(spark)
+            return fn(spark, sf)
+        _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql
         return fn

@@ -56,9 +56,9 @@ def nan_to_null(c, dt: T.DataType) -> Column:
 def numeric_text(c) -> Column:
     """Greedy numeric parse of text: drop currency, commas, white space and every other char
     outside ``0-9 . -`` (one regex: the first removals are subsumed by the last), then parse;
-    unparsable text is NULL."""
+    unparsable text is NULL (told by its shape, since each failing cast costs an exception)."""
     s = F.regexp_replace(col(c), r"[^0-9.\-]", "")
-    return F.when(s.isin("", "-", "."), F.lit(None).cast("double")).otherwise(s.try_cast("double"))
+    return F.when(s.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), s.try_cast("double"))
 
 
 def strict_numeric_text(c) -> Column:

@@ -25,6 +25,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", str(COMPILED_BYTES))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -35,6 +36,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+#: The JVM never compiles a method of more bytes of byte code than this (HotSpot's HugeMethodLimit).
+COMPILED_BYTES = 8000
+
+
+def compiled_only(spark: SparkSession) -> None:
+    """Let Spark run a stage operator by operator where its generated method would be too large for the JVM to compile.
+
+    Spark's own limit (65535) lets wide tables run in such methods, as byte code that is interpreted, many times slower.
+    A session with another limit keeps it.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, "65535") == "65535":
+        spark.conf.set(key, str(COMPILED_BYTES))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
