@@ -52,3 +52,24 @@ def test_stream_without_event_time_drops_copies_across_restarts(spark):
     assert run().count() == 3
     base.union(base.where("k = 3").withColumn("k", F.lit(4).cast("bigint"))).write.mode("append").parquet(folder)
     assert sorted(r["k"] for r in run().collect()) == [1, 2, 3, 4]  # the state outlives the first query
+
+
+def test_micro_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+    rows = spark.read.parquet(os.path.join(SF, "orders.parquet")).toArrow()
+    folder = tmp_path / "orders.parquet"
+    folder.mkdir()
+    for i in range(10):
+        pq.write_table(rows.slice(i * rows.num_rows // 10, (i + 1) * rows.num_rows // 10 - i * rows.num_rows // 10), folder / f"part-{i}.parquet")
+    places, scratch = [], entry._scratch
+    monkeypatch.setattr(entry, "_scratch", lambda *a: places.append(scratch(*a)) or places[-1])
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        table = entry.queries()["stream_dedup"](spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert table.count() == rows.num_rows
+    batches = [x for x in os.listdir(places[-1].removeprefix("file:") + "/commits") if x.isdigit()]
+    assert 2 <= len(batches) <= entry.ARRIVALS and len(spark.read.parquet(places[0]).inputFiles()) > entry.ARRIVALS
