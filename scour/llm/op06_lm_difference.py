@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -146,19 +147,38 @@ def count_frequent(rows: DataFrame, words: Places, pairs: Places) -> tuple[np.nd
                 rare = np.unique(rare[sent[(rare % U(SENT)).astype(np.int64)] != rare])
                 sent[(rare % U(SENT)).astype(np.int64)] = rare
                 rare = rare.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rare), pa.array(np.full(len(rare), -1)), pa.array(np.zeros(len(rare), np.int64))], ["h", "kind", "n"])
-        total = total.reshape(4, width)
-        kind, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(kind), pa.array(total[kind, cell])], ["h", "kind", "n"])
-
-    table = rows.select("text", "half", "good").mapInArrow(count, "h bigint, kind bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    table = written(table, "counts")
-    out = np.zeros((4, width))
-    cells = table.where("kind >= 0").toArrow()
-    out[cells["kind"].to_numpy(), cells["h"].to_numpy()] = cells["n"].to_numpy()
-    out = out.reshape(2, 2, width)
+                yield pa.RecordBatch.from_arrays([pa.array(rare), pa.nulls(len(rare), pa.binary())], ["h", "piece"])
+        # Counts go by the piece, the same byte of all numbers together, which compresses well.
+        total = np.pad(total, (0, -len(total) % CHUNK)).reshape(-1, CHUNK)
+        for c in np.flatnonzero(total.any(1)):
+            piece = pa.compress(total[c].view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([piece], pa.binary())], ["h", "piece"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        rare = np.zeros(0, np.int64)
+        for batch in batches:
+            whole = batch.column(1).is_valid()
+            rare = np.union1d(rare, batch.column(0).filter(pc.invert(whole)).to_numpy())
+            part = batch.filter(whole)
+            for c, piece in zip(part.column(0).to_pylist(), part.column(1)):
+                new = np.frombuffer(pa.decompress(piece.as_buffer(), 8 * CHUNK, "zstd"), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+                have[c] = have[c] + new if c in have else new
+        for c, piece in have.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([piece.tobytes()], pa.binary())], ["h", "piece"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(rare)]), pa.nulls(1, pa.binary())], ["h", "piece"])
+
+    kind = "h bigint, piece binary"
+    table = rows.select("text", "half", "good").mapInArrow(count, kind).repartition("h").mapInArrow(add, kind).toArrow()
+    total, n_rare = np.zeros(-(-4 * width // CHUNK) * CHUNK, np.int64), 0
+    for h, piece in zip(table["h"].to_pylist(), table["piece"]):
+        if piece.is_valid:
+            total[h * CHUNK:(h + 1) * CHUNK] = np.frombuffer(piece.as_buffer(), np.int64)
+        else:
+            n_rare += h
+    out = total[:4 * width].astype(float).reshape(2, 2, width)
     # The target has the good ones, the background all.
-    return np.stack([out[:, 1], out[:, 0] + out[:, 1]], 1), len(words) + table.where("kind < 0").count()
+    return np.stack([out[:, 1], out[:, 0] + out[:, 1]], 1), len(words) + n_rare
 
 
 def set_bits(bitmap: np.ndarray, cells: np.ndarray) -> None:
@@ -175,11 +195,23 @@ def has_bits(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1) > 0
 
 
+def sparse(piece: np.ndarray, at: np.ndarray) -> bytes:
+    """The bytes of a piece at the places ``at``, behind the gaps between them: their low bytes, their high bytes."""
+    gaps = np.diff(at, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return np.concatenate([gaps.T.ravel(), piece[at]]).tobytes()
+
+
+def from_sparse(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n places and bytes that ``sparse`` has packed."""
+    return np.cumsum(data[:n].astype(np.int64) + (data[n:2 * n].astype(np.int64) << 8)), data[2 * n:]
+
+
 def in_both_halves(rows: DataFrame, words: Places, pairs: Places, bits: int) -> np.ndarray:
     """Bitmap that has the bit of every word and pair which occurs in both halves and isn't frequent.
 
     A task marks both halves' hashes and sends the pieces that aren't empty, compressed; pieces are united as they
-    arrive, so a task of the second stage holds the bitmap once, however many tasks the first stage has."""
+    arrive, so a task of the second stage holds the bitmap once, however many tasks the first stage has.  The driver gets
+    the pieces that aren't empty, compressed."""
     size = 2 * CHUNK
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,24 +226,35 @@ def in_both_halves(rows: DataFrame, words: Places, pairs: Places, bits: int) ->
                     set_bits(have[b], cells_of(np.r_[h[rare & (side == b)], pair[rare_pair & (side[at] == b)]], bits))
         full = np.flatnonzero(have.reshape(2, -1, CHUNK).any((0, 2)))
         for k in range(0, len(full), 1024):
-            some = full[k:k + 1024]
-            pieces = [pa.compress(have[:, c * CHUNK:(c + 1) * CHUNK].tobytes(), "zstd", asbytes=True) for c in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(pieces, pa.binary())], ["c", "piece"])
+            some, sizes, pieces = full[k:k + 1024], [], []
+            for c in some:
+                piece = have[:, c * CHUNK:(c + 1) * CHUNK].ravel()
+                at = np.flatnonzero(piece)
+                sizes.append(len(at) if 4 * len(at) < size else size)
+                pieces.append(pa.compress(sparse(piece, at) if sizes[-1] < size else piece.tobytes(), "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sizes), pa.array(pieces, pa.binary())], ["c", "n", "piece"])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, np.ndarray] = {}
         for batch in batches:
-            for c, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
-                new = np.frombuffer(pa.decompress(piece.as_buffer(), size, "zstd"), np.uint8)
-                have[c] = have[c] | new if c in have else new
+            for c, n, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if c not in have:
+                    have[c] = np.zeros(size, np.uint8)
+                if n < size:
+                    at, value = from_sparse(np.frombuffer(pa.decompress(piece.as_buffer(), 3 * n, "zstd"), np.uint8), n)
+                    have[c][at] |= value
+                else:
+                    have[c] |= np.frombuffer(pa.decompress(piece.as_buffer(), size, "zstd"), np.uint8)
         for c, piece in have.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([(piece[:CHUNK] & piece[CHUNK:]).tobytes()], pa.binary())], ["c", "piece"])
+            both = piece[:CHUNK] & piece[CHUNK:]
+            if both.any():
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([pa.compress(both.tobytes(), "zstd", asbytes=True)], pa.binary())], ["c", "piece"])
 
     kind = "c bigint, piece binary"
-    got = rows.select("text", "half").mapInArrow(mark, kind).repartition("c").mapInArrow(unite, kind).toArrow()
+    got = rows.select("text", "half").mapInArrow(mark, "c bigint, n bigint, piece binary").repartition("c").mapInArrow(unite, kind).toArrow()
     out = np.zeros(1 << bits - 3, np.uint8)
     for c, piece in zip(got["c"].to_pylist(), got["piece"]):
-        out[c * CHUNK:(c + 1) * CHUNK] = np.frombuffer(piece.as_buffer(), np.uint8)
+        out[c * CHUNK:(c + 1) * CHUNK] = np.frombuffer(pa.decompress(piece.as_buffer(), CHUNK, "zstd"), np.uint8)
     return out
 
 
@@ -225,7 +268,9 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_c
     n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     words, pairs = frequent(docs, frequent_cells, n_docs)
     rows = with_labels(docs, labels)
-    both = in_both_halves(rows, words, pairs, min(max(int(n_bytes).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1]))
+    # As a broadcast the bitmap is written to a file once; in the function it would be copied with each of its pickles.
+    sieve = docs.sparkSession.sparkContext.broadcast(
+        in_both_halves(rows, words, pairs, min(max(int(n_bytes).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])))
     counts, n_words = count_frequent(rows, words, pairs)
     total = counts[..., -1]
     factor = [[1.0, total[b, 0] / total[b, 1] if total[b].all() else 1.0] for b in (0, 1)]
@@ -239,6 +284,7 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_c
     unseen = np.log(2 * np.array(whole)[::-1])  # loss of a word that the other half doesn't have
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = sieve.value
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             keys, halves, goods = (batch.column(c).to_numpy() for c in (0, 2, 3))
