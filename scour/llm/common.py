@@ -25,6 +25,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")) if x)
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let rows travel to Python in batches of at most ``most`` bytes, each of which an executor holds several times, off its
+    heap.  A session with another limit than Spark's own (64 MB) keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64MB").lower() in ("64mb", "64m", "67108864", "67108864b"):
+        spark.conf.set(key, most)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the session's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"

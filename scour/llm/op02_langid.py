@@ -163,13 +163,13 @@ def identify(docs: DataFrame, model: Model | None = None, lead: float = 0.5, car
     ignored, or with ``carry`` returned as the struct ``row``.
     """
     model = model or train(docs)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type, text = docs.schema["doc_id"].dataType.simpleString(), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, "und"], object)
         for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            letter = np.array(batch.column(3).to_pylist(), bool)
+            data, offsets = text_buffers(batch.column(3).field(text) if carry else batch.column(3))
+            letter = np.array(batch.column(2).to_pylist(), bool)
             for i, j in steps(offsets):
                 ok = letter[i:j] & bool(model.langs)
                 if model.langs:
@@ -178,9 +178,11 @@ def identify(docs: DataFrame, model: Model | None = None, lead: float = 0.5, car
                     best, score, gap = np.zeros(j - i, int), np.zeros(j - i), np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names[np.where(ok, best, -1)], pa.string()),
-                    pa.array(np.where(ok, score, 0.0)), pa.array(ok & (gap < lead)), *(batch.column(4).slice(i, j - i) for _ in range(carry))],
+                    pa.array(np.where(ok, score, 0.0)), pa.array(ok & (gap < lead)), *(batch.column(3).slice(i, j - i) for _ in range(carry))],
                     ["doc_id", "held_out", "lang_pred", "score", "ambiguous", *["row"] * carry])
 
-    given = docs.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), plain_text().alias("text"), plain_text().rlike("\\p{L}").alias("letter"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry)
+    # With ``carry`` the text travels once, in the row.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    given = docs.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), plain_text().rlike("\\p{L}").alias("letter"), whole if carry else plain_text().alias("text"))
     row = f", row {given.schema['row'].dataType.simpleString()}" if carry else ""
     return given.mapInArrow(run, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, ambiguous boolean{row}")

@@ -179,25 +179,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
     stats = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     blocks = max(1, math.ceil(stats["n"] / block), math.ceil((stats["bytes"] or 0) / block_bytes))
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    out = docs.select("doc_id", plain_text().alias("text"), F.array().cast(f"array<{item_type}>").alias("items"), F.lit(0.0).alias("similarity"),
-                      *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry)
-    schema = f"doc_id {id_type}, text string, items array<{item_type}>, similarity double"
-    if carry:
-        schema += f", row {out.schema['row'].dataType.simpleString()}"
+    # With ``carry`` the text travels once, in the row.
+    name, text = "row" if carry else "text", docs.columns.index("text")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else plain_text()
+    out = docs.select("doc_id", whole.alias(name), F.array().cast(f"array<{item_type}>").alias("items"), F.lit(0.0).alias("similarity"))
+    schema = f"doc_id {id_type}, {name} {out.schema[name].dataType.simpleString()}, items array<{item_type}>, similarity double"
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
         index = Index(part["item_id"].to_pylist(), part["text"], size, percent)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                data, offsets = text_buffers(batch.column(1))
+                data, offsets = text_buffers(batch.column(1).field(text) if carry else batch.column(1))
                 lists, best = batch.column(2).to_pylist(), batch.column(3).to_pylist()
                 for i, j in steps(offsets):
                     for r, got in index.search(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]).items():
                         lists[i + r] = sorted({*lists[i + r], *(index.ids[x] for x in got if index.ids[x] is not None)})
                         best[i + r] = max(best[i + r], *got.values())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, batch.schema.field(2).type), pa.array(best, pa.float64()),
-                                                  *([batch.column(4)] if carry else [])], ["doc_id", "text", "items", "similarity", *["row"] * carry])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, batch.schema.field(2).type), pa.array(best, pa.float64())],
+                                                 ["doc_id", name, "items", "similarity"])
 
         out = out.mapInArrow(run, schema)
     return out.select("doc_id", (F.col("similarity") > 0).alias("contaminated"), "items", "similarity", *["row"] * carry)

@@ -31,23 +31,22 @@ def _seeded(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
 
 
-#: Powers are kept for texts of a usual step; for longer ones they are made anew, so workers don't hold them.
-KEPT_BITS = 21
+#: Of the powers a worker keeps only so many first ones; all others are products of two, made anew.
+KEPT_POWERS = 1 << 12
 
 
-def _made(bits: int, base: int) -> np.ndarray:
-    out = np.full(1 << bits, base, U)
+@functools.lru_cache(maxsize=16)
+def _kept(base: int) -> np.ndarray:
+    out = np.full(KEPT_POWERS, base, U)
     out[0] = 1
     return np.cumprod(out, dtype=U)
 
 
-_kept = functools.lru_cache(maxsize=4)(_made)
-
-
 def powers(n: int, base: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
-    bits = int(n).bit_length()
-    return (_kept(KEPT_BITS, base) if bits <= KEPT_BITS else _made(bits, base))[:n]
+    blocks = np.full(-(-n // KEPT_POWERS), pow(base, KEPT_POWERS, 1 << 64), U)
+    blocks[:1] = 1
+    return np.multiply.outer(np.cumprod(blocks, dtype=U), _kept(base)).ravel()[:n]
 
 
 class Rolling:
