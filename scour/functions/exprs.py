@@ -8,11 +8,13 @@ from pyspark.sql import types as T
 
 from scour.functions import vocab
 
-# Java regexes: (?U) makes \s match Unicode white space like Python's str methods.
+# Java regexes: (?U) makes \s match Unicode white space like Python's str methods; the class listed matches the same
+# characters without looking up each one's properties.
+_WS = r"[\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _LEAD_TRAIL_WS = r"(?U)^\s+|\s+$"
 _ANY_WS = r"(?U)\s"
-_WS_RUN = r"(?U)\s+"
-_WS_DOUBLE = r"(?U)\s{2,}"
+_WS_RUN = _WS + "+"
+_WS_DOUBLE = _WS + "{2}"
 
 
 def col(c) -> Column:
@@ -57,7 +59,7 @@ def numeric_text(c) -> Column:
     """Greedy numeric parse of text: drop currency, commas, white space and every other char
     outside ``0-9 . -`` (one regex: the first removals are subsumed by the last), then parse;
     unparsable text is NULL (told by its shape, since each failing cast costs an exception)."""
-    s = F.regexp_replace(col(c), r"[^0-9.\-]", "")
+    s = F.regexp_replace(col(c), r"[^0-9.\-]+", "")
     return F.when(s.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"), s.try_cast("double"))
 
 

@@ -55,3 +55,26 @@ def test_word_count_and_unicode_strip(spark):
     assert got == [2, 0]
     trimmed = schema.trim_strings(df).collect()[0][0]
     assert trimmed == "hello   world"
+
+
+def test_white_space_classes_match_every_white_character(spark):
+    from pyspark.sql import functions as F
+
+    from scour.functions.exprs import collapse_ws, has_double_ws
+    chars = spark.range(0x110000).where("id not between 55296 and 57343").select(F.col("id"), F.call_function("char", F.col("id")).alias("low"))
+    # UTF-16 code units of the plane that holds all white space, and letters around them
+    chars = chars.where("id < 65536").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    got = chars.select("id", F.col("c").rlike(r"(?U)^\s$").alias("want"), has_double_ws(F.concat("c", "c")).alias("double"),
+                       (collapse_ws(F.concat(F.lit("a"), "c", "c", F.lit("b"))) == "a b").alias("run"))
+    assert got.where("want != double or want != run").count() == 0
+    assert got.where("want").count() > 20
+
+
+def test_date_formats_are_tried_only_on_text_of_their_shape(spark):
+    from scour.operators import schema
+    rows = [("2020-01-02", "12.34", "07.01.2020"), ("2020-02-30", "note 5-LOW", "1.2.2020"), ("2020/01/03", "0012345678", None), (" 2020-01-04 ", "2020", "31.12.1999")]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    fit = schema.fit_schema(df, datetime_ratio=0.5)
+    assert fit["conversions"]["a"] == {"to": "datetime", "format": "yyyy-MM-dd"} and fit["conversions"]["c"]["format"] == "dd.MM.yyyy"
+    assert "shaped" in [x for d in [schema._str_flags(schema.vocab.DATETIME_FORMATS)] for x in ("shaped",) if x in str(d)]
+    assert schema.fit_schema(df, formats=())["conversions"]["a"]["to"] != "datetime"
