@@ -15,6 +15,8 @@ from scour.session import checkpoint_dir
 
 #: Bytes of text that one numpy step works on; a longer single document makes a step of its own.
 STEP_BYTES = 2 << 20
+#: The same for kernels that hold several 64-bit numbers for each byte: these then stay in the processor's cache.
+KERNEL_BYTES = 128 << 10
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once, bucketed by ``key`` as the shuffle has dealt it, so that later joins by it don't move its rows."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def crc_of_id(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))

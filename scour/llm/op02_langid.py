@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scour.llm.common import crc_of_id, plain_text, steps, text_buffers, unit_hash
+from scour.llm.common import KERNEL_BYTES, crc_of_id, plain_text, steps, text_buffers, unit_hash
 
 BITS = 16  # of the trigram hash
 _LETTER = np.full(256, 0x20, np.uint8)
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model | None = None, lead: float = 0.5, car
         for batch in batches:
             data, offsets = text_buffers(batch.column(3).field(text) if carry else batch.column(3))
             letter = np.array(batch.column(2).to_pylist(), bool)
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, KERNEL_BYTES):
                 ok = letter[i:j] & bool(model.langs)
                 if model.langs:
                     best, score, gap = model.decode(model.margins(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))

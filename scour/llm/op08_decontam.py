@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scour.llm.common import plain_text, steps, text_buffers
+from scour.llm.common import KERNEL_BYTES, plain_text, steps, text_buffers
 from scour.llm.textkit import U, mix, word_hashes, word_offsets
 
 RADIUS, BLOCKS = 19, 4
@@ -192,7 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent:
             for batch in batches:
                 data, offsets = text_buffers(batch.column(1).field(text) if carry else batch.column(1))
                 lists, best = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for i, j in steps(offsets):
+                for i, j in steps(offsets, 4 * KERNEL_BYTES):  # windows of several words for each word
                     for r, got in index.search(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]).items():
                         lists[i + r] = sorted({*lists[i + r], *(index.ids[x] for x in got if index.ids[x] is not None)})
                         best[i + r] = max(best[i + r], *got.values())

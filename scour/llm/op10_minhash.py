@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scour.llm.common import plain_text, steps, text_buffers, written
+from scour.llm.common import KERNEL_BYTES, bucketed, plain_text, steps, text_buffers, written
 from scour.llm.textkit import U, _seeded, distinct_by_row, mix, shingles, word_hashes
 
 ROWS = 2  # minhashes in a half-key
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, size: int, half: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, KERNEL_BYTES):
                 h, at = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], size)
                 keys = half_keys(h, at, half).view(np.int64)
                 ends = np.arange(j - i + 1, dtype=np.int32) * keys.shape[1]
@@ -124,7 +124,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             cell = batch.column(0).to_numpy().astype(np.int64) % SIEVE_BITS
             batch = batch.filter(pa.array((bits[cell >> 6] >> (cell & 63).astype(U) & U(1)) > 0))
             data, offsets = text_buffers(batch.column(1))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, KERNEL_BYTES):
                 h, at = shingle_sets(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], size)
                 maps = parity_maps(h, at)
                 yield pa.RecordBatch.from_arrays([
@@ -272,7 +272,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int =
     tables = tables.select("cid", "n", F.xxhash64("kx", "ky").alias("key"))
     crowded = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     tables = written(tables.join(crowded, "key"), "tables")
-    sets = written(full_sets(docs, hit.join(tables.select("cid").distinct(), "cid", "left_semi").select("pick", "cid"), size), "sets")
+    # Each round reads sets and maps by cid: bucketed by it, only pairs move.
+    sets = bucketed(full_sets(docs, hit.join(tables.select("cid").distinct(), "cid", "left_semi").select("pick", "cid"), size), "cid", "sets")
 
     labels = written(tables.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "labels")
     tried = None
