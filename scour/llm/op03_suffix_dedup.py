@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scour.llm.common import plain_text, scratch, steps, text_buffers, written
+from scour.llm.common import KERNEL_BYTES, bucketed, plain_text, steps, text_buffers, written
 from scour.llm.textkit import U, Rolling, mix
 
 #: Neighbouring starts that are settled together after the anchors.
@@ -159,13 +159,28 @@ def by_text(places: DataFrame) -> DataFrame:
     return places.groupBy("rep").agg(F.sort_array(F.collect_list("at")).alias("ats"))  # at most one for each byte of the text
 
 
-def bucketed(texts: DataFrame) -> DataFrame:
-    """``texts`` written once, bucketed by ``rep`` as the shuffle has dealt it, so that later joins don't move texts."""
-    spark = texts.sparkSession
-    path = scratch(spark, "texts")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    texts.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+#: Rows that leave a Python task together at least, where each text has few.
+OUT_ROWS = 20_000
+
+
+def together(parts: Iterator[tuple[pa.Array, list[np.ndarray]]], names: list[str], least: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of ``least`` rows or more, but for the last, of the parts: a text's ``rep`` as an array of one, which is
+    repeated and comes first, and columns of numbers."""
+    held, rows = [], 0
+
+    def batch() -> pa.RecordBatch:
+        ids = pa.concat_arrays([one for one, _ in held]).take(pa.array(np.repeat(np.arange(len(held)), [len(cols[0]) for _, cols in held])))
+        cols = [pa.array(np.concatenate(x)) for x in zip(*(cols for _, cols in held), strict=True)]
+        return pa.RecordBatch.from_arrays([ids, *cols], ["rep", *names])
+
+    for part in parts:
+        held.append(part)
+        rows += len(part[1][0])
+        if rows >= least:
+            yield batch()
+            held, rows = [], 0
+    if rows:
+        yield batch()
 
 
 def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> DataFrame:
@@ -180,12 +195,12 @@ def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> D
     back = span - block
     given = docs.select("doc_id", plain_text().alias("text"))
     whole = given.select("doc_id", F.substring(F.unhex(F.sha2("text", 256)), 1, 12).alias("rep"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
-    texts = bucketed(whole.where(F.col("n_bytes") >= span).groupBy("rep").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+    texts = bucketed(whole.where(F.col("n_bytes") >= span).groupBy("rep").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "rep", "texts")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, KERNEL_BYTES):
                 row, at, h, around = anchors(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], span)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(at.astype(np.int32)),
                                                   pa.array(h.view(np.int64)), pa.array(around.view(np.int64))], ["rep", "at", "kh", "eh"])
@@ -194,20 +209,22 @@ def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> D
     near = repeated_keys(texts.select("rep", "text").mapInArrow(find, PLACES), "anchors")
     sure, members = settle(near, "anchors")
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i in range(batch.num_rows):
                 u, core, around = pieces(data[offsets[i]:offsets[i + 1]], batch.column(2).slice(i, 1).flatten().to_numpy(), span)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(u), pa.binary()), pa.array(u.astype(np.int32)),
-                                                  pa.array(core.view(np.int64)), pa.array(around.view(np.int64))], ["rep", "at", "kh", "eh"])
+                yield batch.column(0).slice(i, 1), [u.astype(np.int32), core.view(np.int64), around.view(np.int64)]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from together(pieces_of(batches), ["at", "kh", "eh"])
 
     # One member stands for each settled surrounding, so that strings near an end find their partners there.
     small = repeated_keys(texts.select("rep", "text").join(by_text(members), "rep").mapInArrow(split, PLACES), "pieces")
     sure_small, members = settle(small, "pieces")
     members = by_text(members)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suffixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i in range(batch.num_rows):
@@ -221,10 +238,12 @@ def suffix_dedup(docs: DataFrame, span: int = 200, keep_text: bool = False) -> D
                     lead = (lead << 8) | own[s + k]
                 for a in range(0, len(s), 50_000):
                     b = min(len(s), a + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(lead[a:b]), pa.array(fp[a:b]), pa.array([batch.column(0)[i].as_py()] * (b - a), pa.binary()),
-                                                      pa.array(s[a:b].astype(np.int32))], ["lead", "fp", "rep", "start"])
+                    yield batch.column(0).slice(i, 1), [lead[a:b], fp[a:b], s[a:b].astype(np.int32)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from together(suffixes_of(batches), ["lead", "fp", "start"])
 
-    suffixes = texts.select("rep", "text").join(members, "rep").mapInArrow(cut, "lead bigint, fp bigint, rep binary, start int")
+    suffixes = texts.select("rep", "text").join(members, "rep").mapInArrow(cut, "rep binary, lead bigint, fp bigint, start int")
     again = repeated_suffixes(suffixes)
     at = F.col("at")
     hits = sure.select("rep", (at - back).alias("a"), at.alias("b")).union(sure_small.select("rep", at.alias("a"), (at + PIECE - 1).alias("b")))

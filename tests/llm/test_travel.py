@@ -1,6 +1,11 @@
 """What moves between tasks and what a worker keeps: narrow rows, sets that are dealt once, a cache of its true size."""
 
+
+import numpy as np
+import pyarrow as pa
+
 from scour.llm import op10_minhash
+from scour.llm import op03_suffix_dedup as suffixes
 
 
 def test_near_dedup_deals_sets_once(spark, monkeypatch):
@@ -15,3 +20,15 @@ def test_near_dedup_deals_sets_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "begin " + text), (4, "other words altogether")], "doc_id bigint, text string")
     assert {r.doc_id: r.component_id for r in op10_minhash.near_dedup(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
     assert plans and not any("Exchange" in p for p in plans)
+
+
+def test_few_rows_of_many_texts_leave_together():
+    parts = [(pa.array([b"%d" % i], pa.binary()), [np.arange(i % 4), np.arange(i % 4) + i]) for i in range(50)]
+    got = list(suffixes.together(iter(parts), ["at", "kh"], 20))
+    assert all(b.num_rows >= 20 for b in got[:-1]) and len(got) < 5
+    table = pa.Table.from_batches(got)
+    assert table.column_names == ["rep", "at", "kh"]
+    assert table.to_pydict() == {"rep": [b"%d" % i for i in range(50) for _ in range(i % 4)], "at": [x for i in range(50) for x in range(i % 4)],
+                                 "kh": [x + i for i in range(50) for x in range(i % 4)]}
+    assert list(suffixes.together(iter([]), ["at"])) == []
+    assert list(suffixes.together(iter([(pa.array([b"a"], pa.binary()), [np.zeros(0, np.int64)])]), ["at"])) == []
