@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scour.llm.common import plain_text, steps, text_buffers, written
+from scour.llm.common import KERNEL_BYTES, plain_text, steps, text_buffers, written
 from scour.llm.textkit import U, mix, word_hashes
 
 SAMPLE = 20_000  # documents that choose the frequent words and pairs; the result doesn't depend on them
@@ -137,7 +137,7 @@ def count_frequent(rows: DataFrame, words: Places, pairs: Places) -> tuple[np.nd
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             half, good = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, KERNEL_BYTES):
                 h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 w, p = words.of(h), pairs.of(pair)
                 kind = (half[i:j] * 2 + good[i:j]).astype(np.int64)[at_row] * width
@@ -219,7 +219,7 @@ def in_both_halves(rows: DataFrame, words: Places, pairs: Places, bits: int) ->
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             half = batch.column(1).to_numpy()
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, KERNEL_BYTES):
                 h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 rare, rare_pair, side = words.of(h) < 0, pairs.of(pair) < 0, half[i:j][at_row]
                 for b in (0, 1):
@@ -258,6 +258,11 @@ def in_both_halves(rows: DataFrame, words: Places, pairs: Places, bits: int) ->
     return out
 
 
+def packed(kind, flag: np.ndarray, n: np.ndarray, ends=0) -> np.ndarray:
+    """Kind (2 bits), good, half, whether the word ends its document, and how often it occurs, as one number."""
+    return n.astype(np.int64) << 5 | ends << 4 | flag.astype(np.int64) << 2 | kind
+
+
 def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_cells: int = 1 << 18) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for every row of ``docs``; losses are mean nats a token.
 
@@ -288,7 +293,7 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_c
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             keys, halves, goods = (batch.column(c).to_numpy() for c in (0, 2, 3))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, KERNEL_BYTES):
                 h, at_row, at, pair = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 key, half, good = keys[i:j], halves[i:j], goods[i:j]
                 w, p = words.of(h), pairs.of(pair)
@@ -319,41 +324,42 @@ def score(docs: DataFrame, labels: DataFrame, strength: float = 50.0, frequent_c
                 pick = order[np.r_[0, np.cumsum(n2)[:-1]]] if len(n2) else order
                 flag = half * 2 + good
                 # kind 0: a document (its base losses, number of words); 1: a word; 2: a pair after a rare word; 3: a pair
+                # These rows are most of what is shuffled: four numbers each, the last of which packs the small ones.
+                is_hot, hot_last = hot[pick] > 0, last[pick]
+                word, pair_hash = h1.view(np.int64), h2.view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.r_[key, key[r1], key[r2]]),
-                    pa.array(np.r_[np.zeros(j - i, np.int64), np.ones(len(r1), np.int64), 2 + hot[pick]].astype(np.int32)),
-                    pa.array(np.r_[flag, flag[r1], flag[r2]].astype(np.int32)),
-                    pa.array(np.r_[base[0], h1.view(np.int64), last[pick]]),
-                    pa.array(np.r_[base[1], np.zeros(len(r1), np.int64), h2.view(np.int64)]),
-                    pa.array(np.r_[n, n1, n2].astype(np.int64)),
-                    pa.array(np.r_[np.zeros(j - i, np.int64), m1, np.zeros(len(r2), np.int64)])], ["key", "kind", "flag", "w", "p", "n", "m"])
-
-    out = rows.mapInArrow(emit, "key bigint, kind int, flag int, w bigint, p bigint, n bigint, m bigint")
-    out = out.withColumn("a", F.when(F.col("kind") == 0, F.col("key")).when(F.col("kind") == 3, F.col("p")).otherwise(F.col("w"))).repartition("a")
-    half, is_word, is_pair = F.shiftright("flag", 1), F.col("kind") == 1, F.col("kind") >= 2
+                    pa.array(np.r_[key, word, np.where(is_hot, pair_hash, hot_last)]),
+                    pa.array(np.r_[base[0], np.zeros(len(r1), np.int64), np.where(is_hot, hot_last, pair_hash)]),
+                    pa.array(np.r_[base[1], key[r1], key[r2]]),
+                    pa.array(np.r_[packed(0, flag, n), packed(1, flag[r1], n1, n1 - m1), packed(2 + hot[pick], flag[r2], n2)])], ["a", "b", "c", "d"])
+
+    out = rows.mapInArrow(emit, "a bigint, b bigint, c bigint, d bigint").repartition("a")
+    kind, half, good, n = (F.col("d").bitwiseAND(3), F.shiftright("d", 3).bitwiseAND(1), F.shiftright("d", 2).bitwiseAND(1) == 1, F.shiftright("d", 5))
+    is_word, is_pair = kind == 1, kind >= 2
+    m = n - F.shiftright("d", 4).bitwiseAND(1)
 
     def of_other_half(name: str, which: Column, over) -> list[Column]:
         """Target and background count over the group, in the half that the row isn't in."""
-        sums = [[F.sum(F.when(which & (half == b) & ok, F.col("n")).otherwise(F.lit(0))).over(over) for ok in (F.col("flag") % 2 == 1, F.lit(True))] for b in (0, 1)]
+        sums = [[F.sum(F.when(which & (half == b) & ok, n).otherwise(F.lit(0))).over(over) for ok in (good, F.lit(True))] for b in (0, 1)]
         return [(F.when(half == 0, sums[1][k] * F.lit(factor[1][k])).otherwise(sums[0][k] * F.lit(factor[0][k]))).alias(f"{name}{k}") for k in (0, 1)]
 
     # One exchange by ``a`` serves both groupings.
-    out = out.select("*", *of_other_half("pair", is_pair, Window.partitionBy("a", "kind", "p")))
+    out = out.select("*", *of_other_half("pair", is_pair, Window.partitionBy("a", "b"))).where((kind < 2) | (F.col("pair1") > 0))
     out = out.select("*", *of_other_half("word", is_word, Window.partitionBy("a")))
-    out = out.where((F.col("kind") < 2) | (F.col("pair1") > 0))
     spark = docs.sparkSession
     table = pa.table({"place": np.arange(len(words)), **{f"one{b}{k}": one[b, k] for b in (0, 1) for k in (0, 1)}})
     known = spark.createDataFrame(table)
-    out = out.join(F.broadcast(known), (F.col("kind") == 3) & (F.col("w") == F.col("place")), "left")
+    out = out.join(F.broadcast(known), (kind == 3) & (F.col("b") == F.col("place")), "left")
     terms = []
     for k in (0, 1):
         rare = (F.col(f"word{k}") + 0.5) / F.when(half == 0, F.lit(whole[1][k])).otherwise(F.lit(whole[0][k]))
         first = F.log1p(F.col(f"word{k}") / F.lit(strength))
-        p = F.when(F.col("kind") == 3, F.when(half == 0, F.col(f"one0{k}")).otherwise(F.col(f"one1{k}"))).otherwise(rare)
-        x = F.when(is_word, F.col("m") * first - F.col("n") * F.log(rare)).otherwise(-F.col("n") * F.log1p(F.col(f"pair{k}") / (F.lit(strength) * p)))
-        terms.append(F.sum(F.when(F.col("kind") == 0, F.col("w" if k == 0 else "p")).otherwise(F.rint(x * SCALE).cast("bigint"))).alias(f"x{k}"))
+        p = F.when(kind == 3, F.when(half == 0, F.col(f"one0{k}")).otherwise(F.col(f"one1{k}"))).otherwise(rare)
+        x = F.when(is_word, m * first - n * F.log(rare)).otherwise(-n * F.log1p(F.col(f"pair{k}") / (F.lit(strength) * p)))
+        terms.append(F.sum(F.when(kind == 0, F.col("bc"[k])).otherwise(F.rint(x * SCALE).cast("bigint"))).alias(f"x{k}"))
     # Rows that repeat both id and text share one key.
-    sums = out.groupBy("key").agg(*terms, F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n"), F.count(F.when(F.col("kind") == 0, 1)).alias("copies"))
+    sums = out.groupBy(F.when(kind == 0, F.col("a")).otherwise(F.col("c")).alias("key")).agg(
+        *terms, F.sum(F.when(kind == 0, n)).alias("n"), F.count(F.when(kind == 0, 1)).alias("copies"))
     loss = [F.when(F.col("n") > 0, F.col(f"x{k}") / F.lit(SCALE) / F.col("n")).otherwise(F.lit(0.0)) for k in (0, 1)]
     able = F.when(F.col("own") == 0, F.lit(usable[0])).otherwise(F.lit(usable[1]))
     ids = docs.select("doc_id", row_key().alias("key"), half_of_id().alias("own"))

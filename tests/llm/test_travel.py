@@ -4,10 +4,25 @@
 import numpy as np
 import pyarrow as pa
 
+from scour.llm import op06_lm_difference as lm
 from scour.llm import op10_minhash
 from scour.llm import op03_suffix_dedup as suffixes
 
 
+def test_words_and_pairs_travel_as_four_numbers(spark):
+    docs = spark.createDataFrame([(i, f"one two w{i % 3} two one") for i in range(12)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
+    found = lm.score(docs, labels, frequent_cells=2)
+    assert [x.output().size() for x in _nodes(found._jdf.queryExecution().optimizedPlan(), "MapInArrow")] == [4]
+    assert {r.n_tokens for r in found.collect()} == {5}
+
+
+def test_packed_numbers_come_apart():
+    kind, flag, n, ends = np.array([0, 1, 2, 3]), np.array([3, 2, 1, 0], np.int32), np.array([1 << 30, 1, 7, 0]), np.array([0, 1, 0, 0])
+    d = lm.packed(kind, flag, n, ends)
+    assert ((d & 3) == kind).all() and ((d >> 2 & 3) == flag).all() and ((d >> 4 & 1) == ends).all() and ((d >> 5) == n).all()
+
+
 def test_near_dedup_deals_sets_once(spark, monkeypatch):
     plans, real = [], op10_minhash.verify
 
