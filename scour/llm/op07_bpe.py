@@ -5,6 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from scour.llm.common import plain_text
 
 #: Bytes of pre-tokens seen that a worker may hold while it encodes.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 96 << 20
 
 
 class PerfectHash:
@@ -78,30 +81,53 @@ def merge(ids: list[int], pair: dict[int, int]) -> list[int]:
     """The ids of a pre-token outside the vocabulary, given the ids of its bytes.
 
     The bytes are a doubly linked list; the heap has (rank, place) of neighbours that can join, lowest rank
-    first, leftmost on ties.  An entry is stale if its place is gone or its pair has another rank by now.
+    first, leftmost on ties.  An entry is stale if its place starts a pair of another rank, or none, by now.
     """
     n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [r << 40 | i for i in range(n - 1) if (r := pair.get(ids[i] << 20 | ids[i + 1])) is not None]
+    get, push, pop = pair.get, heapq.heappush, heapq.heappop
+    bits = n.bit_length()  # small entries are cheaper to make and compare
+    place = (1 << bits) - 1
+    rank = [get(a << 20 | b, -1) for a, b in itertools.pairwise(ids)]
+    heap = [r << bits | i for i, r in enumerate(rank) if r >= 0]
+    if not heap:
+        return ids
+    rank.append(-1)
     heapq.heapify(heap)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
-        x = heapq.heappop(heap)
-        i, r = x & 0xFFFFFFFFFF, x >> 40
-        j = after[i]
-        if ids[i] < 0 or j >= n or pair.get(ids[i] << 20 | ids[j]) != r:
+        x = pop(heap)
+        i, r = x & place, x >> bits
+        if rank[i] != r:
             continue
-        ids[i], ids[j] = r, -1
+        j = after[i]
+        ids[i], ids[j], rank[j] = r, -1, -1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            if (r := pair.get(ids[i] << 20 | ids[k])) is not None:
-                heapq.heappush(heap, r << 40 | i)
+            rank[i] = new = get(r << 20 | ids[k], -1)
+            if new >= 0:
+                push(heap, new << bits | i)
+        else:
+            rank[i] = -1
         k = before[i]
-        if k >= 0 and (r := pair.get(ids[k] << 20 | ids[i])) is not None:
-            heapq.heappush(heap, r << 40 | k)
+        if k >= 0:
+            rank[k] = new = get(ids[k] << 20 | r, -1)
+            if new >= 0:
+                push(heap, new << bits | k)
     return [x for x in ids if x >= 0]
 
 
+class Seen(dict):
+    """Pre-token -> the bytes of its ids.  A pre-token that isn't held is encoded by the codec, which decides what to hold."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, s: str) -> bytes:
+        return self.encode(s)
+
+
 class Codec:
     """Encodes and decodes texts; keeps the ids of pre-tokens seen while they take about ``kept`` bytes at most."""
 
@@ -112,35 +138,38 @@ class Codec:
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pair = pair_ranks(ranks)
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.seen: dict[str, tuple[int, ...]] = {}
-        # Two generations: when the younger one is full it becomes the older one, so what is used often stays.
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.kept, self.held = kept // 2, 0
+        self.kept = kept // 2
+        self.release()
 
     def release(self) -> None:
         """Forget the pre-tokens seen; a worker is used again by other stages."""
-        self.seen, self.old, self.held = {}, {}, 0
+        self.seen, self.held = Seen(self.token), 0
+        # Two generations: when the younger one is full it becomes the older one, so what is used often stays.
+        self.old: dict[str, bytes] = {}
 
-    def token(self, s: str) -> tuple[int, ...]:
+    def token(self, s: str) -> bytes:
+        """The ids of a pre-token that the younger generation doesn't hold, as little-endian unsigned 32-bit integers."""
         ids = self.old.get(s)
         if ids is None:
             raw = s.encode("utf-8")
             whole = self.index.get(raw)
-            ids = (whole,) if whole >= 0 else tuple(merge([self.single[b] for b in raw], self.pair))
+            ids = array("I", (whole,) if whole >= 0 else merge([self.single[b] for b in raw], self.pair))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            ids = ids.tobytes()
         if len(s) <= 64:
-            # A dictionary entry, a string and a tuple.
-            size = 270 + 4 * len(s) + 8 * len(ids)
+            # A dictionary entry, a string and a byte string.
+            size = 100 + sys.getsizeof(s) + sys.getsizeof(ids)
             if self.held + size > self.kept:
-                self.seen, self.old, self.held = {}, self.seen, 0
+                # The dictionary that encode() reads just now stays the younger one.
+                self.old, self.held = dict(self.seen), 0
+                self.seen.clear()
             self.seen[s] = ids
             self.held += size
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        out = []
-        for s in self.find(text):
-            out += self.seen.get(s) or self.token(s)
-        return np.array(out, "<u4")
+        return np.frombuffer(b"".join(map(self.seen.__getitem__, self.find(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))

@@ -1,14 +1,21 @@
 """What moves between tasks and what a worker keeps: narrow rows, sets that are dealt once, a cache of its true size."""
 
+import random
+import sys
 
 import numpy as np
 import pyarrow as pa
 
 from scour.llm import op06_lm_difference as lm
-from scour.llm import op10_minhash
+from scour.llm import op07_bpe, op10_minhash
 from scour.llm import op03_suffix_dedup as suffixes
 
 
+def _nodes(plan, name: str) -> list:
+    below = [x for i in range(plan.children().size()) for x in _nodes(plan.children().apply(i), name)]
+    return below + [plan] * (plan.nodeName() == name)
+
+
 def test_words_and_pairs_travel_as_four_numbers(spark):
     docs = spark.createDataFrame([(i, f"one two w{i % 3} two one") for i in range(12)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id bigint, quality int")
@@ -47,3 +54,28 @@ def test_few_rows_of_many_texts_leave_together():
                                  "kh": [x + i for i in range(50) for x in range(i % 4)]}
     assert list(suffixes.together(iter([]), ["at"])) == []
     assert list(suffixes.together(iter([(pa.array([b"a"], pa.binary()), [np.zeros(0, np.int64)])]), ["at"])) == []
+
+
+def test_cache_of_pre_tokens_is_within_its_limit_and_changes_nothing():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abab": 257, b"ba": 258, b" a": 259, b"aba": 260, b"bb": 261}
+    pattern, rnd = r" ?\p{L}+|\s+", random.Random(5)
+    texts = [" ".join("".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 12))) for _ in range(40)) for _ in range(100)]
+    small, large = op07_bpe.Codec(ranks, pattern, 1 << 16), op07_bpe.Codec(ranks, pattern)
+
+    def brute(token: str) -> list[int]:
+        ids = list(token.encode())
+        name = {v: k for k, v in ranks.items()}
+        while pairs := [(ranks[name[a] + name[b]], i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if name[a] + name[b] in ranks]:
+            r, i = min(pairs)
+            ids[i:i + 2] = [r]
+        return ids
+
+    for text in texts:
+        want = [x for token in large.find(text) for x in (lambda t: [ranks[t.encode()]] if t.encode() in ranks else brute(t))(token)]
+        assert small.encode(text).tolist() == large.encode(text).tolist() == want
+        assert small.decode(small.encode(text)) == text.encode()
+        held = [x for d in (small.seen, small.old) for pair in d.items() for x in pair]
+        assert all(type(x) in (str, bytes) for x in held) and sum(map(sys.getsizeof, held)) < 1 << 16
+    assert small.old and len(small.seen) + len(small.old) < len(large.seen)
+    small.release()
+    assert not small.seen and not small.old
